@@ -129,7 +129,7 @@ def decode_media(df: DataFrame, media_col: str = "media", block: int = BLOCK) ->
     nulls; what is no such file gives a null ``pcm`` and says why in ``error``. Columns of the input
     with these names are replaced.
     """
-    def run(media):
+    def run(media: pa.Array) -> pa.Array:
         pcm, count, error = [], [], []
         for blob in media.to_pylist():
             try:
