@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import line_dedup, packing, simhash, suffix_dedup, telephony
+from ledgerlens.llm import line_dedup, packing, simhash, suffix_dedup, telephony, token_counts, unigram
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_telephony": telephony.op3_telephony,
+    "op4_sentencepiece": unigram.op4_sentencepiece,
     "op6_simhash": simhash.op6_simhash,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
 ORACLES = {"op8_line_dedup": line_dedup.OP8_SQL}
