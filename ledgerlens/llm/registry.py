@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import line_dedup, packing, simhash, suffix_dedup, telephony, token_counts, unigram
+from ledgerlens.llm import line_dedup, packing, quality, simhash, suffix_dedup, telephony, token_counts, unigram
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_telephony": telephony.op3_telephony,
     "op4_sentencepiece": unigram.op4_sentencepiece,
+    "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
