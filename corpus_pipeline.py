@@ -3,10 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
+from ledgerlens.llm.line_dedup import line_dedup
+from ledgerlens.llm.packing import pack
+from ledgerlens.llm.quality import quality_scores, train
+from ledgerlens.llm.simhash import simhash_table
+from ledgerlens.llm.suffix_dedup import suffix_dedup
 
-STAGES = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _documents(df: DataFrame, text) -> DataFrame:
+    """The columns of ``documents`` with this text and its length."""
+    return df.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    return quality_scores(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go."""
+    return _documents(line_dedup(docs), F.col("text"))
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    first = simhash_table(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long repeated passages go; a character that a cut leaves in part goes with it."""
+    return _documents(suffix_dedup(docs), _valid(F.col("kept")))
+
+
+def _valid(kept):
+    """Bytes as text: what is no valid UTF-8 after a cut is left out."""
+    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens; a row for each piece."""
+    import public_tokenizers
+
+    return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("simhash", simhash_stage),
+    ("suffix_dedup", suffix_stage),
+    ("packing", packing_stage),
+]
 
 #: SQL cannot express the learned classifier nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
