@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +17,16 @@ TREES, DEPTH, BINS, LEAST_ROWS, RATE, SHARE = 40, 3, 48, 15, 0.3, 0.5
 #: Weight of the lasso penalty in the mean log loss, and steps of the fit.
 PENALTY, STEPS = 0.0008, 600
 THRESHOLD = 0.3
-SYMBOLS = "!#$%&*@^~<>{}[]\\_=+|/"
+SYMBOLS = b"!#$%&*@^~<>{}[]\\_=+|/"
 FEATURES = [
     "log_chars", "log_words", "mean_word", "upper_share", "symbol_share", "bar_share", "bang_share", "stop_share",
-    "digit_share", "line_share", "distinct_share", "repeat_share", "symbol_word_share", "letter_share",
+    "digit_share", "line_share", "distinct_share", "repeat_share", "upper_word_share", "letter_share",
 ]
+#: Which byte values each share counts.
+KINDS = np.stack([
+    np.isin(np.arange(256), list(octets))
+    for octets in (bytes(range(65, 91)), SYMBOLS, b"|", b"!", b".,;:?", b"0123456789", b"\n", bytes([*range(65, 91), *range(97, 123), *range(192, 256)]))
+], 1).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -45,35 +53,26 @@ class RuleEnsemble:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
+def text_statistics(text: str) -> list[float]:
+    """The values of FEATURES; all zero for an empty text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    chars, words = len(text), raw.split()
+    n, m = max(chars, 1), max(len(words), 1)
+    upper, symbol, bar, bang, stop, digit, line, letter = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ KINDS
+    return [
+        math.log1p(chars), math.log1p(len(words)), chars / m, upper / n, symbol / n, bar / n, bang / n, stop / m, digit / n, line / m,
+        len(set(words)) / m, sum(map(eq, words, words[1:])) / m, sum(map(bytes.isupper, words)) / m, letter / n,
+    ]
+
+
+def _statistics(body: pa.Array) -> pa.Array:
+    rows = np.array([text_statistics(t or "") for t in body.to_pylist()], float).reshape(-1, len(FEATURES))
+    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(FEATURES))], FEATURES)
+
+
 def statistics(df: DataFrame, body: str) -> DataFrame:
     """``df`` with ``_stat``, a struct of the text's statistics; a null or empty text has zeros."""
-    text = F.coalesce(F.col(body).cast("string"), F.lit(""))
-    staged = df.withColumn("_text", text).withColumn("_words", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    chars, words = F.char_length("_text"), F.size("_words")
-
-    def share(n: Column, of: Column) -> Column:
-        return F.coalesce(n.cast("double") / F.nullif(of.cast("double"), F.lit(0.0)), F.lit(0.0))
-
-    def without(letters: str) -> Column:
-        return chars - F.char_length(F.translate("_text", letters, ""))
-
-    stats = {
-        "log_chars": F.log1p(chars.cast("double")),
-        "log_words": F.log1p(words.cast("double")),
-        "mean_word": share(chars, words),
-        "upper_share": share(F.regexp_count("_text", F.lit(r"\p{Lu}")), chars),
-        "symbol_share": share(without(SYMBOLS), chars),
-        "bar_share": share(without("|"), chars),
-        "bang_share": share(without("!"), chars),
-        "stop_share": share(without(".,;:?"), words),
-        "digit_share": share(without("0123456789"), chars),
-        "line_share": share(without("\n"), words),
-        "distinct_share": share(F.size(F.array_distinct("_words")), words),
-        "repeat_share": share(F.size(F.filter("_words", lambda w, i: w == F.get("_words", i - 1))), words),
-        "symbol_word_share": share(F.regexp_count("_text", F.lit(r"[!#$%&*@]{2,}")), words),
-        "letter_share": share(F.regexp_count("_text", F.lit(r"\p{L}+")), words),
-    }
-    return staged.withColumn("_stat", F.struct(*[stats[n].alias(n) for n in FEATURES])).drop("_text", "_words")
+    return df.withColumn("_stat", F.arrow_udf(_statistics, ", ".join(f"{n} double" for n in FEATURES))(F.col(body).cast("string")))
 
 
 def _grow(codes: np.ndarray, grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, columns: np.ndarray, depth: int, path: tuple, found: list, step: np.ndarray) -> None:
