@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import line_dedup, packing, quality, simhash, suffix_dedup, telephony, token_counts, unigram
+from ledgerlens.llm import hnsw, line_dedup, packing, quality, simhash, suffix_dedup, telephony, token_counts, unigram
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_hnsw": hnsw.op2_hnsw,
     "op3_telephony": telephony.op3_telephony,
     "op4_sentencepiece": unigram.op4_sentencepiece,
     "op5_quality": quality.op5_quality,
