@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import hnsw, line_dedup, packing, quality, simhash, suffix_dedup, telephony, token_counts, unigram
+from ledgerlens.llm import hnsw, line_dedup, packing, quality, simhash, suffix_dedup, suffix_tree_lm, telephony, token_counts, unigram
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": unigram.op4_sentencepiece,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
+    "op7_suffix_tree": suffix_tree_lm.op7_suffix_tree,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_token_counts": token_counts.op10_token_counts,
