@@ -43,6 +43,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, once what came of them is written itself."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ordered_id(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column.cast("long"), F.lit(LAST_ID))

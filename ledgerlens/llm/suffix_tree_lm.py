@@ -14,11 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import discard, written
 
 #: Words of the longest context.
 DEPTH = 2
@@ -35,6 +36,25 @@ BLOCKS = "block long, id array<long>, n array<long>, train array<boolean>, words
 ANSWER = "block long, bucket int, a binary, b binary, n long, v long"
 
 
+#: Bytes of a symbol's hash in an ask; symbols have to be told apart within one context only.
+SYMBOL_BYTES = 5
+SYMBOL = M((1 << 8 * SYMBOL_BYTES) - 1)
+
+
+def _packed(a: np.ndarray, width: int = 0) -> bytes:
+    """An array's low ``width`` bytes (default: all), byte by byte, compressed."""
+    octets = a.view(np.uint8).reshape(-1, a.itemsize)[:, : width or a.itemsize]
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(octets.T).tobytes())
+
+
+def _unpacked(b: bytes, dtype, width: int = 0) -> np.ndarray:
+    octets = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    size = np.dtype(dtype).itemsize
+    out = np.zeros((len(octets) // (width or size), size), np.uint8)
+    out[:, : width or size] = octets.reshape(width or size, -1).T
+    return out.view(dtype)[:, 0]
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes, in order."""
     h = (a ^ (b * M(0x9E3779B97F4A7C15) + M(0x632BE59BD9B4E019))) * M(0xC2B2AE3D27D4EB4F)
@@ -65,7 +85,7 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         made += 1
         return pa.RecordBatch.from_arrays(
             [pa.array([part << 32 | made]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())),
-             pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())), pa.array([np.r_[hashes, END].tobytes()]), pa.array([tokens.astype(np.uint32).tobytes()])],
+             pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())), pa.array([np.r_[hashes, END].tobytes()]), pa.array([_packed(tokens.astype(np.uint32))])],
             names=["block", "id", "n", "train", "words", "tokens"],
         )
 
@@ -87,10 +107,16 @@ class _Block:
     def __init__(self, row: dict):
         self.n = np.array(row["n"], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
-        self.hashes = np.frombuffer(row["words"], M)[np.frombuffer(row["tokens"], np.uint32)]
+        self.tokens = _unpacked(row["tokens"], np.uint32)
+        self.hashes = np.frombuffer(row["words"], M)[self.tokens]
         self.train = np.repeat(np.array(row["train"], bool), self.n)
         self.place = np.arange(len(self.hashes)) - np.repeat(self.first, self.n)
 
+    def prob(self, row: dict) -> np.ndarray:
+        """Each token's probability so far: its word's, but where a kept context gives another."""
+        own = _unpacked(row["prob"], np.float32)
+        return np.where(np.isnan(own), np.frombuffer(row["word_prob"], np.float32)[self.tokens], own)
+
     def level(self, depth: int, open_: np.ndarray, buckets: int):
         """Positions that take part, their pair's number, and the pairs' contexts, keys and training counts."""
         at = np.flatnonzero((self.place >= depth) & open_)
@@ -99,14 +125,14 @@ class _Block:
             context = self.hashes[at - 1]
             for k in range(2, depth + 1):
                 context = _mix(context, self.hashes[at - k])
-            key = _mix(context, self.hashes[at])
+            key = _mix(context, self.hashes[at] & SYMBOL)
         pairs, one, number = np.unique(key, return_index=True, return_inverse=True)
         context = context[one]
         order = np.lexsort((pairs, context, _bucket(context, buckets)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         count = np.bincount(rank[number], self.train[at], minlength=len(order)).astype(np.uint32)
-        return at, rank[number], one[order], context[order], pairs[order], count
+        return at, rank[number], one[order], context[order], (self.hashes[at][one] & SYMBOL if depth else pairs)[order], count
 
 
 def _split(context: np.ndarray, buckets: int):
@@ -120,17 +146,23 @@ def _ask(depth: int, buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 b = _Block(row)
-                prob = np.frombuffer(row["prob"], np.float32) if depth else None
-                open_ = np.frombuffer(row["open"], bool) if depth else np.ones(len(b.hashes), bool)
-                at, _, one, context, pairs, count = b.level(depth, open_, buckets)
-                parent = prob[at[one]] if depth else np.zeros(len(one), np.float32)
-                cols = [[], [], [], [], []]
+                open_ = _unpacked(row["open"], bool) if depth else np.ones(len(b.hashes), bool)
+                at, _, one, context, symbol, count = b.level(depth, open_, buckets)
+                parent = b.prob(row)[at[one]] if depth else None
+                cols = [[], [], [], [], [], []]
                 for bucket, s in _split(context, buckets):
-                    for c, v in zip(cols, (bucket, context[s].tobytes() if depth else b"", pairs[s].tobytes(), count[s].tobytes(), parent[s].tobytes() if depth else b"")):
+                    if depth:
+                        own = context[s]
+                        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                        run_ = np.diff(np.r_[cut, len(own)]).astype(np.uint32)
+                        got = (_packed(own[cut]), _packed(run_), _packed(symbol[s], SYMBOL_BYTES), _packed(count[s]), _packed(parent[s]))
+                    else:
+                        got = (b"", b"", _packed(symbol[s]), _packed(count[s]), b"")
+                    for c, v in zip(cols, (bucket, *got)):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["block"]] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                    names=["block", "bucket", "context", "pair", "count", "parent"],
+                    names=["block", "bucket", "context", "run", "symbol", "count", "parent"],
                 )
 
     return run
@@ -140,30 +172,34 @@ def _answer(depth: int):
     """Sums a bucket's counts and answers each of its asks; a partition's asks come sorted by bucket."""
 
     def one(asks: list[dict]) -> pa.RecordBatch:
-        pair = np.concatenate([np.frombuffer(a["pair"], M) for a in asks])
-        count = np.concatenate([np.frombuffer(a["count"], np.uint32) for a in asks])
+        count = [_unpacked(a["count"], np.uint32) for a in asks]
+        sizes = np.cumsum([len(c) for c in count])[:-1]
+        symbol = np.concatenate([_unpacked(a["symbol"], M, SYMBOL_BYTES if depth else 0) for a in asks])
+        pair = symbol
+        if depth:
+            context = np.concatenate([np.repeat(_unpacked(a["context"], M), _unpacked(a["run"], np.uint32)) for a in asks])
+            pair = _mix(context, symbol)
         pairs, first, number = np.unique(pair, return_index=True, return_inverse=True)
-        n = np.bincount(number, count, minlength=len(pairs)).astype(np.int64)
-        sizes = np.cumsum([len(a["pair"]) // 8 for a in asks])[:-1]
+        n = np.bincount(number, np.concatenate(count), minlength=len(pairs)).astype(np.int64)
         total, kinds = [0] * len(asks), [0] * len(asks)
         if not depth:
             total[0], kinds[0] = int(n.sum()), int((n > 0).sum())
             out_a, out_b = n[number].astype(np.uint64), None
         else:
-            context = np.concatenate([np.frombuffer(a["context"], M) for a in asks])[first]
-            parent = np.concatenate([np.frombuffer(a["parent"], np.float32) for a in asks])[first].astype(np.float64)
-            _, place = np.unique(context, return_inverse=True)
+            parent = np.concatenate([_unpacked(a["parent"], np.float32) for a in asks])[first].astype(np.float64)
+            _, place = np.unique(context[first], return_inverse=True)
             seen = np.bincount(place, n)
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(n > 0, n * np.log(n / seen[place] / parent), 0.0)
             kept = (seen >= LEAST_SEEN) & (np.bincount(place, gain) >= DIVERGENCE)
-            p = np.where(kept[place], (n + PRIOR * parent) / (seen[place] + PRIOR), parent).astype(np.float32)
+            # a context that is not kept has no distribution of its own
+            p = np.where(kept[place], (n + PRIOR * parent) / (seen[place] + PRIOR), np.nan).astype(np.float32)
             # a longer context is worth asking for where this pair is seen often enough
             out_a, out_b = p[number], (n >= LEAST_SEEN)[number]
         return pa.RecordBatch.from_arrays(
             [pa.array([a["block"] for a in asks], pa.int64()), pa.array([a["bucket"] for a in asks], pa.int32()),
-             pa.array([x.tobytes() for x in np.split(out_a, sizes)], pa.binary()),
-             pa.array([x.tobytes() for x in np.split(out_b, sizes)] if out_b is not None else [b""] * len(asks), pa.binary()), pa.array(total, pa.int64()), pa.array(kinds, pa.int64())],
+             pa.array([_packed(x) for x in np.split(out_a, sizes)], pa.binary()),
+             pa.array([_packed(x) for x in np.split(out_b, sizes)] if out_b is not None else [b""] * len(asks), pa.binary()), pa.array(total, pa.int64()), pa.array(kinds, pa.int64())],
             names=["block", "bucket", "a", "b", "n", "v"],
         )
 
@@ -182,7 +218,7 @@ def _answer(depth: int):
 
 
 def _joined(answers: list[dict] | None, dtype, field: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(a[field], dtype) for a in sorted(answers, key=lambda a: a["bucket"])]) if answers else np.zeros(0, dtype)
+    return np.concatenate([_unpacked(a[field], dtype) for a in sorted(answers, key=lambda a: a["bucket"])]) if answers else np.zeros(0, dtype)
 
 
 def _take(depth: int, buckets: int, total: int, kinds: int):
@@ -195,23 +231,27 @@ def _take(depth: int, buckets: int, total: int, kinds: int):
                 if not depth:
                     _, number, *_ = b.level(0, np.ones(len(b.hashes), bool), buckets)
                     c = _joined(row["answers"], np.uint64, "a").astype(np.float64)[number]
-                    prob = (c + FLOOR) / (total + FLOOR * (kinds + 1))
-                    sums = [np.bincount(np.repeat(np.arange(len(b.n)), b.n), v, minlength=len(b.n)) for v in (c > 0, np.log10(prob))]
+                    p = (c + FLOOR) / (total + FLOOR * (kinds + 1))
+                    word = np.zeros(len(row["words"]) // 8, np.float32)
+                    word[b.tokens] = p
+                    word, prob = word.tobytes(), np.full(len(b.tokens), np.nan, np.float32)
+                    sums = [np.bincount(np.repeat(np.arange(len(b.n)), b.n), v, minlength=len(b.n)) for v in (c > 0, np.log10(p))]
                     # the token before has to be seen often enough to be a context
                     open_ = np.r_[False, c[:-1] >= LEAST_SEEN]
                     known, base = [int(x) for x in sums[0]], sums[1].tolist()
                 else:
-                    prob, before = np.frombuffer(row["prob"], np.float32).copy(), np.frombuffer(row["open"], bool)
+                    prob, before = _unpacked(row["prob"], np.float32).copy(), _unpacked(row["open"], bool)
                     at, number, *_ = b.level(depth, before, buckets)
-                    prob[at] = _joined(row["answers"], np.float32, "a")[number]
+                    new = _joined(row["answers"], np.float32, "a")[number]
+                    prob[at] = np.where(np.isnan(new), prob[at], new)
                     often = np.zeros(len(prob), bool)
                     often[at] = _joined(row["answers"], bool, "b")[number]
                     open_ = np.r_[False, often[:-1]]
-                    known, base = row["known"], row["base"]
+                    known, base, word = row["known"], row["base"], row["word_prob"]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([row[c]], batch.schema.field(c).type) for c in ("block", "id", "n", "train", "words", "tokens")),
-                     pa.array([prob.astype(np.float32).tobytes()], pa.binary()), pa.array([open_[: len(prob)].tobytes()], pa.binary()), pa.array([known], pa.list_(pa.int64())), pa.array([base], pa.list_(pa.float64()))],
-                    names=["block", "id", "n", "train", "words", "tokens", "prob", "open", "known", "base"],
+                     pa.array([word], pa.binary()), pa.array([_packed(prob)], pa.binary()), pa.array([_packed(open_[: len(prob)])], pa.binary()), pa.array([known], pa.list_(pa.int64())), pa.array([base], pa.list_(pa.float64()))],
+                    names=["block", "id", "n", "train", "words", "tokens", "word_prob", "prob", "open", "known", "base"],
                 )
 
     return run
@@ -221,7 +261,7 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             n = np.array(row["n"], np.int64)
-            log = np.log10(np.frombuffer(row["prob"], np.float32).astype(np.float64))
+            log = np.log10(_Block(row).prob(row).astype(np.float64))
             score = np.bincount(np.repeat(np.arange(len(n)), n), log, minlength=len(n))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["id"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(n), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score)],
@@ -247,16 +287,18 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     state = written(texts.mapInArrow(_block_batches, BLOCKS), "blocks")
     buckets = max(12, state.count() // BLOCKS_A_BUCKET)
     total = kinds = 0
-    ddl = BLOCKS + ", prob binary, open binary, known array<long>, base array<double>"
+    ddl = BLOCKS + ", word_prob binary, prob binary, open binary, known array<long>, base array<double>"
     for level in range(depth + 1):
-        asks = state.mapInArrow(_ask(level, buckets), "block long, bucket int, context binary, pair binary, count binary, parent binary")
+        asks = state.mapInArrow(_ask(level, buckets), "block long, bucket int, context binary, run binary, symbol binary, count binary, parent binary")
         answers = written(asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(level), ANSWER), "answers")
         if not level:
             sums = answers.agg(F.sum("n"), F.sum("v")).first()
             total, kinds = int(sums[0] or 0), int(sums[1] or 0)
         back = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("answers"))
-        state = written(state.join(back, "block", "left").mapInArrow(_take(level, buckets, total, kinds), ddl), "scored")
-    out = state.select("id", "n", "train", "known", "base", "prob").mapInArrow(_scores, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+        now = written(state.join(back, "block", "left").mapInArrow(_take(level, buckets, total, kinds), ddl), "scored")
+        discard(state, answers)
+        state = now
+    out = state.mapInArrow(_scores, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
