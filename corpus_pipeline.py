@@ -32,9 +32,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays, and so does one without an id."""
     first = simhash_table(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _valid(kept):
-    """Bytes as text: what is no valid UTF-8 after a cut is left out."""
+    """Bytes as text: what is no valid UTF-8 after a cut is left out, as are replacement characters (U+FFFD) of the input."""
     return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
 
 
