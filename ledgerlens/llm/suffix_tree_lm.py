@@ -9,6 +9,7 @@ is held whole: it is as distributed as its counts, and grows with the corpus.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import discard, written
+from ledgerlens.llm.common import discard, release, shared_dir, written
 
 #: Words of the longest context.
 DEPTH = 2
 #: Bytes of text of a block, and blocks for each bucket of contexts.
-BLOCK_BYTES, BLOCKS_A_BUCKET = 1 << 21, 8
+BLOCK_BYTES, BLOCKS_A_BUCKET = 1 << 22, 4
 #: A context is kept if it is seen so often and its distribution diverges so much (in nats, summed over what is seen).
 LEAST_SEEN, DIVERGENCE = 4, 4.0
 #: Weight of the suffix's distribution in a kept context's.
@@ -269,6 +270,15 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _bucketed(state: DataFrame, buckets: int) -> DataFrame:
+    """Blocks written by the hash of their number, so that answers come to them and their tokens stay in place."""
+    spark, table = state.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    state.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", path).saveAsTable(table)
+    release(spark)
+    return spark.table(table)
+
+
 def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """One row a document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -284,8 +294,10 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     train = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"), train.alias("train"))
-    state = written(texts.mapInArrow(_block_batches, BLOCKS), "blocks")
-    buckets = max(12, state.count() // BLOCKS_A_BUCKET)
+    blocks = written(texts.mapInArrow(_block_batches, BLOCKS), "blocks")
+    buckets = max(12, blocks.count() // BLOCKS_A_BUCKET)
+    state = _bucketed(blocks.repartition(buckets, "block"), buckets)
+    discard(blocks)
     total = kinds = 0
     ddl = BLOCKS + ", word_prob binary, prob binary, open binary, known array<long>, base array<double>"
     for level in range(depth + 1):
@@ -294,8 +306,9 @@ def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not level:
             sums = answers.agg(F.sum("n"), F.sum("v")).first()
             total, kinds = int(sums[0] or 0), int(sums[1] or 0)
-        back = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("answers"))
-        now = written(state.join(back, "block", "left").mapInArrow(_take(level, buckets, total, kinds), ddl), "scored")
+        back = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("answers"))
+        scored = state.join(back.hint("merge"), "block", "left").mapInArrow(_take(level, buckets, total, kinds), ddl)
+        now = written(scored, "scored") if level == depth else _bucketed(scored, buckets)
         discard(state, answers)
         state = now
     out = state.mapInArrow(_scores, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
