@@ -76,7 +76,8 @@ def contexts(b: np.ndarray, first: np.ndarray, last: np.ndarray):
         head = tail = np.zeros(0, np.int64)
     at, start, end = place[head], window[head], window[tail] + WINDOW
     h = ((end - start) * 256 + (at - start)).astype(np.uint64) * MIX[0]
-    for k in range(5):
+    # a context has at most SPAN + WINDOW - 1 bytes; the last gram is moved back to its end, so all bytes count
+    for k in range(-(-(SPAN + WINDOW - 1) // GRAM)):
         h = (h ^ g[np.minimum(start + GRAM * k, end - GRAM)]) * MIX[1 + k % 4]
         h ^= h >> M(31)
     return g[at], h, start, end

@@ -83,3 +83,34 @@ def test_nulls_repeats_clashes_and_empty(spark):
     assert [(a, b) for a, b, _ in got] == [(1, 0), (1, 0), (2, 0), (3, 120), (99, 300)]
     assert {c for *_, c in got} == {"x", "", "y", "z", "w"}
     assert S.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_context_hash_covers_the_last_bytes():
+    b = np.random.default_rng(4).integers(97, 123, 200_000).astype(np.uint8)
+    anchor, h, start, end = S.contexts(b, np.array([0]), np.array([len(b) - S.WINDOW]))
+    long = np.flatnonzero(end - start > 160)
+    assert len(long) > 100
+    changed = alike = 0
+    for i in long:
+        for back in range(1, end[i] - start[i] - 160 + 1):
+            other = b[start[i] : end[i]].copy()
+            other[-back] ^= 1
+            a2, h2, s2, e2 = S.contexts(other, np.array([0]), np.array([len(other) - S.WINDOW]))
+            # the change may move the anchor; else it is one context of the same shape
+            if len(a2) == 1 and a2[0] == anchor[i]:
+                changed, alike = changed + 1, alike + int(h2[0] == h[i])
+    assert changed > 100 and not alike
+
+
+def test_passages_that_diverge_at_their_end(spark):
+    r = random.Random(9)
+    letters = lambda k: "".join(r.choices("abcdefghij ", k=k))
+    rows = []
+    for k in range(400):
+        passage = letters(r.randrange(170, 400))
+        tail = letters(60)
+        rows += [(4 * k, letters(20) + passage + tail), (4 * k + 1, letters(20) + passage + letters(60))]
+        if k % 2:  # what comes after the passage repeats elsewhere too
+            rows.append((4 * k + 2, letters(20) + passage[-110:] + rows[-1][1][-60:]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(S.suffix_dedup(df)) == brute(rows)
