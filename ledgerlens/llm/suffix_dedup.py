@@ -99,12 +99,12 @@ def merged(doc, th, start, stop):
 
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, context, doc, span, stop): a row for each context, and rows without a context for
+    """(anchor, context, doc, th, span, stop): a row for each context, and rows without a context for
     spans that are known to repeat because the same context came earlier in the same batch."""
     for batch in batches:
         data, at = utf8(batch.column("body"))
         doc = batch.column("doc").to_numpy()
-        th = batch.column("th").to_numpy() & 0xFFFF
+        th = batch.column("th").to_numpy()
         found, i = [], 0
         while i < len(doc):
             j = max(i + 1, int(np.searchsorted(at, at[i] + RUN_BYTES, side="right")) - 1)
@@ -125,68 +125,68 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if not found:
             continue
         a, c, d, t, s, n = (np.concatenate(x) for x in zip(*found))
-        span = (t << 45) | (s << 14) | n
-        o = np.lexsort((span, d, c, a))
-        a, c, d, span = a[o], c[o], d[o], span[o]
+        span = (s << 14) | n
+        o = np.lexsort((span, t, d, c, a))
+        a, c, d, t, span = a[o], c[o], d[o], t[o], span[o]
         again = np.zeros(len(a), bool)
         again[1:] = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(a))))
-        known = again & ((d != d[head]) | (span != span[head]))
-        gd, gt, gs, ge = merged(d[known], *_unspan(span[known]))
+        known = again & ((d != d[head]) | (t != t[head]) | (span != span[head]))
+        gd, gt, gs, ge = merged(d[known], t[known], *_unspan(span[known]))
         keep = ~again
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([a[keep].view(np.int64), (gd.astype(np.uint64) * MIX[0]).view(np.int64)])),
                 pa.array(np.concatenate([c[keep].view(np.int64), np.zeros(len(gd), np.int64)]), mask=np.repeat([False, True], [keep.sum(), len(gd)])),
                 pa.array(np.concatenate([d[keep], gd])),
-                pa.array(np.concatenate([span[keep], (gt << 45) | (gs << 14)])),
+                pa.array(np.concatenate([t[keep], gt])),
+                pa.array(np.concatenate([span[keep], gs << 14])),
                 pa.array(np.concatenate([np.zeros(keep.sum(), np.int64), ge]).astype(np.int32), mask=np.repeat([True, False], [keep.sum(), len(gd)])),
             ],
-            names=["anchor", "context", "doc", "span", "stop"],
+            names=["anchor", "context", "doc", "th", "span", "stop"],
         )
 
 
 def _unspan(span):
-    """Text hash, start and end of packed spans."""
-    start = (span >> 14) & 0x7FFFFFFF
-    return span >> 45, start, start + (span & 0x3FFF)
+    """Start and end of packed spans."""
+    start = span >> 14
+    return start, start + (span & 0x3FFF)
 
 
-FOUND = "doc long, th int, start int, stop int, anchor long"
+FOUND = "doc long, th long, start int, stop int, anchor long"
 
 
 def _found(doc, th, start, stop, anchor=None) -> pa.RecordBatch:
     none = pa.nulls(len(doc), pa.int64()) if anchor is None else pa.array(anchor)
-    ints = [pa.array(np.asarray(x).astype(np.int32)) for x in (th, start, stop)]
-    return pa.RecordBatch.from_arrays([pa.array(doc), *ints, none], names=["doc", "th", "start", "stop", "anchor"])
+    ints = [pa.array(np.asarray(x).astype(np.int32)) for x in (start, stop)]
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), *ints, none], names=["doc", "th", "start", "stop", "anchor"])
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of anchor, context and place: spans that repeat as whole contexts (no anchor),
     and the first of each context whose anchor has other contexts too (with the anchor)."""
-    last = None  # anchor, context, doc and span of the current context's first row
+    last = None  # anchor, context, doc, text hash and span of the current context's first row
     pending = None  # the anchor's first context, while it has no other
     for batch in batches:
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "span")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc", "th", "span")]
         is_known = batch.column("context").is_null().to_numpy(zero_copy_only=False)
         context = batch.column("context").fill_null(0).to_numpy()
         if is_known.any():
-            _, d, s = (x[is_known] for x in cols)
-            th, start, _ = _unspan(s)
-            yield _found(d, th, start, batch.column("stop").fill_null(0).to_numpy()[is_known])
-        a, d, s = (x[~is_known] for x in cols)
+            _, d, t, s = (x[is_known] for x in cols)
+            yield _found(d, t, _unspan(s)[0], batch.column("stop").fill_null(0).to_numpy()[is_known])
+        a, d, t, s = (x[~is_known] for x in cols)
         c = context[~is_known]
         if not len(a):
             continue
         if last is not None:
-            a, c, d, s = (np.concatenate([[x], y]) for x, y in zip(last, (a, c, d, s)))
+            a, c, d, t, s = (np.concatenate([[x], y]) for x, y in zip(last, (a, c, d, t, s)))
         new_a, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
         new_a[1:] = a[1:] != a[:-1]
         new_c[1:] = new_a[1:] | (c[1:] != c[:-1])
         head = np.maximum.accumulate(np.where(new_c, np.arange(len(a)), 0))
-        gone = ~new_c & ((d != d[head]) | (s != s[head]))
+        gone = ~new_c & ((d != d[head]) | (t != t[head]) | (s != s[head]))
         if gone.any():
-            yield _found(d[gone], *_unspan(s[gone]))
+            yield _found(d[gone], t[gone], *_unspan(s[gone]))
         runs = np.flatnonzero(new_c)
         other = ~new_a[runs]  # a further context of its anchor
         if last is not None:
@@ -197,12 +197,12 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             need[0] = False
         if need.any():
             k = runs[need]
-            yield _found(d[k], *_unspan(s[k]), a[k])
+            yield _found(d[k], t[k], *_unspan(s[k]), a[k])
         # is the last context pending: the only one of its anchor so far
         alone = bool(new_a[runs[-1]]) if len(runs) > 1 or last is None else pending is not None
         pending = True if alone else None
         k = runs[-1]
-        last = (a[k], c[k], d[k], s[k])
+        last = (a[k], c[k], d[k], t[k], s[k])
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +221,7 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         pieces = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[take].tobytes())])
         doc, th = (batch.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("doc", "th"))
         yield pa.RecordBatch.from_arrays(
-            [flat.field("anchor"), pa.array(doc), pa.array(th.astype(np.int32)), pa.array(start.astype(np.int32)), pieces],
+            [flat.field("anchor"), pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pieces],
             names=["anchor", "doc", "th", "start", "piece"],
         )
 
@@ -373,15 +373,15 @@ def _crowded(pieces: DataFrame) -> DataFrame:
 
 
 def repeated_spans(base: DataFrame, anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:
-    """(doc, th, start, stop) of bytes to remove, for ``base`` (doc, th, body); th is cut to 16 bits."""
-    rows = base.select("doc", "th", "body").mapInArrow(_anchor_batches, "anchor long, context long, doc long, span long, stop int")
-    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "span")
+    """(doc, th, start, stop) of bytes to remove, for ``base`` (doc, th, body)."""
+    rows = base.select("doc", "th", "body").mapInArrow(_anchor_batches, "anchor long, context long, doc long, th long, span long, stop int")
+    ordered = rows.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "th", "span")
     found = written(ordered.mapInArrow(_shared_batches, FOUND), "contexts")
     asked = found.where("anchor is not null")
     wanted = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("asked"))
-    texts = base.select("doc", F.col("th").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("th"), F.encode("body", "UTF-8").alias("body"))
+    texts = base.select("doc", "th", F.encode("body", "UTF-8").alias("body"))
     pieces = wanted.join(texts, ["doc", "th"]).select("doc", "th", "body", "asked").mapInArrow(
-        _piece_batches, "anchor long, doc long, th int, start int, piece binary"
+        _piece_batches, "anchor long, doc long, th long, start int, piece binary"
     )
     crowded = asked.groupBy("anchor").count().where(F.col("count") > anchor_limit).select("anchor")
     if crowded.limit(1).count():
@@ -435,7 +435,7 @@ def _rest(body: pa.Array, spans: pa.Array) -> pa.Array:
 def _with_spans(df: DataFrame, id_col: str, text_col: str, anchor_limit: int) -> DataFrame:
     base = with_document_key(df, id_col, text_col)
     spans = repeated_spans(base, anchor_limit).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return base.withColumn("th", F.col("th").bitwiseAND(F.lit(0xFFFF)).cast("int")).withColumn("body", F.encode("body", "UTF-8")).join(spans, ["doc", "th"], "left")
+    return base.withColumn("body", F.encode("body", "UTF-8")).join(spans, ["doc", "th"], "left")
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:

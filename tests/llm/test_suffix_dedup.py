@@ -114,3 +114,23 @@ def test_passages_that_diverge_at_their_end(spark):
             rows.append((4 * k + 2, letters(20) + passage[-110:] + rows[-1][1][-60:]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert result(S.suffix_dedup(df)) == brute(rows)
+
+
+@pytest.mark.parametrize("limit", [S.ANCHOR_LIMIT, 3])
+def test_texts_without_an_id_stay_apart(spark, limit):
+    import xxhash
+
+    r = random.Random(11)
+    letters = lambda k: "".join(r.choices("abcdefghij ", k=k))
+    shared = [letters(130) for _ in range(40)]
+    texts = [letters(r.randrange(100, 300)) + (r.choice(shared) if k % 3 else "") + letters(r.randrange(60)) for k in range(3000)]
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    low = {}
+    for t in texts:
+        low.setdefault(signed(t) & 0xFFFF, []).append(t)
+    assert sum(len(v) > 1 for v in low.values()) > 30
+    # a document's place in the order is its text's hash; they have no id
+    want = brute([(signed(t), t) for t in texts])
+    got = S.suffix_dedup(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5), anchor_limit=limit).collect()
+    assert len(got) == len(texts)
+    assert {signed(x.text): (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(bytes(x.kept)).hexdigest()) for x in got} == want
