@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: WAV format tags.
 FORMAT_PCM, FORMAT_ALAW, FORMAT_MULAW, FORMAT_IMA = 1, 6, 7, 17
+#: Bits a sample of each.
+BITS = {FORMAT_PCM: 16, FORMAT_ALAW: 8, FORMAT_MULAW: 8, FORMAT_IMA: 4}
 BLOCK = 576
 RATE_IN, RATE_OUT = 8000, 16000
 #: Bytes of payload that are decoded at a time.
@@ -108,26 +110,44 @@ def wav_parts(blob: bytes) -> tuple[int, int, bytes]:
     raise ValueError("no data chunk")
 
 
+def wav_form(blob: bytes) -> tuple[int, int, int]:
+    """(channels, block alignment, bits a sample) of a RIFF file that has a format chunk; ValueError if it has none."""
+    at = 12
+    while at + 8 <= len(blob) and blob[at : at + 4] != b"data":
+        size = struct.unpack_from("<I", blob, at + 4)[0]
+        if blob[at : at + 4] == b"fmt ":
+            return struct.unpack_from("<2xH8xHH", blob, at + 8)
+        at += 8 + size + (size & 1)
+    raise ValueError("no format chunk")
+
+
 def expand(data: bytes, tag: int, block: int = BLOCK) -> np.ndarray:
-    """16-bit samples of a data chunk. ADPCM bytes after the last whole block are left out."""
+    """16-bit samples of a data chunk of one channel; the last block of ADPCM may be a short one."""
     raw = np.frombuffer(data, np.uint8)
     if tag == FORMAT_MULAW:
         return MULAW[raw]
     if tag == FORMAT_ALAW:
         return ALAW[raw]
     if tag == FORMAT_IMA:
-        return decode_ima(raw[: len(raw) // block * block].reshape(-1, block)).reshape(-1)
+        whole = len(raw) // block * block
+        if block < 4 or 0 < len(raw) - whole < 4:
+            raise ValueError("an ADPCM block is shorter than its header")
+        samples = decode_ima(raw[:whole].reshape(-1, block)).reshape(-1)
+        return np.concatenate([samples, decode_ima(raw[None, whole:]).reshape(-1)]) if whole < len(raw) else samples
     if tag == FORMAT_PCM:
-        return raw[: len(raw) // 2 * 2].view(np.int16)
+        if len(raw) % 2:
+            raise ValueError("the last sample is cut")
+        return raw.view(np.int16)
     raise ValueError(f"format {tag} is not handled")
 
 
 def decode_media(df: DataFrame, media_col: str = "media", block: int = BLOCK) -> DataFrame:
     """The input's columns and ``pcm`` (binary, a 16-bit PCM WAV at twice the rate), ``n_samples`` and ``error``.
 
-    ``media_col`` holds WAV files of mu-law, A-law, IMA ADPCM or 16-bit PCM, one channel. A null gives
-    nulls; what is no such file gives a null ``pcm`` and says why in ``error``. Columns of the input
-    with these names are replaced.
+    ``media_col`` holds WAV files of mu-law, A-law, IMA ADPCM or 16-bit PCM, one channel. ADPCM blocks
+    are as long as the header says, ``block`` bytes if it says 0. A null gives nulls; what is no such
+    file gives a null ``pcm`` and says why in ``error``. Columns of the input with these names are
+    replaced.
     """
     def run(media: pa.Array) -> pa.Array:
         pcm, count, error = [], [], []
@@ -136,7 +156,12 @@ def decode_media(df: DataFrame, media_col: str = "media", block: int = BLOCK) ->
                 if blob is None:
                     raise LookupError
                 tag, rate, data = wav_parts(blob)
-                samples = expand(data, tag, block)
+                channels, align, bits = wav_form(blob)
+                if channels != 1:
+                    raise ValueError(f"{channels} channels are not handled")
+                if bits != BITS.get(tag, bits):
+                    raise ValueError(f"{bits} bits a sample are not handled for format {tag}")
+                samples = expand(data, tag, align or block)
                 twice = resample(samples, np.zeros(min(1, len(samples)), np.int64)) if len(samples) else samples
                 pcm.append(wav(twice.tobytes(), FORMAT_PCM, 2 * rate, 16, 2))
                 count.append(len(twice))
