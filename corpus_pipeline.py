@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
 from ledgerlens.llm.line_dedup import line_dedup
+from ledgerlens.llm.near_copies import first_copies
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality import quality_scores, train
-from ledgerlens.llm.simhash import simhash_table
 from ledgerlens.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +32,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays, and so does one without an id."""
-    first = simhash_table(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the first stays: the smallest id, null ids last.
+
+    A fingerprint of 64 bits is no sieve for this: see the README for the bits in which such copies differ.
+    """
+    return first_copies(docs).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
