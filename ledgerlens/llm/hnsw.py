@@ -3,7 +3,8 @@
 Equal vectors are one node with a multiplicity. A shard's graph is built in waves: a wave's vectors
 search the graph that is there, and each other, for their neighbours. Queries run in blocks: the
 beams of a block go through the graph together. A beam that is full of links is widened, at the end
-to the whole shard, and all beams are widened until an audit against the whole shard is passed.
+to the whole shard, and all beams are widened until an audit against the whole shard is passed. The
+audit takes queries until it has seen enough links, or all queries there are.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ COSINE = 0.9
 #: Vectors of a shard, neighbours of a node (twice as many on the ground layer), beams while building and at first while querying.
 SHARD_ROWS, DEGREE, BUILD_BEAM, FIRST_BEAM = 4096, 12, 48, 48
 WAVE, QUERIES = 256, 512
-#: Queries of each block that are audited, and the share of their links that beams have to find.
-AUDITED, RECALL = 48, 0.99
+#: Links that an audit has to see unless it sees all queries, and the share of them that beams have to find.
+AUDIT_LINKS, RECALL = 500, 0.99
 #: Float products this far below the threshold are verified too.
 MARGIN = 1e-4
 
@@ -148,33 +149,47 @@ class Graph:
 def near_pairs(graph: Graph, q: np.ndarray, cosine: float, first_beam: int = FIRST_BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) candidates with products of at least ``cosine`` less a margin.
 
-    The beam of a query that is full of candidates is widened fourfold, up to the whole shard. A
-    fixed sample of the block is audited against the whole shard; if beams find less than RECALL of
-    its links, all of the block's beams are widened.
+    Queries are audited against the whole shard in a fixed mixed order, until AUDIT_LINKS links or all
+    queries are seen, so that a shard without links is accepted only if no query has any. If beams
+    find less than RECALL of the links seen, all beams are widened.
     """
     at, n = cosine - MARGIN, len(graph.x)
-    sample = np.unique(np.linspace(0, len(q) - 1, AUDITED).astype(np.int64))
-    truth = (q[sample] @ graph.x.T >= at).sum()
-    start = graph.descend(q)
+    order, audited, truth = np.random.default_rng(0).permutation(len(q)), np.zeros(len(q), bool), 0
+    for lo in range(0, len(q), QUERIES):
+        sample = order[lo : lo + QUERIES]
+        audited[sample] = True
+        truth += int((q[sample] @ graph.x.T >= at).sum())
+        if truth >= AUDIT_LINKS:
+            break
+    if not truth and audited.all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     width = first_beam
     while True:
-        out, rows, beam = [], np.arange(len(q)), width
-        while len(rows):
-            if beam * 4 >= n:
-                a, b = np.nonzero(q[rows] @ graph.x.T >= at)
-                out.append((rows[a], b))
-                break
-            ids, sims = graph.search(q[rows], beam, 0, start[rows])
-            full = sims[:, -1] >= at
-            a, k = np.nonzero((sims >= at) & ~full[:, None])
-            out.append((rows[a], ids[a, k].astype(np.int64)))
-            rows, beam = rows[full], beam * 4
-        a, b = (np.concatenate(v) for v in zip(*out))
-        if np.isin(a, sample).sum() >= RECALL * truth or width * 4 >= n:
+        found = [(lo, *_block_pairs(graph, q[lo : lo + QUERIES], at, width)) for lo in range(0, len(q), QUERIES)]
+        a, b = np.concatenate([lo + a for lo, a, _ in found]), np.concatenate([b for *_, b in found])
+        if audited[a].sum() >= RECALL * truth or width * 4 >= n:
             return a, b
         width *= 4
 
 
+def _block_pairs(graph: Graph, q: np.ndarray, at: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with products of at least ``at`` that beams find. A beam full of them is widened fourfold, up to the whole shard."""
+    out, rows, start = [], np.arange(len(q)), None
+    while len(rows):
+        if beam * 4 >= len(graph.x):
+            a, b = np.nonzero(q[rows] @ graph.x.T >= at)
+            out.append((rows[a], b))
+            break
+        start = graph.descend(q) if start is None else start
+        ids, sims = graph.search(q[rows], beam, 0, start[rows])
+        full = sims[:, -1] >= at
+        a, k = np.nonzero((sims >= at) & ~full[:, None])
+        out.append((rows[a], ids[a, k].astype(np.int64)))
+        rows, beam = rows[full], beam * 4
+    a, b = (np.concatenate(v) for v in zip(*out))
+    return a, b
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     label = np.arange(n)
     while len(a):
@@ -250,9 +265,8 @@ def _query_batches(cosine: float, first_beam: int):
                 v, w = _unit(v), _unit(w)
                 qid, qmany, wid, wmany = (np.frombuffer(row[k], np.int64) for k in ("q_id", "q_many", "id", "many"))
                 q_n, w_n, ea, eb = np.zeros(len(qid), np.int64), np.zeros(len(wid), np.int64), [], []
-                for at in range(0, len(qid), QUERIES):
-                    a, b = near_pairs(g, v[at : at + QUERIES].astype(np.float32), cosine, first_beam)
-                    a = a + at
+                if len(qid):
+                    a, b = near_pairs(g, v.astype(np.float32), cosine, first_beam)
                     ok = np.zeros(len(a), bool)
                     for lo in range(0, len(a), 1 << 16):
                         ok[lo : lo + (1 << 16)] = (v[a[lo : lo + (1 << 16)]] * w[b[lo : lo + (1 << 16)]]).sum(1) >= cosine
@@ -262,9 +276,6 @@ def _query_batches(cosine: float, first_beam: int):
                         lo, hi = np.minimum(a, b), np.maximum(a, b)
                         a, b = lo[lo != hi], hi[lo != hi]
                     code = np.unique(a * len(wid) + b)
-                    ea.append(code)
-                if len(ea):
-                    code = np.unique(np.concatenate(ea)) if same else np.concatenate(ea)
                     a, b = code // len(wid), code % len(wid)
                     np.add.at(q_n, a, wmany[b])
                     np.add.at(w_n, b, qmany[a])
