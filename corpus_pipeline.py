@@ -10,7 +10,7 @@ from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.near_copies import first_copies
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.quality import quality_scores, train
-from ledgerlens.llm.suffix_dedup import suffix_dedup
+from ledgerlens.llm.suffix_dedup import suffix_dedup_text
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,12 +41,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeated passages go; a character that a cut leaves in part goes with it."""
-    return _documents(suffix_dedup(docs), _valid(F.col("kept")))
-
-
-def _valid(kept):
-    """Bytes as text: what is no valid UTF-8 after a cut is left out, as are replacement characters (U+FFFD) of the input."""
-    return F.replace(F.make_valid_utf8(kept.cast("string")), F.lit("�"), F.lit(""))
+    return _documents(suffix_dedup_text(docs), F.col("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the learned classifier nor the packing; tests hold the stages against brute force.
+#: SQL cannot express the learned classifier nor the packing; tests hold the stages of copies against brute force.
 ORACLE_SQL = None
 
 

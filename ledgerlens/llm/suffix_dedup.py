@@ -432,6 +432,19 @@ def _rest(body: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _text(body: pa.Array, spans: pa.Array) -> pa.Array:
+    """The text that stays, without the characters that a cut leaves in part; null where nothing is cut."""
+    out = []
+    for text, cut in zip(body, spans):
+        raw = text.as_py()
+        gone, at, parts = _cut(cut.as_py(), len(raw)), 0, []
+        for lo, hi in [*gone, (len(raw), len(raw))]:
+            parts.append(raw[at:lo].decode("utf-8", "ignore"))
+            at = hi
+        out.append("".join(parts) if gone else None)
+    return pa.array(out, pa.string())
+
+
 def _with_spans(df: DataFrame, id_col: str, text_col: str, anchor_limit: int) -> DataFrame:
     base = with_document_key(df, id_col, text_col)
     spans = repeated_spans(base, anchor_limit).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -451,6 +464,13 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return unpack(out, df, {}, {n: F.col("rest").getField(n) for n in ("kept", "n_bytes", "n_removed", "n_spans")})
 
 
+def suffix_dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchor_limit: int = ANCHOR_LIMIT) -> DataFrame:
+    """As suffix_dedup, but with the text that stays in place of the input's; one that isn't cut stays as it is."""
+    out = _with_spans(df, id_col, text_col, anchor_limit)
+    text = F.coalesce(F.arrow_udf(_text, "string")("body", "spans"), F.col("row").getField(text_col).cast("string"), F.lit(""))
+    return unpack(out, df, {text_col: text}, {})
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = _with_spans(documents, "doc_id", "text", ANCHOR_LIMIT)

@@ -42,3 +42,23 @@ def test_simhash_stage_drops_planted_near_copies(spark, documents):
 
 def test_simhash_stage_of_nothing(spark, documents):
     assert P.simhash_stage(spark, documents([]), "").count() == 0
+
+
+def test_simhash_stage_keeps_one_of_rows_without_an_id(spark, documents):
+    text = " ".join(f"v{k}" for k in range(50))
+    other = " ".join(f"z{k}" for k in range(50))
+    rows = [(None, text), (None, text), (None, other), (None, other), (None, other), (7, text), (8, "seven words that no other text has"), (8, "seven words that no other text has")]
+    got = sorted((x["doc_id"] or 99, x["text"]) for x in P.simhash_stage(spark, documents(rows), "").collect())
+    assert got == [(7, text), (8, rows[-1][1]), (99, other)]
+
+
+def test_suffix_stage_trims_cut_characters_only(spark, documents):
+    r = random.Random(5)
+    letters = lambda k: "".join(r.choices("abcdefgh ", k=k))
+    shared = letters(150)
+    # U+00E9 and U+00E8 share their first byte, U+00E9 and U+0129 their last
+    rows = [
+        (1, "clean \ufffd text"), (2, letters(30) + "\u00e9" + shared + "\u00e9" + letters(30)), (3, "A\ufffdB" + "\u0129" + shared + "\u00e8" + "C\ufffdD"), (4, None),
+    ]
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in P.suffix_stage(spark, documents(rows), "").collect()}
+    assert got == {1: ("clean \ufffd text", 12), 2: (rows[1][1], len(rows[1][1])), 3: ("A\ufffdBC\ufffdD", 6), 4: ("", 0)}
