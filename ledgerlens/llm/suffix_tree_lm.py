@@ -1,19 +1,22 @@
 """LM scoring: a probabilistic suffix tree over words, grown level by level with shuffled counts.
 
 Texts are tokenised once into blocks. On each level a block asks, for each distinct pair of a context
-and a symbol that it holds, how often all training texts have it. Asks go by a hash of the context, so
-all symbols of a context meet in one place; there counts are summed, the context is kept or not by a
-divergence test against its suffix, and each block gets the probability back. Nothing of the model
-is held whole: it is as distributed as its counts, and grows with the corpus.
+(a node of the tree, which has a number) and a next word, how often all training texts have it. Asks
+of a context meet in one bucket; those of a context that is too common for a bucket are dealt by pair,
+and only its sums are put together. A context is kept or not by a divergence test against its suffix;
+pairs that are seen often become the contexts of the next level. Blocks get counts and numbers back.
+Nothing of the model is held whole: it is as distributed as its counts, and grows with the corpus.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -21,189 +24,324 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import discard, release, shared_dir, written
+from ledgerlens.llm.suffix_dedup import utf8
 
-#: Words of the longest context.
-DEPTH = 2
-#: Bytes of text of a block, and blocks for each bucket of contexts.
+#: Words of the longest context: the memory of the tree. Shorter contexts end where the tests below end them.
+DEPTH = 3
+#: Bytes of text of a block, and blocks for each bucket of asks.
 BLOCK_BYTES, BLOCKS_A_BUCKET = 1 << 22, 4
-#: A context is kept if it is seen so often and its distribution diverges so much (in nats, summed over what is seen).
+#: A context is looked at if it is seen so often, and kept if its distribution diverges so much (in nats, over all it is seen with).
 LEAST_SEEN, DIVERGENCE = 4, 4.0
-#: Weight of the suffix's distribution in a kept context's.
-PRIOR = 2.0
+#: What is taken off each count of a kept context and given to its suffix's distribution.
+DISCOUNT = 0.8
 FLOOR = 0.1
+#: A context with more than this share of a bucket's tokens is dealt by pair; there are never more than MOST_HOT of these.
+HOT_SHARE, MOST_HOT = 8, 1 << 20
+#: Steps of a probability, for the divergence test, in powers of two.
+STEPS = 8
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 1))
 M = np.uint64
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 BLOCKS = "block long, id array<long>, n array<long>, train array<boolean>, words binary, tokens binary"
-ANSWER = "block long, bucket int, a binary, b binary, n long, v long"
-
-
-#: Bytes of a symbol's hash in an ask; symbols have to be told apart within one context only.
-SYMBOL_BYTES = 5
-SYMBOL = M((1 << 8 * SYMBOL_BYTES) - 1)
+CODED = "block long, id array<long>, n array<long>, train array<boolean>, tokens binary, word binary, seen binary, known array<long>, base array<double>, done array<double>"
+STATE = "block long, open binary, context binary, prob binary, done array<double>"
+ASKS = "block long, bucket int, context binary, run binary, symbol binary, count binary, prob binary"
+ANSWERS = "block long, bucket int, n binary, child binary, total binary, kinds binary, hot binary, sums binary, v long"
+SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers or floats, byte by byte and without the leading bytes that are all zero, compressed."""
+    octets = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize)
+    width = a.itemsize
+    if a.dtype.kind == "u":
+        width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(octets[:, :width].T).tobytes())
+
+
+def _unpacked(b: bytes, dtype=M) -> np.ndarray:
+    width, octets, size = b[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8), np.dtype(dtype).itemsize
+    out = np.zeros((len(octets) // width, size), np.uint8)
+    out[:, :width] = octets.reshape(width, -1).T
+    return out.view(dtype)[:, 0]
 
 
-def _packed(a: np.ndarray, width: int = 0) -> bytes:
-    """An array's low ``width`` bytes (default: all), byte by byte, compressed."""
-    octets = a.view(np.uint8).reshape(-1, a.itemsize)[:, : width or a.itemsize]
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(octets.T).tobytes())
+def _steps(a: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Differences of numbers that rise from each place in ``start`` on."""
+    out = a.copy()
+    out[1:] -= a[:-1]
+    out[start] = a[start]
+    return out
 
 
-def _unpacked(b: bytes, dtype, width: int = 0) -> np.ndarray:
-    octets = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    size = np.dtype(dtype).itemsize
-    out = np.zeros((len(octets) // (width or size), size), np.uint8)
-    out[:, : width or size] = octets.reshape(width or size, -1).T
-    return out.view(dtype)[:, 0]
+def _summed(d: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The inverse of ``_steps``."""
+    c = np.cumsum(d, dtype=M)
+    return c - np.repeat(c[start] - d[start], run)
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes, in order."""
-    h = (a ^ (b * M(0x9E3779B97F4A7C15) + M(0x632BE59BD9B4E019))) * M(0xC2B2AE3D27D4EB4F)
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h + M(0x632BE59BD9B4E019)) * M(0x9E3779B97F4A7C15)
     h ^= h >> M(29)
-    h *= M(0x165667B19E3779F9)
+    h *= M(0xC2B2AE3D27D4EB4F)
     return h ^ (h >> M(32))
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> M(33)) % M(buckets)).astype(np.int64)
-
-
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, made = TaskContext.get().partitionId(), 0
-
-    def block(rows):
-        nonlocal made
-        place: dict[bytes, int] = {}
-        flat, n = [], []
-        for _, text, _ in rows:
-            words = text.encode("utf-8", "surrogatepass").lower().split()
-            flat.extend([place.setdefault(w, len(place)) for w in words])
-            flat.append(-1)
-            n.append(len(words) + 1)
-        hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in place], M)
-        tokens = np.array(flat, np.int64)
-        tokens[tokens < 0] = len(hashes)
-        made += 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part << 32 | made]), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())),
-             pa.array([[r[2] for r in rows]], pa.list_(pa.bool_())), pa.array([np.r_[hashes, END].tobytes()]), pa.array([_packed(tokens.astype(np.uint32))])],
-            names=["block", "id", "n", "train", "words", "tokens"],
-        )
+def _bucket(context: np.ndarray, symbol: np.ndarray | None, buckets: int) -> np.ndarray:
+    """Where asks go: by the context, or by the pair if the context's lowest bit says that it is hot."""
+    h = _mix(context)
+    if symbol is not None:
+        h = np.where(context & M(1) == 1, _mix(h ^ _mix(symbol)), h)
+    return ((h >> M(20)) % M(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
+
+
+def _starts(sorted_: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _distinct(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of ``key`` in order, where each comes first, and each place's value's number; all are under ``top``."""
+    bits = len(key).bit_length()
+    if int(top).bit_length() + bits > 63:
+        return np.unique(key, return_index=True, return_inverse=True)
+    # the place rides along in the low bits, so that one plain sort does
+    v = np.sort(key.astype(np.int64) << bits | np.arange(len(key)))
+    at = v & ((1 << bits) - 1)
+    v >>= bits
+    start = _starts(v)
+    new = np.zeros(len(v), np.int64)
+    new[start[1:]] = 1
+    number = np.empty(len(v), np.int64)
+    number[at] = np.cumsum(new)
+    return v[start].astype(key.dtype), at[start], number
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of texts in bytes, the words' places in that list text by text (an end token is one more), and each text's tokens."""
+    data, at = LOWER[data[at[0] : at[-1]]], at - at[0]
+    blank = BLANK[data]
+    cut = np.sort(np.concatenate([at, np.flatnonzero(blank[1:] != blank[:-1]) + 1]))
+    cut = cut[_starts(cut)]
+    word = cut[:-1][~blank[cut[:-1]]]
+    size = np.diff(cut)[~blank[cut[:-1]]]
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[~blank].tobytes())]).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    n = np.diff(np.searchsorted(word, at))
+    tokens = np.full(len(word) + len(n), len(names), np.uint32)
+    tokens[np.arange(len(word)) + np.repeat(np.arange(len(n)), n)] = coded.indices.to_numpy()
+    return names, tokens, n + 1
+
+
+def _block_batches(block_bytes: int):
+    def block(number: int, rows: pa.Table) -> pa.RecordBatch:
+        names, tokens, n = _words(*utf8(rows.column("body").combine_chunks()))
+        hashes = np.array([xxhash.xxh64_intdigest(w, 0) for w in names], M)
+        return _row(
+            {"block": [number], "id": [rows.column("id").to_pylist()], "n": [n.tolist()], "train": [rows.column("train").to_pylist()], "words": [np.r_[hashes, END].tobytes()], "tokens": [_packed(tokens)]}, BLOCKS
+        )
 
-    rows, size = [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "body", "train"))):
-            rows.append(row)
-            size += len(row[1]) + 64
-            if size > BLOCK_BYTES:
-                yield block(rows)
-                rows, size = [], 0
-    if rows:
-        yield block(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held = TaskContext.get().partitionId() << 32, 0, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            size = np.cumsum(pc.binary_length(held.column("body")).to_numpy().astype(np.int64) + 64)
+            at = 0
+            while at < held.num_rows and size[-1] - (size[at - 1] if at else 0) > block_bytes:
+                upto = int(np.searchsorted(size, (size[at - 1] if at else 0) + block_bytes)) + 1
+                made += 1
+                yield block(part | made, held.slice(at, upto - at))
+                at = upto
+            held = held.slice(at)
+        if held is not None and held.num_rows:
+            yield block(part | made + 1, held)
+
+    return run
+
+
+def _row(values: dict, ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds |= {f"array<{k}>": pa.list_(t) for k, t in kinds.items()}
+    fields = [f.split(" ") for f in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(values[c], kinds[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
 class _Block:
-    """A block's tokens, and its distinct (context, symbol) pairs of one level in the order in which it asks."""
+    """A block's tokens by the numbers of their words."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, total: int, kinds: int):
         self.n = np.array(row["n"], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64)
         self.tokens = _unpacked(row["tokens"], np.uint32)
-        self.hashes = np.frombuffer(row["words"], M)[self.tokens]
-        self.train = np.repeat(np.array(row["train"], bool), self.n)
-        self.place = np.arange(len(self.hashes)) - np.repeat(self.first, self.n)
-
-    def prob(self, row: dict) -> np.ndarray:
-        """Each token's probability so far: its word's, but where a kept context gives another."""
-        own = _unpacked(row["prob"], np.float32)
-        return np.where(np.isnan(own), np.frombuffer(row["word_prob"], np.float32)[self.tokens], own)
-
-    def level(self, depth: int, open_: np.ndarray, buckets: int):
-        """Positions that take part, their pair's number, and the pairs' contexts, keys and training counts."""
-        at = np.flatnonzero((self.place >= depth) & open_)
-        key = context = self.hashes[at]
-        if depth:
-            context = self.hashes[at - 1]
-            for k in range(2, depth + 1):
-                context = _mix(context, self.hashes[at - k])
-            key = _mix(context, self.hashes[at] & SYMBOL)
-        pairs, one, number = np.unique(key, return_index=True, return_inverse=True)
-        context = context[one]
-        order = np.lexsort((pairs, context, _bucket(context, buckets)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        count = np.bincount(rank[number], self.train[at], minlength=len(order)).astype(np.uint32)
-        return at, rank[number], one[order], context[order], (self.hashes[at][one] & SYMBOL if depth else pairs)[order], count
-
-
-def _split(context: np.ndarray, buckets: int):
-    b = _bucket(context, buckets)
-    cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else np.zeros(0, np.int64)
-    return [(int(b[lo]), slice(int(lo), int(hi))) for lo, hi in zip(cut, np.r_[cut[1:], len(b)])]
-
-
-def _ask(depth: int, buckets: int):
+        self.word, self.seen = _unpacked(row["word"]), _unpacked(row["seen"])
+        self.last = np.zeros(len(self.tokens), bool)
+        self.last[np.cumsum(self.n) - 1] = True
+        self.word_prob = (self.seen + FLOOR) / (total + FLOOR * (kinds + 1))
+
+    def summed(self, values: np.ndarray) -> np.ndarray:
+        """The sum of each text's values, one a token."""
+        return np.add.reduceat(values, np.cumsum(self.n) - self.n)
+
+    def first_level(self):
+        """Places whose word before is seen often enough to be a context, None as that is the context, and the places' probabilities."""
+        at = np.flatnonzero((self.seen >= LEAST_SEEN)[self.tokens] & ~self.last) + 1
+        return at, None, self.word_prob.astype(np.float32)[self.tokens[at]]
+
+    def level(self, row: dict):
+        if row.get("open") is None:
+            return self.first_level()
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(row["open"], np.uint8), count=len(self.tokens)))
+        return at, _unpacked(row["context"]), _unpacked(row["prob"], np.float32)
+
+    def pairs(self, at: np.ndarray, context: np.ndarray | None, buckets: int):
+        """Each place's pair, and the pairs' contexts, words and buckets in the order in which they are asked for."""
+        # words that training texts lack share a number
+        words, _, rank = _distinct(self.word, self.word.max(initial=M(0)))
+        if context is None:
+            contexts, c = words, rank[self.tokens[at - 1]]
+        else:
+            contexts, _, c = _distinct(context, context.max(initial=M(0)))
+        pair, _, number = _distinct(c * len(words) + rank[self.tokens[at]], len(contexts) * len(words))
+        context, symbol = contexts[pair // len(words)], words[pair % len(words)]
+        bucket = _bucket(context, symbol, buckets)
+        order = np.argsort(bucket, kind="stable")
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        return to[number], context[order], symbol[order], bucket[order].astype(np.int64)
+
+
+def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row)
-                open_ = _unpacked(row["open"], bool) if depth else np.ones(len(b.hashes), bool)
-                at, _, one, context, symbol, count = b.level(depth, open_, buckets)
-                parent = b.prob(row)[at[one]] if depth else None
-                cols = [[], [], [], [], [], []]
-                for bucket, s in _split(context, buckets):
-                    if depth:
-                        own = context[s]
-                        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                        run_ = np.diff(np.r_[cut, len(own)]).astype(np.uint32)
-                        got = (_packed(own[cut]), _packed(run_), _packed(symbol[s], SYMBOL_BYTES), _packed(count[s]), _packed(parent[s]))
-                    else:
-                        got = (b"", b"", _packed(symbol[s]), _packed(count[s]), b"")
-                    for c, v in zip(cols, (bucket, *got)):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(cols[0]), pa.int64()), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                    names=["block", "bucket", "context", "run", "symbol", "count", "parent"],
-                )
+                words = np.frombuffer(row["words"], M)
+                train = np.repeat(np.array(row["train"], bool), row["n"])
+                count = np.bincount(_unpacked(row["tokens"], np.uint32), train, len(words)).astype(M)
+                order = _word_order(words, buckets)
+                bucket = _bucket(words[order], None, buckets).astype(np.int64)
+                cut = [*_starts(bucket), len(order)]
+                out = {c: [] for c in ("block", "bucket", "context", "run", "symbol", "count", "prob")}
+                for lo, hi in pairwise(cut):
+                    for c, v in zip(out, (row["block"], bucket[lo], b"", b"", words[order][lo:hi].tobytes(), _packed(count[order][lo:hi]), b"")):
+                        out[c].append(v)
+                yield _row(out, ASKS)
 
     return run
 
 
-def _answer(depth: int):
-    """Sums a bucket's counts and answers each of its asks; a partition's asks come sorted by bucket."""
+def _word_order(words: np.ndarray, buckets: int) -> np.ndarray:
+    return np.lexsort((words, _bucket(words, None, buckets)))
+
+
+def _ask(buckets: int, total: int, kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block(row, total, kinds)
+                at, context, prob = b.level(row)
+                number, context, symbol, bucket = b.pairs(at, context, buckets)
+                train = np.repeat(np.array(row["train"], bool), b.n)
+                count = np.bincount(number[train[at]], minlength=len(context)).astype(M)
+                own = np.empty(len(context), np.float32)
+                own[number] = prob
+                step = np.clip(np.rint(-STEPS * np.log2(own)), 0, 255).astype(np.uint8)
+                out = {c: [] for c in ("block", "bucket", "context", "run", "symbol", "count", "prob")}
+                for lo, hi in pairwise([*_starts(bucket), len(bucket)]):
+                    own = context[lo:hi]
+                    start = _starts(own)
+                    run_ = np.diff(np.append(start, hi - lo)).astype(M)
+                    values = (row["block"], bucket[lo], _packed(_steps(own[start], np.zeros(1, np.int64))), _packed(run_), _packed(_steps(symbol[lo:hi], start)), _packed(count[lo:hi]), _packed(step[lo:hi]))
+                    for c, v in zip(out, values):
+                        out[c].append(v)
+                yield _row(out, ASKS)
+
+    return run
+
+
+def _numbered(n: np.ndarray, own: np.ndarray, bucket: int, buckets: int, hot: int) -> np.ndarray:
+    """Numbers of this bucket's nodes, different from all other buckets': the lowest bit says whether a node is hot. 0 is none."""
+    return ((M(1) + own.astype(M) * M(buckets) + M(bucket)) << M(1)) | (n >= M(hot)).astype(M)
+
+
+def _answer_words(buckets: int, hot: int):
+    """Sums a bucket's counts of words and numbers these, the commonest first."""
 
     def one(asks: list[dict]) -> pa.RecordBatch:
-        count = [_unpacked(a["count"], np.uint32) for a in asks]
-        sizes = np.cumsum([len(c) for c in count])[:-1]
-        symbol = np.concatenate([_unpacked(a["symbol"], M, SYMBOL_BYTES if depth else 0) for a in asks])
-        pair = symbol
-        if depth:
-            context = np.concatenate([np.repeat(_unpacked(a["context"], M), _unpacked(a["run"], np.uint32)) for a in asks])
-            pair = _mix(context, symbol)
-        pairs, first, number = np.unique(pair, return_index=True, return_inverse=True)
-        n = np.bincount(number, np.concatenate(count), minlength=len(pairs)).astype(np.int64)
-        total, kinds = [0] * len(asks), [0] * len(asks)
-        if not depth:
-            total[0], kinds[0] = int(n.sum()), int((n > 0).sum())
-            out_a, out_b = n[number].astype(np.uint64), None
-        else:
-            parent = np.concatenate([_unpacked(a["parent"], np.float32) for a in asks])[first].astype(np.float64)
-            _, place = np.unique(context[first], return_inverse=True)
-            seen = np.bincount(place, n)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = np.where(n > 0, n * np.log(n / seen[place] / parent), 0.0)
-            kept = (seen >= LEAST_SEEN) & (np.bincount(place, gain) >= DIVERGENCE)
-            # a context that is not kept has no distribution of its own
-            p = np.where(kept[place], (n + PRIOR * parent) / (seen[place] + PRIOR), np.nan).astype(np.float32)
-            # a longer context is worth asking for where this pair is seen often enough
-            out_a, out_b = p[number], (n >= LEAST_SEEN)[number]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([a["block"] for a in asks], pa.int64()), pa.array([a["bucket"] for a in asks], pa.int32()),
-             pa.array([_packed(x) for x in np.split(out_a, sizes)], pa.binary()),
-             pa.array([_packed(x) for x in np.split(out_b, sizes)] if out_b is not None else [b""] * len(asks), pa.binary()), pa.array(total, pa.int64()), pa.array(kinds, pa.int64())],
-            names=["block", "bucket", "a", "b", "n", "v"],
+        symbol = [np.frombuffer(a["symbol"], M) for a in asks]
+        sizes = np.cumsum([len(s) for s in symbol])[:-1]
+        words, number = np.unique(np.concatenate(symbol), return_inverse=True)
+        n = np.bincount(number, np.concatenate([_unpacked(a["count"]) for a in asks]), len(words)).astype(M)
+        rank = np.empty(len(words), np.int64)
+        rank[np.lexsort((words, ~n))] = np.arange(len(words))
+        node = np.where(n > 0, _numbered(n, rank, asks[0]["bucket"], buckets, hot), M(0))
+        very = n >= M(hot)
+        return _answers(asks, [_packed(x) for x in np.split(n[number], sizes)], [_packed(x) for x in np.split(node[number], sizes)], None, (node[very], n[very]), None, int((n > 0).sum()))
+
+    return _by_bucket(one)
+
+
+def _answers(asks, n, child, contexts, hot, sums, v=0) -> pa.RecordBatch:
+    k = len(asks)
+    total, kinds = contexts or ([b""] * k, [b""] * k)
+    first = lambda x: [None if x is None or not len(x[0]) else b"".join(y.tobytes() for y in x), *[None] * (k - 1)]
+    return _row({"block": [a["block"] for a in asks], "bucket": [a["bucket"] for a in asks], "n": n, "child": child, "total": total, "kinds": kinds, "hot": first(hot), "sums": first(sums), "v": [v, *[0] * (k - 1)]}, ANSWERS)
+
+
+def _answer(buckets: int, hot: int, known):
+    """Sums a bucket's counts of pairs, tests its contexts, and numbers the pairs that are contexts themselves.
+
+    ``known`` has the nodes and counts of the hot contexts of this level.
+    """
+
+    def one(asks: list[dict]) -> pa.RecordBatch:
+        runs = [_unpacked(a["run"]).astype(np.int64) for a in asks]
+        context = [_summed(_unpacked(a["context"]), np.zeros(1, np.int64), np.array([len(r)])) for a, r in zip(asks, runs)]
+        symbol = np.concatenate([_summed(_unpacked(a["symbol"]), np.cumsum(r) - r, r) for a, r in zip(asks, runs)])
+        sizes, parts = np.cumsum([r.sum() for r in runs])[:-1], np.cumsum([len(r) for r in runs])[:-1]
+        run_ = np.concatenate(runs)
+        context = np.concatenate(context)
+        contexts, _, c = _distinct(context, context.max(initial=M(0)))
+        top = int(symbol.max(initial=M(0))) + 1
+        if top * len(contexts) >> 63:
+            symbol = _distinct(symbol, top)[2]
+            top = len(symbol)
+        pair, first, number = _distinct(np.repeat(c, run_) * top + symbol.astype(np.int64), top * len(contexts))
+        n = np.bincount(number, np.concatenate([_unpacked(a["count"]) for a in asks]), len(pair)).astype(M)
+        owner = pair // top
+        total, kinds = np.bincount(owner, n, len(contexts)), np.bincount(owner, n > 0, len(contexts))
+        is_hot = contexts & M(1) == 1
+        if is_hot.any():
+            node, count = known.value
+            total[is_hot] = count[np.searchsorted(node, contexts[is_hot])]
+        prob = np.exp2(-np.concatenate([_unpacked(a["prob"], np.uint8) for a in asks])[first].astype(float) / STEPS)
+        gain = np.bincount(owner, _gain(n.astype(float), total[owner], prob), len(contexts))
+        kept = (gain >= DIVERGENCE) & (total >= LEAST_SEEN) & ~is_hot
+        often = n >= M(LEAST_SEEN)
+        child = np.zeros(len(pair), M)
+        child[often] = _numbered(n[often], np.arange(often.sum()), asks[0]["bucket"], buckets, hot)
+        very = n >= M(hot)
+        back = [c[lo:hi] for lo, hi in pairwise([0, *parts, len(c)])]
+        told = [np.where(kept, x, 0).astype(M) for x in (total, kinds)]
+        mine = [number[lo:hi] for lo, hi in pairwise([0, *sizes, len(number)])]
+        return _answers(
+            asks, [_packed(n[k]) for k in mine], [_packed(child[k[often[k]]]) for k in mine],
+            tuple([_packed(x[k]) for k in back] for x in told), (child[very], n[very]),
+            (contexts[is_hot], kinds[is_hot].astype(M), gain[is_hot]),
         )
 
+    return _by_bucket(one)
+
+
+def _gain(n: np.ndarray, total: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """What a pair adds to its context's divergence: of the distribution without the one occurrence, mixed half and half with
+    the suffix's, against the suffix's. A word seen once speaks against the context."""
+    return np.where(n > 0, n * np.log(0.5 + 0.5 * np.maximum(n - 1, 0) / (np.maximum(total, 1) * prob)), 0.0)
+
+
+def _by_bucket(one):
+    """Calls ``one`` with all asks of a bucket; a partition's asks come sorted by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
@@ -218,100 +356,181 @@ def _answer(depth: int):
     return run
 
 
-def _joined(answers: list[dict] | None, dtype, field: str) -> np.ndarray:
-    return np.concatenate([_unpacked(a[field], dtype) for a in sorted(answers, key=lambda a: a["bucket"])]) if answers else np.zeros(0, dtype)
+def _joined(answers: list[dict] | None, field: str) -> np.ndarray:
+    return np.concatenate([_unpacked(a[field]) for a in answers]) if answers else np.zeros(0, M)
+
+
+def _in_order(row: dict) -> list[dict]:
+    return sorted(row["answers"] or [], key=lambda a: a["bucket"])
+
+
+def _code(buckets: int, total: int, kinds: int):
+    """Blocks by the numbers of their words, with each text's known tokens, base score, and score of the places that no context speaks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                answers = _in_order(row)
+                order = _word_order(np.frombuffer(row["words"], M), buckets)
+                word, seen = np.empty(len(order), M), np.empty(len(order), M)
+                word[order], seen[order] = _joined(answers, "child"), _joined(answers, "n")
+                row |= {"word": _packed(word), "seen": _packed(seen)}
+                b = _Block(row, total, kinds)
+                log = np.log10(b.word_prob)[b.tokens]
+                done = log.copy()
+                done[b.first_level()[0]] = 0
+                known = b.summed((b.seen > 0).astype(np.int64)[b.tokens])
+                row |= {"known": known.tolist(), "base": b.summed(log).tolist(), "done": b.summed(done).tolist()}
+                yield _row({c: [v] for c, v in row.items()}, CODED)
+
+    return run
 
 
-def _take(depth: int, buckets: int, total: int, kinds: int):
-    """Blocks with each token's probability so far, and whether a longer context is asked for there."""
+def _take(buckets: int, total: int, kinds: int, hot, last: bool):
+    """The places that a longer context is asked for, their contexts and probabilities so far; at the ``last`` level the scores.
+
+    ``hot`` has the nodes, counts and kinds of the hot contexts that are kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row)
-                if not depth:
-                    _, number, *_ = b.level(0, np.ones(len(b.hashes), bool), buckets)
-                    c = _joined(row["answers"], np.uint64, "a").astype(np.float64)[number]
-                    p = (c + FLOOR) / (total + FLOOR * (kinds + 1))
-                    word = np.zeros(len(row["words"]) // 8, np.float32)
-                    word[b.tokens] = p
-                    word, prob = word.tobytes(), np.full(len(b.tokens), np.nan, np.float32)
-                    sums = [np.bincount(np.repeat(np.arange(len(b.n)), b.n), v, minlength=len(b.n)) for v in (c > 0, np.log10(p))]
-                    # the token before has to be seen often enough to be a context
-                    open_ = np.r_[False, c[:-1] >= LEAST_SEEN]
-                    known, base = [int(x) for x in sums[0]], sums[1].tolist()
-                else:
-                    prob, before = _unpacked(row["prob"], np.float32).copy(), _unpacked(row["open"], bool)
-                    at, number, *_ = b.level(depth, before, buckets)
-                    new = _joined(row["answers"], np.float32, "a")[number]
-                    prob[at] = np.where(np.isnan(new), prob[at], new)
-                    often = np.zeros(len(prob), bool)
-                    often[at] = _joined(row["answers"], bool, "b")[number]
-                    open_ = np.r_[False, often[:-1]]
-                    known, base, word = row["known"], row["base"], row["word_prob"]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([row[c]], batch.schema.field(c).type) for c in ("block", "id", "n", "train", "words", "tokens")),
-                     pa.array([word], pa.binary()), pa.array([_packed(prob)], pa.binary()), pa.array([_packed(open_[: len(prob)])], pa.binary()), pa.array([known], pa.list_(pa.int64())), pa.array([base], pa.list_(pa.float64()))],
-                    names=["block", "id", "n", "train", "words", "tokens", "word_prob", "prob", "open", "known", "base"],
-                )
+                b = _Block(row, total, kinds)
+                answers = _in_order(row)
+                at, context, prob = b.level(row)
+                number, asked, _, bucket = b.pairs(at, context, buckets)
+                n = _joined(answers, "n")
+                often = n >= M(LEAST_SEEN)
+                child = np.zeros(len(n), M)
+                child[often] = _joined(answers, "child")
+                # a context has a number a run of its pairs
+                new = np.ones(len(asked), bool)
+                new[1:] = (asked[1:] != asked[:-1]) | (bucket[1:] != bucket[:-1])
+                which = np.cumsum(new) - 1
+                seen, types = (_joined(answers, c)[which].astype(float) for c in ("total", "kinds"))
+                node, count, many = hot.value
+                if len(node):
+                    k = np.minimum(np.searchsorted(node, asked), len(node) - 1)
+                    own = node[k] == asked
+                    seen[own], types[own] = count[k[own]], many[k[own]]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    part, rest = np.maximum(n.astype(float) - DISCOUNT, 0) / seen, DISCOUNT * types / seen
+                told = seen > 0
+                prob = np.where(told[number], part[number] + rest[number] * prob, prob).astype(np.float32)
+                go = often[number] & ~b.last[at] & (not last)
+                open_ = np.zeros(len(b.tokens), bool)
+                open_[at[go] + 1] = True
+                ended = ~open_[at]
+                log = np.zeros(len(b.tokens))
+                log[at[ended]] = np.log10(prob[ended])
+                done = np.array(row["done"]) + b.summed(log)
+                if last:
+                    yield _row({"id": row["id"], "train": row["train"], "n_tokens": row["n"], "n_known": row["known"], "base_score": row["base"], "score": done}, SCORES)
+                    continue
+                whole = np.zeros(len(b.tokens), np.float32)
+                whole[at] = prob
+                yield _row({"block": [row["block"]], "open": [np.packbits(open_).tobytes()], "context": [_packed(child[number[go]])], "prob": [_packed(whole[open_])], "done": [done.tolist()]}, STATE)
 
     return run
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Bucketed:
+    """A table of blocks by the hash of their number, so that answers come to them and they stay in place."""
+
+    def __init__(self, df: DataFrame, buckets: int):
+        self.spark, self.name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{self.name}"
+        df.write.bucketBy(buckets, "block").sortBy("block").option("compression", "none").option("path", path).saveAsTable(self.name)
+        release(self.spark)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        discard(self.df)
+        self.spark.sql(f"DROP TABLE {self.name}")
+
+
+def _hot_nodes(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hot nodes and their counts, at most MOST_HOT."""
+    found = [np.frombuffer(r["hot"], M).reshape(2, -1) for r in answers.where("hot is not null").select("hot").collect()]
+    node, count = np.concatenate(found, 1) if found else np.zeros((2, 0), M)
+    order = np.argsort(node)
+    return node[order], count[order]
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            n = np.array(row["n"], np.int64)
-            log = np.log10(_Block(row).prob(row).astype(np.float64))
-            score = np.bincount(np.repeat(np.arange(len(n)), n), log, minlength=len(n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["id"], pa.int64()), pa.array(row["train"], pa.bool_()), pa.array(n), pa.array(row["known"], pa.int64()), pa.array(row["base"], pa.float64()), pa.array(score)],
-                names=["id", "train", "n_tokens", "n_known", "base_score", "score"],
-            )
+            got = np.frombuffer(row["sums"], np.int64).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].view(np.float64))], names=["node", "kinds", "gain"])
 
 
-def _bucketed(state: DataFrame, buckets: int) -> DataFrame:
-    """Blocks written by the hash of their number, so that answers come to them and their tokens stay in place."""
-    spark, table = state.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{table}"
-    state.write.bucketBy(buckets, "block").sortBy("block").option("compression", "zstd").option("path", path).saveAsTable(table)
-    release(spark)
-    return spark.table(table)
+def _hot_sums(answers: DataFrame, node: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the hot contexts of a level those that are kept, with their counts and kinds."""
+    if not len(node):
+        return node, count, count
+    rows = answers.where("sums is not null").select("sums").mapInArrow(_sum_rows, "node long, kinds long, gain double")
+    kept = rows.groupBy("node").agg(F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).where(F.col("gain") >= DIVERGENCE).toPandas().sort_values("node")
+    own = kept["node"].to_numpy(np.int64).view(M)
+    return own, count[np.searchsorted(node, own)], kept["kinds"].to_numpy(np.int64)
 
 
-def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+def suffix_tree_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, hot_share: int = HOT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Words are runs of anything but blank and 0x09-0x0D, A-Z lower-cased; each text has an end token
     besides. A null text is empty: its end token is scored. The model learns from documents whose
     CRC-32 of the id, modulo 10, is not 0 (a null id counts as an empty text) and scores all. Each
     row is a document of its own, so repeated rows count each. With no training texts all tokens are
-    unknown. An empty table gives an empty table.
+    unknown. An empty table gives an empty table. Columns besides the two are not looked at.
 
-    A token's probability is that of the longest kept context before it; one that is not kept leaves
-    its suffix's. All distributions, with one symbol for all unknown words, sum to one.
+    A token's probability is that of the longest kept context before it, of ``depth`` words at most. In
+    a kept context each count is DISCOUNT less and what is taken off goes to the suffix's
+    distribution; one that is not kept has its suffix's. With one symbol for all unknown words, all
+    distributions sum to one.
     """
     spark = df.sparkSession
     train = F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 10 != 0
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("body"), train.alias("train"))
-    blocks = written(texts.mapInArrow(_block_batches, BLOCKS), "blocks")
-    buckets = max(12, blocks.count() // BLOCKS_A_BUCKET)
-    state = _bucketed(blocks.repartition(buckets, "block"), buckets)
-    discard(blocks)
-    total = kinds = 0
-    ddl = BLOCKS + ", word_prob binary, prob binary, open binary, known array<long>, base array<double>"
-    for level in range(depth + 1):
-        asks = state.mapInArrow(_ask(level, buckets), "block long, bucket int, context binary, run binary, symbol binary, count binary, parent binary")
-        answers = written(asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(level), ANSWER), "answers")
-        if not level:
-            sums = answers.agg(F.sum("n"), F.sum("v")).first()
-            total, kinds = int(sums[0] or 0), int(sums[1] or 0)
-        back = answers.repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "a", "b")).alias("answers"))
-        scored = state.join(back.hint("merge"), "block", "left").mapInArrow(_take(level, buckets, total, kinds), ddl)
-        now = written(scored, "scored") if level == depth else _bucketed(scored, buckets)
-        discard(state, answers)
-        state = now
-    out = state.mapInArrow(_scores, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    raw = written(texts.mapInArrow(_block_batches(block_bytes), BLOCKS), "blocks")
+    learned = F.aggregate(F.arrays_zip("n", "train"), F.lit(0).cast("long"), lambda a, x: a + F.when(x["train"], x["n"]).otherwise(0))
+    size = raw.agg(F.count("*").alias("blocks"), F.coalesce(F.sum(learned), F.lit(0)).alias("total")).first()
+    buckets, total = max(12, size["blocks"] // BLOCKS_A_BUCKET), size["total"]
+    # a context below this takes a small part of a bucket
+    hot = max(LEAST_SEEN, total // (hot_share * buckets), total // MOST_HOT)
+    blocks = _Bucketed(raw.repartition(buckets, "block"), buckets)
+    discard(raw)
+
+    def asked(rows: DataFrame, ask, answer) -> DataFrame:
+        asks = rows.mapInArrow(ask, ASKS)
+        return written(asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, ANSWERS), "answers")
+
+    def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+        back = answers.select("block", F.struct("bucket", "n", "child", "total", "kinds").alias("a")).repartition(buckets, "block")
+        return rows.join(back.groupBy("block").agg(F.collect_list("a").alias("answers")).hint("merge"), "block", "left")
+
+    answers = asked(blocks.df, _ask_words(buckets), _answer_words(buckets, hot))
+    kinds = answers.agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+    node, count = _hot_nodes(answers)
+    coded = _Bucketed(with_answers(blocks.df, answers).mapInArrow(_code(buckets, total, kinds), CODED), buckets)
+    blocks.drop()
+    state = None
+    for level in range(1, depth + 1):
+        discard(answers)
+        rows = coded.df if state is None else coded.df.drop("done").join(state.df.hint("merge"), "block")
+        answers = asked(rows, _ask(buckets, total, kinds), _answer(buckets, hot, spark.sparkContext.broadcast((node, count))))
+        kept = spark.sparkContext.broadcast(_hot_sums(answers, node, count))
+        node, count = _hot_nodes(answers)
+        taken = with_answers(rows, answers).mapInArrow(_take(buckets, total, kinds, kept, level == depth), SCORES if level == depth else STATE)
+        if level == depth:
+            out = written(taken, "scores")
+        else:
+            before, state = state, _Bucketed(taken, buckets)
+            if before:
+                before.drop()
+    discard(answers)
+    for table in (coded, state):
+        if table:
+            table.drop()
     return out.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
