@@ -1,10 +1,12 @@
 """Embedding near-dedup: a hierarchical navigable small-world graph a shard, every shard queried by every vector.
 
 Equal vectors are one node with a multiplicity. A shard's graph is built in waves: a wave's vectors
-search the graph that is there, and each other, for their neighbours. Queries run in blocks: the
-beams of a block go through the graph together. A beam that is full of links is widened, at the end
-to the whole shard, and all beams are widened until an audit against the whole shard is passed. The
-audit takes queries until it has seen enough links, or all queries there are.
+search the graph that is there, and each other, for their neighbours. A task holds one graph, and the
+vectors of half of the other shards, or its own, come to it; of two shards one is the other's host.
+Queries run in blocks: the beams of a block go through the graph together. A beam that is full of
+links is widened, at the end to the whole shard. Queries are held against the whole shard until
+enough links are seen, and keep what that finds; all further beams are as wide as it took to find
+these links.
 """
 
 from __future__ import annotations
@@ -13,15 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import connected_components, written
+from ledgerlens.llm.common import connected_components, discard, written
 
 COSINE = 0.9
-#: Vectors of a shard, neighbours of a node (twice as many on the ground layer), beams while building and at first while querying.
-SHARD_ROWS, DEGREE, BUILD_BEAM, FIRST_BEAM = 4096, 12, 48, 48
-WAVE, QUERIES = 256, 512
+#: Shards at least (also as many as the cluster has cores), and vectors of a shard at most, on average.
+SHARDS, SHARD_ROWS = 8, 1 << 18
+#: Neighbours of a node (twice as many on the ground layer), beams while building and at first while querying.
+DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 48, 48
+#: Vectors that join a graph together, and queries of a block; a block's marks of seen nodes take SEEN_BYTES at most.
+WAVE, QUERIES, SEEN_BYTES = 256, 512, 1 << 26
 #: Links that an audit has to see unless it sees all queries, and the share of them that beams have to find.
 AUDIT_LINKS, RECALL = 500, 0.99
 #: Float products this far below the threshold are verified too.
@@ -146,30 +151,49 @@ class Graph:
         links[nodes, : out.shape[1]] = out
 
 
-def near_pairs(graph: Graph, q: np.ndarray, cosine: float, first_beam: int = FIRST_BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) candidates with products of at least ``cosine`` less a margin.
-
-    Queries are audited against the whole shard in a fixed mixed order, until AUDIT_LINKS links or all
-    queries are seen, so that a shard without links is accepted only if no query has any. If beams
-    find less than RECALL of the links seen, all beams are widened.
-    """
-    at, n = cosine - MARGIN, len(graph.x)
-    order, audited, truth = np.random.default_rng(0).permutation(len(q)), np.zeros(len(q), bool), 0
-    for lo in range(0, len(q), QUERIES):
-        sample = order[lo : lo + QUERIES]
-        audited[sample] = True
-        truth += int((q[sample] @ graph.x.T >= at).sum())
-        if truth >= AUDIT_LINKS:
-            break
-    if not truth and audited.all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = first_beam
-    while True:
-        found = [(lo, *_block_pairs(graph, q[lo : lo + QUERIES], at, width)) for lo in range(0, len(q), QUERIES)]
-        a, b = np.concatenate([lo + a for lo, a, _ in found]), np.concatenate([b for *_, b in found])
-        if audited[a].sum() >= RECALL * truth or width * 4 >= n:
-            return a, b
-        width *= 4
+class Search:
+    """Finds the links of queries in one graph; counts how many of those that brute force finds beams find too."""
+
+    def __init__(self, graph: Graph, cosine: float, first_beam: int = FIRST_BEAM):
+        self.graph, self.at, self.width = graph, cosine - MARGIN, first_beam
+        self.size = int(max(16, min(QUERIES, SEEN_BYTES // (2 * (len(graph.x) + 1)))))
+        self.truth, self.audited = 0, []
+
+    def pairs(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) candidates with products of at least the cosine less a margin.
+
+        Until AUDIT_LINKS links are seen, queries are answered by brute force; then they are asked for again
+        with beams, and the beams are widened until these find RECALL of the links.
+        """
+        out, rows = [], np.random.default_rng(0).permutation(len(q))
+        while len(rows) and self.audited is not None:
+            now, rows = rows[: self.size], rows[self.size :]
+            a, b = np.nonzero(q[now] @ self.graph.x.T >= self.at)
+            out.append((now[a], b))
+            self.truth += len(a)
+            self.audited.append((q[now], a, b))
+            if self.truth >= AUDIT_LINKS:
+                self._settle()
+        for lo in range(0, len(rows), self.size):
+            now = rows[lo : lo + self.size]
+            a, b = _block_pairs(self.graph, q[now], self.at, self.width)
+            out.append((now[a], b))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        return a, b
+
+    def _settle(self) -> None:
+        """Widen beams until the links of the queries that have been audited are found."""
+        n = len(self.graph.x)
+        linked = [(q, a, b) for q, a, b in self.audited if len(a)]
+        while self.width * 4 < n:
+            found = 0
+            for q, a, b in linked:
+                x, y = _block_pairs(self.graph, q, self.at, self.width)
+                found += np.isin(a * n + b, x * n + y).sum()
+            if found >= RECALL * self.truth:
+                break
+            self.width *= 4
+        self.audited = None
 
 
 def _block_pairs(graph: Graph, q: np.ndarray, at: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,126 +228,169 @@ def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
-    return np.frombuffer(column.as_py(), dtype).reshape(-1, width)
-
-
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as bytes; a vector that links with nothing has none."""
     for batch in batches:
+        column = batch.column("v")
+        kind = np.float32 if pa.types.is_float32(column.type.value_type) else np.float64
         out = []
-        for v in batch.column("v").to_pylist():
-            x = None if v is None or None in v else np.array(v, np.float64)
+        for v in column:
+            x = None if not v.is_valid or v.values.null_count else v.values.to_numpy(zero_copy_only=False).astype(kind)
             out.append(None if x is None or not len(x) or not np.isfinite(x).all() or not x.any() else x.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "v"])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
     v = v / np.abs(v).max(1, keepdims=True)
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _build_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row a shard: its vectors and its graph. A shard's rows are one row's lists already."""
-    for batch in batches:
-        for shard, members in zip(batch.column("shard").to_pylist(), batch.column("members")):
-            m = sorted(members.as_py(), key=lambda r: r["first"])
-            by_size: dict[int, list] = {}
-            for r in m:
-                by_size.setdefault(len(r["v"]), []).append(r)
-            for size, rows in sorted(by_size.items()):
-                v = np.frombuffer(b"".join(r["v"] for r in rows), np.float64).reshape(len(rows), size // 8)
-                g = Graph(_unit(v).astype(np.float32))
-                cols = {
-                    "shard": [shard], "size": [size // 8], "n": [len(rows)], "v": [v.tobytes()],
-                    "id": [np.array([r["first"] for r in rows], np.int64).tobytes()], "many": [np.array([r["many"] for r in rows], np.int64).tobytes()],
-                    "level": [g.level.tobytes()], "entry": [g.entry], "links": [[x.tobytes() for x in g.links]],
-                }
-                yield pa.RecordBatch.from_pydict(cols, schema=GRAPHS)
-
-
-GRAPHS = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("id", pa.binary()), ("many", pa.binary()), ("level", pa.binary()), ("entry", pa.int64()), ("links", pa.list_(pa.binary()))])
-GRAPHS_DDL = "shard long, size long, n long, v binary, id binary, many binary, level binary, entry long, links array<binary>"
-
-
-def _load(row: dict) -> Graph:
-    g = Graph(np.zeros((0, row["size"]), np.float32))
-    v = np.frombuffer(row["v"], np.float64).reshape(row["n"], row["size"])
-    g.x, g.entry, g.level = _unit(v).astype(np.float32), row["entry"], np.frombuffer(row["level"], np.int64)
-    g.links = [np.frombuffer(x, np.int32).reshape(row["n"], -1) for x in row["links"]]
+GRAPHS_DDL = "shard long, size long, v binary, id binary, many binary, level binary, entry long, links array<binary>"
+GRAPHS = pa.schema([(n, {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}[t]) for n, t in (f.split() for f in GRAPHS_DDL.split(", "))])
+
+
+def _build_batches(kind):
+    """A row for each shard and length of vectors, with its graph; rows come in order of these two."""
+
+    def built(shard: int, size: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        v = b"".join(x for p in parts for x in p.column("v").to_pylist())
+        ids, many = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("id", "many"))
+        g = Graph(_unit(np.frombuffer(v, kind).reshape(len(ids), -1)).astype(np.float32))
+        row = {"shard": shard, "size": size, "v": v, "id": ids.tobytes(), "many": many.tobytes(), "level": g.level.tobytes(), "entry": g.entry, "links": [x.tobytes() for x in g.links]}
+        return pa.RecordBatch.from_pylist([row], schema=GRAPHS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in ("shard", "size")], 1)
+            cut = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1), len(names)] if len(names) else []
+            for lo, hi in zip(cut, cut[1:]):
+                now = (int(names[lo, 0]), int(names[lo, 1]))
+                if held and now != key:
+                    yield built(*key, held)
+                    held = []
+                key = now
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield built(*key, held)
+
+    return run
+
+
+def _load(row: dict, unit: np.ndarray) -> Graph:
+    g = Graph(np.zeros((0, unit.shape[1]), np.float32))
+    g.x, g.entry, g.level = unit.astype(np.float32), row["entry"], np.frombuffer(row["level"], np.int64)
+    g.links = [np.frombuffer(x, np.int32).reshape(len(unit), -1) for x in row["links"]]
     return g
 
 
-def _query_batches(cosine: float, first_beam: int):
-    """Of each pair of a query block and a shard: links counted on both sides, and edges between what links."""
+class _Host:
+    """A shard's graph in its task, and what links with it."""
+
+    def __init__(self, row: dict, kind, cosine: float, first_beam: int):
+        self.key, self.cosine = (row["shard"], row["size"]), cosine
+        self.id, self.many = (np.frombuffer(row[k], np.int64) for k in ("id", "many"))
+        self.unit = _unit(np.frombuffer(row["v"], kind).reshape(len(self.id), -1))
+        self.search = Search(_load(row, self.unit), cosine, first_beam)
+
+    def links(self, ids: np.ndarray, many: np.ndarray, unit: np.ndarray, same: bool) -> pa.RecordBatch:
+        """Links of a block of queries, counted on both sides, and edges between what links."""
+        w = self.unit
+        a, b = self.search.pairs(unit.astype(np.float32))
+        ok = np.zeros(len(a), bool)
+        for lo in range(0, len(a), 1 << 16):
+            s = slice(lo, lo + (1 << 16))
+            ok[s] = (unit[a[s]] * w[b[s]]).sum(1) >= self.cosine
+        a, b = a[ok], b[ok]
+        if same:
+            # a link within the shard may be found from either end
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            a, b = low[low != high], high[low != high]
+        code = np.sort(a * len(w) + b)
+        code = code[np.r_[True, code[1:] != code[:-1]]] if len(code) else code
+        a, b = code // len(w), code % len(w)
+        q_n, w_n = np.bincount(a, self.many[b], len(ids)).astype(np.int64), np.bincount(b, many[a], len(w)).astype(np.int64)
+        # a spanning forest of the links between the two blocks
+        label = _components(len(ids) + len(w), a, b if same else b + len(ids))
+        every = np.concatenate([ids, self.id])
+        at = np.flatnonzero(label != np.arange(len(label)))
+        ends = np.concatenate([every, every[at]]), np.concatenate([every, every[label[at]]])
+        n = np.concatenate([q_n, w_n, np.zeros(len(at), np.int64)])
+        keep = (n > 0) | (ends[0] != ends[1])
+        return pa.RecordBatch.from_arrays([pa.array(ends[0][keep]), pa.array(ends[1][keep]), pa.array(n[keep])], names=["a", "b", "n"])
+
+
+def _query_batches(kind, cosine: float, first_beam: int):
+    """What links with each shard: rows come in order of the shard and of the vectors' length, each graph before the blocks that query it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host = None
         for batch in batches:
             for row in batch.to_pylist():
-                g, same = _load(row), row["q_shard"] == row["shard"]
-                v, w = (np.frombuffer(row[k], np.float64).reshape(-1, row["size"]) for k in ("q_v", "v"))
-                v, w = _unit(v), _unit(w)
-                qid, qmany, wid, wmany = (np.frombuffer(row[k], np.int64) for k in ("q_id", "q_many", "id", "many"))
-                q_n, w_n, ea, eb = np.zeros(len(qid), np.int64), np.zeros(len(wid), np.int64), [], []
-                if len(qid):
-                    a, b = near_pairs(g, v.astype(np.float32), cosine, first_beam)
-                    ok = np.zeros(len(a), bool)
-                    for lo in range(0, len(a), 1 << 16):
-                        ok[lo : lo + (1 << 16)] = (v[a[lo : lo + (1 << 16)]] * w[b[lo : lo + (1 << 16)]]).sum(1) >= cosine
-                    a, b = a[ok], b[ok]
-                    if same:
-                        # a link within the shard may be found from either end
-                        lo, hi = np.minimum(a, b), np.maximum(a, b)
-                        a, b = lo[lo != hi], hi[lo != hi]
-                    code = np.unique(a * len(wid) + b)
-                    a, b = code // len(wid), code % len(wid)
-                    np.add.at(q_n, a, wmany[b])
-                    np.add.at(w_n, b, qmany[a])
-                    # a spanning forest of the links between the two blocks
-                    label = _components(len(qid) + len(wid), a, b if same else b + len(qid))
-                    every = np.concatenate([qid, wid])
-                    at = np.flatnonzero(label != np.arange(len(label)))
-                    ea, eb = every[at], every[label[at]]
-                ids, n = np.concatenate([qid, wid, ea]), np.concatenate([q_n, w_n, np.zeros(len(ea), np.int64)])
-                to = np.concatenate([qid, wid, eb])
-                keep = (n > 0) | (ids != to)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep].astype(np.int64)), pa.array(to[keep].astype(np.int64)), pa.array(n[keep])], names=["a", "b", "n"])
+                if row["q_shard"] < 0:
+                    host = _Host(row, kind, cosine, first_beam)
+                    yield host.links(host.id, host.many, host.unit, True)
+                elif host and host.key == (row["shard"], row["size"]):
+                    ids, many = (np.frombuffer(row[k], np.int64) for k in ("id", "many"))
+                    yield host.links(ids, many, _unit(np.frombuffer(row["v"], kind).reshape(len(ids), -1)), False)
 
     return run
 
 
-def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shard_rows: int = SHARD_ROWS, first_beam: int = FIRST_BEAM) -> DataFrame:
+def _hosts(shard: Column, shards: int) -> Column:
+    """The shards that a shard's vectors query: of any two shards one is the other's, and all are hosts of about as many."""
+    other = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
+    return F.filter(other, lambda j: F.when((shard + j) % 2 == 1, j > shard).otherwise(j < shard))
+
+
+def _one_each(spark: SparkSession, parts: int) -> Column:
+    """An array of ``parts`` numbers, one for each partition that they are dealt to by hash."""
+    few = spark.range(64 * parts + 1024).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    found = {r["p"]: r["id"] for r in few}
+    return F.array(*[F.lit(found.get(p, p)).cast("long") for p in range(parts)])
+
+
+def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, shards: int | None = None, first_beam: int = FIRST_BEAM) -> DataFrame:
     """One row a vector: id, ``n_links``, ``component_id`` and ``kept``.
 
     Links are pairs with a cosine of ``cosine`` or more in double precision. A vector that is null,
     empty, zero or holds null or non-finite components links with nothing; vectors of different
     lengths never link. Rows need an id: those with a null id link with nothing and are kept. Rows
-    that repeat an id and a vector count as two vectors. An empty table gives an empty table.
+    that repeat an id and a vector count as two vectors. Other columns of the input are dropped. An
+    empty table gives an empty table.
 
     Equal vectors are one node, so a vector that a third of all rows hold costs one node. Shards are
-    of even size by hash. A beam full of links widens up to the whole shard, so nothing is cut off.
-    Pairs are counted and joined to forests where they are found; they are never written out.
+    of even size by hash, as many as there are cores unless memory asks for more, so that the work of
+    a core is that of its vectors. A beam full of links widens up to the whole shard (a beam of a
+    quarter of it is the whole shard), so nothing is cut off. Pairs are counted and joined to forests
+    where they are found; they are never written out.
     """
     spark = df.sparkSession
-    rows = written(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("v")).mapInArrow(_usable, "id long, v binary"), "vectors")
+    kind = np.float32 if df.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
+    vectors = F.col(f"`{vector_col}`") if kind is np.float32 else F.col(f"`{vector_col}`").cast("array<double>")
+    rows = written(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), vectors.alias("v")).mapInArrow(_usable, "id long, v binary"), "vectors")
     nodes = rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("many"))
-    nodes = written(nodes, "nodes")
-    total = nodes.count()
-    shards = max(1, -(-total // shard_rows))
-    sharded = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    lists = sharded.groupBy("shard").agg(F.collect_list(F.struct("first", "many", "v")).alias("members"))
-    graphs = written(lists.repartition(min(shards, 4096), "shard").mapInArrow(_build_batches, GRAPHS_DDL), "graphs")
-    # each unordered pair of shards once: a shard's vectors query its own graph and those of all later shards
-    blocks = graphs.select(
-        F.col("shard").alias("q_shard"), F.col("size"), F.col("v").alias("q_v"), F.col("id").alias("q_id"), F.col("many").alias("q_many"),
-        F.explode(F.sequence(F.col("shard"), F.lit(shards - 1).cast("long"))).alias("shard"),
+    # numbered in order of their ids, which may repeat
+    nodes = written(nodes.repartitionByRange("first", "v").sortWithinPartitions("first", "v").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    shards = shards or max(SHARDS, spark.sparkContext.defaultParallelism, -(-nodes.count() // SHARD_ROWS))
+    place = _one_each(spark, shards)
+    to = F.element_at(place, F.col("shard").cast("int") + 1)
+    dealt = nodes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), F.octet_length("v").cast("long").alias("size"), "v", F.col("node").alias("id"), "many").withColumn("to", to)
+    graphs = written(dealt.repartition(shards, "to").sortWithinPartitions("shard", "size", "id").drop("to").mapInArrow(_build_batches(kind), GRAPHS_DDL), "graphs")
+    asked = graphs.select("shard", F.explode(_hosts(F.col("shard"), shards)).alias("host"), "size", "v", "id", "many").select(
+        F.col("host").alias("shard"), "size", F.col("shard").alias("q_shard"), "v", "id", "many", *[F.lit(None).cast(t).alias(n) for n, t in (("level", "binary"), ("entry", "long"), ("links", "array<binary>"))]
     )
-    pairs = blocks.join(graphs, ["shard", "size"]).repartition(min(shards * (shards + 1) // 2, 65536), "q_shard", "shard", "size")
-    found = written(pairs.mapInArrow(_query_batches(cosine, first_beam), "a long, b long, n long"), "links")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
-    components = connected_components(found.where("a <> b").select("a", "b"))
-    known = nodes.join(counts, "first", "left").join(components, F.col("first") == F.col("node"), "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")
+    both = graphs.select("shard", "size", F.lit(-1).cast("long").alias("q_shard"), "v", "id", "many", "level", "entry", "links").unionAll(asked).withColumn("to", to)
+    ordered = both.repartition(shards, "to").sortWithinPartitions("shard", "size", "q_shard").drop("to")
+    found = written(ordered.mapInArrow(_query_batches(kind, cosine, first_beam), "a long, b long, n long"), "links")
+    discard(graphs)
+    counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    label = connected_components(found.where("a <> b").select("a", "b"))
+    # the least node of a component has its least id
+    names = nodes.select(F.col("node").alias("component"), F.col("first").alias("component_id"))
+    known = nodes.join(counts, "node", "left").join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).join(names, "component").select(
+        "v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id"
     )
     # a hot vector has one row on the other side, so Spark can split its rows
     out = rows.where("v is not null and id is not null").join(known, "v").select("id", "n_links", "component_id")

@@ -168,6 +168,12 @@ def _row(values: dict, ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values[c], kinds[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one by one, as each may be some megabytes."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 class _Block:
     """A block's tokens by the numbers of their words."""
 
@@ -214,7 +220,7 @@ class _Block:
 def _ask_words(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 words = np.frombuffer(row["words"], M)
                 train = np.repeat(np.array(row["train"], bool), row["n"])
                 count = np.bincount(_unpacked(row["tokens"], np.uint32), train, len(words)).astype(M)
@@ -237,7 +243,7 @@ def _word_order(words: np.ndarray, buckets: int) -> np.ndarray:
 def _ask(buckets: int, total: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _Block(row, total, kinds)
                 at, context, prob = b.level(row)
                 number, context, symbol, bucket = b.pairs(at, context, buckets)
@@ -345,7 +351,7 @@ def _by_bucket(one):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield one(held)
                     held = []
@@ -369,7 +375,7 @@ def _code(buckets: int, total: int, kinds: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 answers = _in_order(row)
                 order = _word_order(np.frombuffer(row["words"], M), buckets)
                 word, seen = np.empty(len(order), M), np.empty(len(order), M)
@@ -394,7 +400,7 @@ def _take(buckets: int, total: int, kinds: int, hot, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 b = _Block(row, total, kinds)
                 answers = _in_order(row)
                 at, context, prob = b.level(row)
@@ -459,7 +465,7 @@ def _hot_nodes(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in _rows(batch):
             got = np.frombuffer(row["sums"], np.int64).reshape(3, -1)
             yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(got[2].view(np.float64))], names=["node", "kinds", "gain"])
 

@@ -1,24 +1,70 @@
-"""The audit of the small-world search where links are few."""
+"""Links of embeddings against brute force, and the audit of the small-world search where links are few."""
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from ledgerlens.llm import hnsw
 
 
-def test_few_links_of_a_shard_are_audited():
+def test_few_links_of_a_shard_are_found():
     rng = np.random.default_rng(6)
     w, v = rng.normal(size=(600, 24)), rng.normal(size=(1024, 24))
     where = {100: 7, 301: 450, 777: 599}
     for query, node in where.items():
         v[query] = w[node]
-    g = hnsw.Graph(hnsw._unit(w).astype(np.float32))
+    unit = [hnsw._unit(x).astype(np.float32) for x in (w, v)]
+    g = hnsw.Graph(unit[0])
     # nodes that the graph doesn't reach
-    links = [np.full_like(x, -1).tobytes() for x in g.links]
-    row = {
-        "q_shard": 0, "shard": 1, "size": 24, "n": 600, "q_v": v.tobytes(), "v": w.tobytes(), "q_id": np.arange(1024).tobytes(), "id": np.arange(2000, 2600).tobytes(),
-        "q_many": np.ones(1024, np.int64).tobytes(), "many": np.ones(600, np.int64).tobytes(), "level": g.level.tobytes(), "entry": g.entry, "links": links,
-    }
-    (out,) = hnsw._query_batches(0.9, 48)(iter([pa.RecordBatch.from_pylist([row])]))
-    counts = {r["a"]: r["n"] for r in out.to_pylist() if r["n"]}
-    assert counts == {i: 1 for query, node in where.items() for i in (query, 2000 + node)}
+    g.links = [np.full_like(x, -1) for x in g.links]
+    a, b = hnsw.Search(g, 0.9).pairs(unit[1])
+    assert dict(zip(a.tolist(), b.tolist())) == where
+
+
+def test_beams_are_widened_until_links_are_found():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    x = hnsw._unit(np.concatenate([c + rng.normal(size=(60, 16)) * 0.1 for c in centres])).astype(np.float32)
+    g = hnsw.Graph(x)
+    # a graph that has lost most of its links
+    g.links[0][rng.random(g.links[0].shape) < 0.6] = -1
+    search = hnsw.Search(g, 0.9, 8)
+    a, b = search.pairs(x)
+    truth = int((x @ x.T >= 0.9).sum())
+    assert search.audited is None and len(set(zip(a.tolist(), b.tolist()))) >= 0.97 * truth
+
+
+def brute(rows, cosine=0.9):
+    """[(id, n_links, component)] in the order of the rows."""
+    unit = [None if v is None or None in v or not len(v) or not np.isfinite(v).all() or not np.any(v) or i is None else np.array(v, float) / np.linalg.norm(v) for i, v in rows]
+    label, links = list(range(len(rows))), [0] * len(rows)
+    for i, x in enumerate(unit):
+        for j in range(i):
+            y = unit[j]
+            if x is not None and y is not None and len(x) == len(y) and x @ y >= cosine:
+                links[i], links[j] = links[i] + 1, links[j] + 1
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[label[k]] = i if i is None else min(i, least.get(label[k], i))
+    return [(i, links[k], least[label[k]]) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind, shards", [("float", 3), ("double", 5), ("float", None)])
+def test_links_and_components_match_brute_force(spark, kind, shards):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([c + rng.normal(size=(25, 8)) * 0.15 for c in centres] + [np.repeat(centres[:1], 20, 0)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # rows that repeat an id, with their vector or another's, other lengths, and what links with nothing
+    rows += [(3, x[3].tolist()), (5, x[90].tolist()), (5, (-x[90]).tolist()), (700, [1.0, 0.0]), (701, [2.0, 0.0]), (702, [1.0]), (703, [-1.0])]
+    rows += [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, []), (904, [None] + [1.0] * 7), (None, x[3].tolist()), (None, None)]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], f"vec_id long, embedding array<{kind}>, n_links string").repartition(3)
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in hnsw.embedding_links(df, shards=shards, first_beam=8).collect()))
+    want = sorted((i is None, i or 0, n, c or 0, i is None or c == i) for i, n, c in brute(rows))
+    assert got == want
+
+
+def test_links_of_nothing(spark):
+    assert hnsw.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    assert hnsw.embedding_links(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")).count() == 1

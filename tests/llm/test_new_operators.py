@@ -1,14 +1,13 @@
-"""Embedding links, quality scores, language-model scores, line dedup and SimHash against brute force."""
+"""Quality scores, language-model scores, line dedup and SimHash against brute force."""
 
 import math
 import re
 import zlib
 from collections import Counter
 
-import numpy as np
 import xxhash
 
-from ledgerlens.llm import hnsw, line_dedup, quality, simhash, suffix_tree_lm
+from ledgerlens.llm import line_dedup, quality, simhash, suffix_tree_lm
 
 TEXTS = [
     (1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, None), (4, ""), (5, "a\nthe very same line here\nb"),
@@ -48,28 +47,6 @@ def test_simhash_matches_brute_force(documents):
     assert got == {i: (f"{fp[i]:016x}", group[i]) for i in fp}
 
 
-def test_embedding_links_match_brute_force(spark):
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(12, 8))
-    x = np.concatenate([c + rng.normal(size=(25, 8)) * 0.15 for c in centres] + [np.repeat(centres[:1], 20, 0)]).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] + [1.0] * 7), (903, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = {r["vec_id"]: r for r in hnsw.embedding_links(df, shard_rows=100, first_beam=8).collect()}
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
-    link = u @ u.T >= 0.9
-    np.fill_diagonal(link, False)
-    found = sum(got[i]["n_links"] for i in range(len(x)))
-    assert 0.99 * link.sum() <= found <= link.sum()
-    assert all(got[i]["n_links"] <= link[i].sum() for i in range(len(x)))
-    for i in (900, 901, 902, 903):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
-    assert len(got) == len(rows)
-
-
-def test_embedding_links_of_nothing(spark):
-    assert hnsw.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-
-
 def test_quality_learns_from_others_than_held_out(spark):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(60)) + ".") for i in range(300)]
     bad = [(i + 1000, "BUY!! " * 60) for i in range(300)]
