@@ -1,10 +1,13 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, all of them.
 
-A set and its near copy share one of the first n - ceil(0.8 n) + 1 shingles of any order that all
-texts agree on, so texts meet by these and no pair is missed. Shingles that a sample finds often come
-last in the order. Pairs that share too few of these to reach the similarity with all the rest are
-dropped; what is left is verified against the texts' whole sets. First every text is held
-against its neighbour and the first in each meeting; then all pairs that this left unconnected.
+Texts with the same set count once. SimHash fingerprints of the sets' texts are linked by the trie join
+(``simhash``), and what it links is verified against the whole sets. Fingerprints reach a part of
+the links only, so the rest is found by shingles: a set and its near copy share one of the first
+n - ceil(0.8 n) + 1 shingles of any order that all texts agree on, so texts meet by these and no pair
+is missed. Shingles that a sample finds often come last in the order. Pairs that share too few of
+these to reach the similarity with all the rest are dropped; what is left is verified. First every
+text is held against its neighbour and the first in each meeting; then all pairs that this left
+unconnected.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import connected_components, discard, with_document_key, written
-from ledgerlens.llm.simhash import shingle_hashes
+from ledgerlens.llm.simhash import BATCH_BYTES, folded, shingle_hashes, simhash_links
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -31,6 +35,26 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64))
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's fingerprint, and two hashes of its set."""
+    for batch in batches:
+        each, out, size = [], [], 0
+        texts = batch.column("body").to_pylist()
+        for k, t in enumerate(texts):
+            hashes = shingle_hashes(t, WORDS)
+            own = np.unique(np.array(hashes or [0], np.uint64)).tobytes()
+            out.append((xxhash.xxh64_intdigest(own, 0), xxhash.xxh64_intdigest(own, 1)))
+            each.append(hashes)
+            size += len(t)
+            if size > BATCH_BYTES or len(each) == 255 or k + 1 == len(texts):
+                at = k + 1 - len(each)
+                h = np.array(out, np.uint64).view(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(at, len(each)), batch.column("th").slice(at, len(each)), pa.array(folded(each).view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc", "th", "fp", "h1", "h2"]
+                )
+                each, out, size = [], [], 0
+
+
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column("body").to_pylist():
@@ -38,7 +62,7 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _prefixes(common: np.ndarray):
-    """(s, n, node): the shingles by which a text meets others, and the size of its set."""
+    """(s, n, doc, th): the shingles by which a text meets others, and the size of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,9 +76,8 @@ def _prefixes(common: np.ndarray):
                 sizes.append(len(s))
                 many.append(k)
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(sizes, many)), pa.array(np.repeat(batch.column("node").to_numpy(), many))], names=["s", "n", "node"]
-                )
+                of = [pa.array(np.repeat(batch.column(c).to_numpy(), many)) for c in ("doc", "th")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int32), many)), *of], names=["s", "n", "doc", "th"])
 
     return run
 
@@ -78,10 +101,10 @@ def _by_shingle(each):
     return run
 
 
-def _shared(s, n, node):
+def _shared(s, n, doc, th):
     same = s[1:] == s[:-1]
     keep = np.r_[False, same] | np.r_[same, False]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, n, node)], names=["s", "n", "node"])
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, n, doc, th)], names=["s", "n", "doc", "th"])
 
 
 def _pairs(a, b):
@@ -135,13 +158,13 @@ def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(most * (SHARE + OF) >= (F.col("na") + F.col("nb")) * SHARE).select("a", "b")
 
 
-def _edges(pairs: DataFrame, firsts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of candidate pairs (a, b) those that are similar."""
-    pairs = written(_possible(pairs.distinct(), firsts), "candidates")
+def _verified_edges(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of candidate pairs (a, b) of ``sets`` those that are similar. Only the texts that are asked for are moved."""
+    pairs = written(pairs.distinct(), "candidates")
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    bodies = written(texts.join(asked, "node", "left_semi").select("node", "body"), "bodies")
+    bodies = written(texts.join(asked.join(sets.select("node", "doc", "th"), "node"), ["doc", "th"]).select("node", "body"), "bodies")
     left, right = bodies.select(F.col("node").alias("a"), F.col("body").alias("ta")), bodies.select(F.col("node").alias("b"), F.col("body").alias("tb"))
-    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long"), "similar")
+    out = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verified, "a long, b long").distinct(), "similar")
     discard(pairs, bodies)
     return out
 
@@ -155,21 +178,41 @@ def first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     without words are alike. An empty table gives an empty table.
     """
     base = with_document_key(df, id_col, text_col)
-    ordered = base.repartitionByRange("doc", "th").sortWithinPartitions("doc", "th")
-    texts = written(ordered.withColumn("node", F.monotonically_increasing_id()), "numbered")
-    step = max(1, texts.count() // SAMPLE_ROWS)
-    sample = texts.where(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("body").mapInArrow(_all_shingles, "s long")
+    signed = written(base.select("doc", "th", "body").mapInArrow(_signatures, "doc long, th long, fp long, h1 long, h2 long"), "signatures")
+    # one row a set, numbered in order of its first text; a set that a third of all rows have is one row from each task
+    first = signed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "fp")).alias("f")).select("f.doc", "f.th", "f.fp")
+    sets = written(first.repartitionByRange("doc", "th").sortWithinPartitions("doc", "th").withColumn("node", F.monotonically_increasing_id()), "sets")
+    copies = written(signed.select("doc", "th").distinct().join(sets.select("doc", "th"), ["doc", "th"], "left_anti"), "copies")
+    texts = base.select("doc", "th", "body").join(copies, ["doc", "th"], "left_anti")
+
+    # what fingerprints link
+    prints = written(sets.groupBy("fp").agg(F.min("node").alias("doc")), "prints")
+    same = sets.select("fp", F.col("node").alias("b")).join(prints.withColumnRenamed("doc", "a"), "fp").where("a <> b").select("a", "b")
+    linked = simhash_links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = _verified_edges(linked.unionAll(same), sets, texts)
+
+    # what shingles link besides
+    step = max(1, sets.count() // SAMPLE_ROWS)
+    sample = texts.where(F.pmod(F.xxhash64("doc", "th"), F.lit(step)) == 0).select("body").mapInArrow(_all_shingles, "s long")
     often = sample.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).select("s").collect()
     common = np.sort(np.array([r["s"] for r in often], np.int64).view(np.uint64))
-
-    def met(rows, each, ddl):
-        return rows.repartition("s").sortWithinPartitions("s", "n", "node").mapInArrow(_by_shingle(each), ddl)
-
-    shared = written(met(texts.select("node", "body").mapInArrow(_prefixes(common), "s long, n long, node long"), _shared, "s long, n long, node long"), "shared")
-    firsts = written(shared.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("s").alias("own")), "firsts")
-    edges = _edges(met(shared, _first_pairs, "a long, b long"), firsts, texts)
+    met = lambda rows, each, ddl: rows.repartition("s").sortWithinPartitions(*rows.columns).mapInArrow(_by_shingle(each), ddl)
+    rows = texts.mapInArrow(_prefixes(common), "s long, n int, doc long, th long")
+    shared = written(met(rows, _shared, "s long, n int, doc long, th long"), "shared")
+    meetings = written(shared.join(sets.select("doc", "th", "node"), ["doc", "th"]).select("s", "n", "node"), "meetings")
+    discard(shared)
+    firsts = written(meetings.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("s").alias("own")), "firsts")
+    found = _verified_edges(_possible(met(meetings, _first_pairs, "a long, b long").distinct(), firsts), sets, texts)
+    edges = written(edges.unionAll(found), "edges")
     label = connected_components(edges)
-    labelled = shared.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"))
-    edges = written(edges.unionAll(_edges(met(labelled, _other_pairs, "a long, b long"), firsts, texts)), "edges")
-    later = connected_components(edges).where("component <> node").select("node")
-    return texts.join(later, "node", "left_anti").select([F.col("row").getField(c).alias(c) for c in df.columns])
+    labelled = meetings.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"))
+    found = _verified_edges(_possible(met(labelled, _other_pairs, "a long, b long").distinct(), firsts), sets, texts)
+    edges = written(edges.unionAll(found), "edges")
+    discard(meetings, firsts)
+    later = connected_components(edges).where("component <> node").select("node").join(sets, "node").select("doc", "th")
+    gone = written(copies.unionAll(later), "gone")
+    # rows that repeat each other in id and text
+    twice = written(signed.groupBy("doc", "th").count().where("count > 1").select("doc", "th"), "twice")
+    once = base.select("row", "doc", "th").join(gone.unionAll(twice), ["doc", "th"], "left_anti").select("row")
+    again = base.select("row", "doc", "th").join(twice.join(gone, ["doc", "th"], "left_anti"), ["doc", "th"]).groupBy("doc", "th").agg(F.first("row").alias("row")).select("row")
+    return once.unionAll(again).select([F.col("row").getField(c).alias(c) for c in df.columns])

@@ -32,13 +32,18 @@ def shingle_hashes(text: str, words: int) -> list[int]:
 
 def fingerprints(texts: list[str], words: int) -> np.ndarray:
     """Unsigned fingerprints: a bit is set if it is set in over half of the text's shingle hashes."""
-    each = [shingle_hashes(t, words) for t in texts]
+    return folded([shingle_hashes(t, words) for t in texts])
+
+
+def folded(each: list[list[int]]) -> np.ndarray:
+    """Fingerprints of texts by their shingle hashes."""
+    many = len(each)
     sizes = np.array([len(x) for x in each], np.int64)
-    owner = np.repeat(np.arange(len(texts)) << 8, sizes)
+    owner = np.repeat(np.arange(many) << 8, sizes)
     octets = np.array([h for x in each for h in x], np.uint64).view(np.uint8).reshape(-1, 8)
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(many, np.uint64)
     for k in range(8):
-        seen = np.bincount(owner + octets[:, k], minlength=len(texts) << 8).reshape(len(texts), 256)
+        seen = np.bincount(owner + octets[:, k], minlength=many << 8).reshape(many, 256)
         over = (2 * (seen @ BITS) > sizes[:, None]).astype(np.uint64)
         out |= (over << np.arange(8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) << np.uint64(8 * k)
     return out
