@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # The terms that requirement texts are searched for.
 ENTITY_TERMS = [
+    r"\b([A-Z][A-Za-z\s&]+(?:Inc|LLC|Ltd|Corp|Company|Co|Group|Bank|Fund|Capital|Partners|Holdings))\b",
     r"\b(company|entity|organization|firm|corporation|business|client|customer)\b",
     r"\b(investor|fund|bank|lender|borrower|counterparty|issuer)\b",
     r"\b(portfolio|subsidiary|affiliate|parent|holding)\b",
@@ -32,13 +33,20 @@ KEYWORDS = [
     r"\b(financial|accounting|tax|regulatory|compliance)\b",
     r"\b(provide|submit|prepare|include|show|detail|list)\b",
 ]
+# Mentions of periods, kind by kind; their groups are what is taken.
 PERIODS = [
     ("year", r"\b(20\d{2})\b"),
-    ("quarter", r"\b(Q[1-4][-\s]?20\d{2})\b"),
-    ("fiscal_year", r"\b((?:fiscal|FY)[-\s]?20\d{2})\b"),
-    ("relative", r"\b((?:current|latest|recent|prior|previous|last)\s+(?:year|quarter|month|period))\b"),
-    ("multi_year", r"\b(\d+[-\s]?years?)\b"),
+    ("year_range", r"\b(20\d{2})[-\s](?:to|through|thru)[-\s](20\d{2})\b"),
+    ("quarter", r"\bQ([1-4])[-\s]?(20\d{2})\b"),
+    ("month", r"\b(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[-\s]?(20\d{2})?\b"),
+    ("fiscal_year", r"\b(?:fiscal|FY)[-\s]?(20\d{2})\b"),
+    ("relative", r"\b(current|latest|recent|prior|previous|last)\s+(year|quarter|month|period)\b"),
+    ("multi_year", r"\b(\d+)[-\s]?years?\b"),
+    ("as_of_date", r"\bas\s+of\s+([A-Za-z]+\s+\d{1,2},?\s+20\d{2}|\d{1,2}[/-]\d{1,2}[/-]20\d{2}|20\d{2}[-/]\d{1,2}[-/]\d{1,2})\b"),
 ]
+#: Kinds of mentions that have two values.
+PAIRED = {"year_range", "quarter", "month", "relative"}
+FINANCIAL = ["revenue", "income", "profit", "loss", "assets", "liabilities", "cash"]
 # Sections of a request list by the words of a scope section, in order.
 SECTIONS = [
     (["quality of earnings", "revenue", "earnings"], "REVENUE ANALYSIS"),
@@ -87,8 +95,9 @@ def _cases(text: Column, choices: list[tuple[list[str], str]], otherwise: Column
 
 
 def found_terms(text: Column, patterns: list[str]) -> Column:
-    """The distinct terms in a text, lower-cased and sorted."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.lower(text), F.lit(p), 1) for p in patterns]))))
+    """The distinct terms in a text, lower-cased, trimmed and sorted."""
+    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in patterns]))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: F.lower(F.trim(x))), lambda x: x != "")))
 
 
 def file_references(text: Column) -> Column:
@@ -97,11 +106,32 @@ def file_references(text: Column) -> Column:
 
 
 def period_mentions(text: Column) -> Column:
-    """(kind, raw) of each mention, kind by kind, repeats included."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), 1), lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("raw"))) for kind, p in PERIODS]
+    """(kind, values, raw) of each mention, kind by kind, repeats included; ``raw`` is the values with blanks between."""
+    each = []
+    for kind, p in PERIODS:
+        groups = [F.regexp_extract_all(text, F.lit("(?i)" + p), k) for k in ((1, 2) if kind in PAIRED else (1,))]
+        if len(groups) == 2:
+            values = F.zip_with(*groups, lambda a, b: F.array(a, b))
+        else:
+            values = F.transform(groups[0], lambda a: F.array(a))
+        each.append(F.transform(values, _mention(kind)))
     return F.flatten(F.array(*each))
 
 
+def _mention(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("values"), F.trim(F.array_join(v, " ")).alias("raw"))
+
+
+def requirement(text: Column) -> Column:
+    """All that a requirement's text refers to: files, entities, periods, kinds of data, keywords, and how complex that makes it."""
+    files, entities, periods, words = file_references(text), found_terms(text, ENTITY_TERMS), period_mentions(text), found_terms(text, KEYWORDS)
+    score = complexity_score(F.size(files), F.size(entities), F.size(periods), F.size(words))
+    return F.struct(
+        files.alias("files"), entities.alias("entities"), periods.alias("periods"), found_terms(text, DATA_TERMS).alias("data_types"), words.alias("keywords"),
+        score.alias("score"), complexity_level(score).alias("complexity"),
+    )
+
+
 def complexity_score(files: Column, entities: Column, periods: Column, keywords: Column) -> Column:
     return files * 2.0 + entities * 1.0 + periods * 3.0 + keywords * 0.5
 

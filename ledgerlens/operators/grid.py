@@ -139,14 +139,44 @@ def key_values(inside: DataFrame) -> DataFrame:
     return per_row.join(per_col, REGION, "left").select(*REGION, F.least(F.lit(1.0), share).alias("confidence"))
 
 
-def structures(cells: DataFrame) -> DataFrame:
-    """(file_path, sheet_name, structure): ``structured`` where a region is a table, else ``unstructured`` where one
-    holds keys, else ``unknown``. Sheets without cells are not in the input and give no row."""
-    inside = region_cells(cells, regions(cells))
-    kinds = key_values(inside).join(tables(inside), REGION, "left").groupBy(*SHEET).agg(
-        F.bool_or(F.coalesce("is_table", F.lit(False))).alias("table"), F.bool_or(F.col("confidence") > 0).alias("pairs"))
-    name = F.when(F.col("table"), "structured").when(F.col("pairs"), "unstructured").otherwise("unknown")
-    return cells.select(*SHEET).distinct().join(kinds, SHEET, "left").select(*SHEET, name.alias("structure"))
+def region_types(cells: DataFrame) -> DataFrame:
+    """(region, its bounds, kind, confidence, header_row, data_start_row): ``table``, else ``key_value``, else ``unknown``."""
+    found = regions(cells)
+    inside = region_cells(cells, found)
+    both = found.join(tables(inside), REGION, "left").join(key_values(inside), REGION, "left")
+    is_table, pairs = F.coalesce("is_table", F.lit(False)), F.coalesce("confidence", F.lit(0.0))
+    kind = F.when(is_table, "table").when(pairs > 0, "key_value").otherwise("unknown")
+    sure = F.when(is_table, F.col("fill")).otherwise(pairs)
+    row = F.when(is_table, F.col("header_row"))
+    return both.select(*found.columns, kind.alias("kind"), sure.alias("sure"), row.alias("header_row"), (row + 1).alias("data_start_row")).withColumnRenamed("sure", "confidence")
+
+
+def structures(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """(file_path, sheet_name, structure, confidence, mixed, header_row, data_start_row, table bounds), a row a sheet.
+
+    ``structured`` where a region is a table, else ``unstructured`` where one holds keys, else ``unknown``, and
+    ``empty`` for sheets of ``sheets`` that have no cell at all. ``mixed`` says that both kinds are there.
+    The first table in order gives the rows and bounds; confidence is the largest of its kind.
+    """
+    bounds = ["min_row", "max_row", "min_col", "max_col", "header_row", "data_start_row"]
+    first = F.min(F.when(F.col("kind") == "table", F.struct("region_id", *bounds)))
+    largest = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("confidence"))), F.lit(0.0))
+    g = region_types(cells).groupBy(*SHEET).agg(first.alias("t"), F.bool_or(F.col("kind") == "key_value").alias("pairs"), largest("table").alias("tables"), largest("key_value").alias("keys"))
+    every = cells.select(*SHEET).distinct().withColumn("has", F.lit(True))
+    if sheets is not None:
+        every = sheets.select(*SHEET).distinct().join(every, SHEET, "left")
+    out = every.join(g, SHEET, "left")
+    table, pairs = F.col("t").isNotNull(), F.coalesce("pairs", F.lit(False))
+    name = F.when(F.col("has").isNull(), "empty").when(table, "structured").when(pairs, "unstructured").otherwise("unknown")
+    sure = F.when(F.col("has").isNull(), 1.0).when(table, F.col("tables")).when(pairs, F.col("keys")).otherwise(0.0)
+    return out.select(*SHEET, name.alias("structure"), sure.alias("confidence"), (table & pairs).alias("mixed"), *[F.col("t").getField(c).alias(c) for c in bounds])
+
+
+def routed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cells of sheets that are tables, and those of all other sheets, which are read as keys and values."""
+    kinds = structures(cells).select(*SHEET, "structure")
+    at = cells.join(kinds, SHEET)
+    return at.where("structure = 'structured'").drop("structure"), at.where("structure <> 'structured'").drop("structure")
 
 
 def without_empty_lines(cells: DataFrame) -> DataFrame:

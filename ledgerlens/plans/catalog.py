@@ -1,34 +1,13 @@
-"""The queries of the library's own operators, and DuckDB SQL for the same rows."""
+"""Queries of cleaning, profiles, dates, terms and comparisons, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.functions import cleaning, dates, terms
-from ledgerlens.operators import compare, keyvalue, profile
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _per_column(columns: list[str], body: str) -> str:
-    return " UNION ALL ".join(body.replace("{c}", c) for c in columns)
-
+from ledgerlens.operators import compare, metadata, profile
+from ledgerlens.plans.registry import per_column, query, table
 
 BLANKED = "CASE WHEN l_linenumber % 5 = 0 THEN ' N/A ' WHEN l_linenumber % 7 = 0 THEN '' ELSE l_returnflag END"
 
@@ -47,7 +26,7 @@ def agg_missing_values(spark, sf_dir):
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query(_per_column(NUMBERS, """
+@query(per_column(NUMBERS, """
 SELECT '{c}' AS column_name, count({c})::BIGINT AS non_null, (count(*) - count({c}))::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS distinct_values,
        min({c}) AS min_value, max({c}) AS max_value, round(avg({c}), 4) AS mean_value, median({c}) AS median_value, round(stddev_samp({c}), 4) AS std_value
 FROM lineitem"""))
@@ -55,7 +34,7 @@ def agg_column_stats(spark, sf_dir):
     return profile.numeric_profile(table(spark, sf_dir, "lineitem").select(*NUMBERS), NUMBERS)
 
 
-@query(_per_column(["text", "source"], """
+@query(per_column(["text", "source"], """
 SELECT '{c}' AS column_name, min(length({c}))::BIGINT AS min_length, max(length({c}))::BIGINT AS max_length, round(avg(length({c})), 2) AS avg_length FROM documents"""))
 def agg_text_lengths(spark, sf_dir):
     return profile.text_lengths(table(spark, sf_dir, "documents").select("text", "source"), ["text", "source"])
@@ -71,32 +50,46 @@ def agg_top_values(spark, sf_dir):
 
 @query("SELECT strftime(min(l_shipdate), '%Y-%m-%d') AS first_day, strftime(max(l_shipdate), '%Y-%m-%d') AS last_day, count(DISTINCT l_shipdate::DATE)::BIGINT AS n_days FROM lineitem")
 def agg_date_range(spark, sf_dir):
-    day = F.col("l_shipdate").cast("date")
-    return table(spark, sf_dir, "lineitem").agg(F.date_format(F.min(day), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max(day), "yyyy-MM-dd").alias("last_day"), F.countDistinct(day).alias("n_days"))
+    return profile.date_range(table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
-TYPED = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "flag"]
+TYPED = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", "flag", "nothing", "paid"]
+WORDS = "'true','yes','y','1','on','enabled','false','no','n','0','off','disabled'"
 
 
-@query("""
-WITH t AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END AS flag FROM orders),
-c AS (""" + _per_column(TYPED, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY 2") + """),
-g AS (SELECT column_name, count(*) AS kinds, sum(n) AS total,
-             bool_and(lower(value) IN ('true','yes','y','1','on','enabled','false','no','n','0','off','disabled')) AS wordy,
-             sum(CASE WHEN regexp_matches(value, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN n ELSE 0 END) / sum(n) AS dated,
-             sum(CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN n ELSE 0 END) / sum(n) AS other,
-             bool_and(coalesce(try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE)), true)) AS whole
-      FROM c GROUP BY column_name)
-SELECT column_name, CASE WHEN kinds <= 2 AND wordy THEN 'boolean' WHEN dated > 0.5 THEN 'date' WHEN other < 0.1 AND whole THEN 'integer' WHEN other < 0.1 THEN 'float'
-       WHEN kinds / total < 0.5 AND kinds < 100 THEN 'categorical' ELSE 'text' END AS inferred_type, kinds::BIGINT AS distinct_values, total::BIGINT AS non_null FROM g""")
+def _typed_sql(named: str) -> str:
+    return """
+WITH t AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'Yes' WHEN o_orderkey % 3 = 1 THEN 'YES' ELSE ' no' END AS flag, CAST(NULL AS VARCHAR) AS nothing,
+           CASE WHEN o_orderkey % 20 = 0 THEN 'n.a.' ELSE o_custkey::VARCHAR END AS paid FROM orders),
+c AS (""" + per_column(TYPED, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value FROM t") + f"""),
+g AS (SELECT column_name, count(value) AS total, count(DISTINCT value) AS kinds, count(DISTINCT lower(trim(value))) AS word_kinds, bool_and(lower(trim(value)) IN ({WORDS})) AS wordy,
+             count(*) FILTER (WHERE regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) / count(value) AS dated, count(*) FILTER (WHERE value IS NOT NULL AND try_cast(value AS DOUBLE) IS NULL) / count(value) AS other,
+             bool_and(coalesce(try_cast(value AS DOUBLE) = floor(try_cast(value AS DOUBLE)), true)) AS whole FROM c GROUP BY column_name)
+SELECT column_name, CASE WHEN total = 0 THEN 'unknown' WHEN word_kinds <= 2 AND wordy THEN 'boolean' WHEN {named} OR dated > 0.5 THEN 'date' WHEN other < 0.1 AND whole THEN 'integer' WHEN other < 0.1 THEN 'float'
+       WHEN kinds / total < 0.5 AND kinds < 100 THEN 'categorical' ELSE 'text' END AS inferred_type, total::BIGINT AS non_null FROM g"""
+
+
+def _typed(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "*", F.when(k % 3 == 0, "Yes").when(k % 3 == 1, "YES").otherwise(" no").alias("flag"), F.lit(None).cast("string").alias("nothing"),
+        F.when(k % 20 == 0, "n.a.").otherwise(F.col("o_custkey").cast("string")).alias("paid"),
+    )
+
+
+@query(_typed_sql("regexp_matches(column_name, 'date|time|dt|period|month|year|quarter|week|day|created|updated|modified|effective|expiry|start|end|from|to|as_of|asof|reporting|transaction|trade|settlement|maturity|issue|cal_')"))
 def agg_infer_types(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("flag", F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("no"))
-    return profile.infer_types(orders, TYPED)
+    return profile.infer_types(_typed(spark, sf_dir), TYPED)
+
+
+@query(_typed_sql("false"))
+def agg_infer_types_by_value(spark, sf_dir):
+    return profile.infer_types(_typed(spark, sf_dir), TYPED, by_name=False)
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
 def agg_dedup_rows(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").dropDuplicates()
+    return profile.deduplicated(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
 
 
 @query("""
@@ -105,19 +98,21 @@ p AS (SELECT source, 100.0::DOUBLE * (count(*) - count(a)) / count(*) AS pa, 100
 SELECT source, round(100 - (pa + pb) / 2, 2) AS completeness, CASE WHEN 100 - (pa + pb) / 2 >= 80 THEN 'HIGH' WHEN 100 - (pa + pb) / 2 >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""")
 def agg_completeness(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 3 != 0, F.lit(1)).alias("a"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("b"))
-    pct = lambda c: F.lit(100.0) * (F.count("*") - F.count(c)) / F.count("*")
-    full = docs.groupBy("source").agg((F.lit(100.0) - (pct("a") + pct("b")) / 2).alias("x"))
-    return full.select("source", F.round("x", 2).alias("completeness"), compare.completeness_level(F.col("x")).alias("level"))
+    return profile.completeness(docs, "source", ["a", "b"]).select("source", "completeness", compare.completeness_level(F.col("exact")).alias("level"))
 
 
-@query("""
-SELECT source, count(*)::BIGINT AS total, count(*) FILTER (WHERE n_chars > 0)::BIGINT AS ok, count(*) FILTER (WHERE n_chars < 500)::BIGINT AS short_texts,
-       count(*) FILTER (WHERE lang = 'en')::BIGINT AS english, count(*) FILTER (WHERE lang <> 'en')::BIGINT AS other_langs FROM documents GROUP BY source""")
+SHEETS = """CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'success' END AS status, CASE doc_id % 6 WHEN 0 THEN 'structured' WHEN 1 THEN 'unstructured' WHEN 2 THEN 'semi_structured' WHEN 3 THEN 'unknown' WHEN 4 THEN 'empty' END AS structure"""
+
+
+@query(f"""
+WITH t AS (SELECT source, doc_id // 22 AS file_name, {SHEETS.replace('doc_id % 11', '(doc_id // 22) % 11')} FROM documents)
+SELECT source, count(DISTINCT file_name)::BIGINT AS total_files, count(DISTINCT file_name) FILTER (WHERE status = 'success')::BIGINT AS successful, count(DISTINCT file_name) FILTER (WHERE status <> 'success')::BIGINT AS failed,
+       count(structure) FILTER (WHERE status = 'success')::BIGINT AS sheets_processed, """ + ", ".join(f"count(*) FILTER (WHERE status = 'success' AND structure = '{k}')::BIGINT AS {k}" for k in ("structured", "unstructured", "semi_structured", "unknown", "empty")) + """
+FROM t GROUP BY source""")
 def agg_run_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("total"), F.count_if(F.col("n_chars") > 0).alias("ok"), F.count_if(F.col("n_chars") < 500).alias("short_texts"),
-        F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("lang") != "en").alias("other_langs"),
-    )
+    file = F.floor(F.col("doc_id") / 22)
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", file.alias("file_name"))
+    return profile.run_summary(rows.selectExpr("source", "file_name", *[p.strip() for p in SHEETS.replace("doc_id % 11", "file_name % 11").split(", ", 1)]), "source")
 
 
 @query("""
@@ -163,8 +158,8 @@ TEXTED = "CASE WHEN o_orderkey % 4 = 0 THEN concat(' ', CAST(o_custkey AS STRING
 
 @query(f"SELECT o_orderkey, try_cast(trim({TEXTED}) AS BIGINT) AS as_integer, try_cast(trim({TEXTED}) AS DOUBLE) AS as_float FROM orders")
 def prj_cast_types(spark, sf_dir):
-    value = F.trim(F.expr(TEXTED))
-    return table(spark, sf_dir, "orders").select("o_orderkey", value.try_cast("long").alias("as_integer"), value.try_cast("double").alias("as_float"))
+    value = F.expr(TEXTED)
+    return table(spark, sf_dir, "orders").select("o_orderkey", cleaning.apply_type(value, "integer").alias("as_integer"), cleaning.apply_type(value, "float").alias("as_float"))
 
 
 WORDED = "CASE o_orderkey % 5 WHEN 0 THEN ' YES ' WHEN 1 THEN 'off' WHEN 2 THEN '1' WHEN 3 THEN 'Disabled' ELSE o_orderstatus END"
@@ -211,16 +206,13 @@ def dt_excel_serial(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderpriority, count(*)::BIGINT AS n, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day,
-       date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INT AS span_days, count(DISTINCT o_orderdate::DATE)::BIGINT AS n_days,
-       array_to_string(list_sort(list_distinct(list(year(o_orderdate)))), ',') AS fiscal_years FROM orders GROUP BY 1""")
+WITH g AS (SELECT o_orderpriority, min(o_orderdate)::DATE AS first_day, max(o_orderdate)::DATE AS last_day FROM orders GROUP BY 1)
+SELECT *, year(first_day)::INT AS start_year, year(last_day)::INT AS end_year, 'Q' || quarter(first_day) || '-' || year(first_day) AS start_quarter, 'Q' || quarter(last_day) || '-' || year(last_day) AS end_quarter,
+       date_diff('day', first_day, last_day)::INT AS span_days, (year(last_day) - year(first_day) + 1)::INT AS span_years,
+       array_to_string(range(year(first_day), year(last_day) + 1), ',') AS fiscal_years FROM g""")
 def dt_period_info(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date")
-    per_day = table(spark, sf_dir, "orders").groupBy("o_orderpriority", day.alias("day")).agg(F.count("*").alias("n"))
-    return per_day.groupBy("o_orderpriority").agg(
-        F.sum("n").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.datediff(F.max("day"), F.min("day")).alias("span_days"),
-        F.count("*").alias("n_days"), F.array_join(F.array_sort(F.collect_set(F.year("day"))).cast("array<string>"), ",").alias("fiscal_years"),
-    )
+    found = metadata.period_info(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderdate")
+    return found.withColumn("fiscal_years", F.array_join(F.col("fiscal_years").cast("array<string>"), ","))
 
 
 @query("""
@@ -231,8 +223,6 @@ n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_custkey, CASE WHEN n < 2 THEN 'unknown' WHEN least IS NULL THEN 'unknown' WHEN least <= 1 THEN 'daily' WHEN least <= 7 THEN 'weekly' WHEN least <= 31 THEN 'monthly'
        WHEN least <= 92 THEN 'quarterly' ELSE 'yearly' END AS granularity FROM s JOIN n USING (o_custkey)""")
 def dt_granularity(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     days = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
     gap = F.datediff(F.lead("day").over(Window.partitionBy("o_custkey").orderBy("day")), F.col("day"))
     g = days.withColumn("gap", gap).groupBy("o_custkey").agg(F.sum("n").alias("n"), F.min("gap").alias("least"))
@@ -240,14 +230,25 @@ def dt_granularity(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN a IS NULL THEN NULL WHEN a = b THEN 'FY' || a ELSE 'FY' || a || '-' || b END AS periods FROM (
-  SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN (2000 + c_custkey % 30)::VARCHAR WHEN 1 THEN (2010 + c_custkey % 7)::VARCHAR END AS a,
-         CASE c_custkey % 3 WHEN 0 THEN (2000 + c_custkey % 30 + 2)::VARCHAR WHEN 1 THEN (2010 + c_custkey % 7)::VARCHAR END AS b FROM customer)""")
+WITH d AS (SELECT user_id, ts::DATE AS day, bool_or(ts <> date_trunc('day', ts)) AS timed, count(*) AS n FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN date_trunc('day', ts) ELSE ts END AS ts FROM events) GROUP BY 1, 2),
+g AS (SELECT *, date_diff('day', day, lead(day) OVER (PARTITION BY user_id ORDER BY day)) AS gap FROM d),
+s AS (SELECT user_id, bool_or(timed) AS timed, sum(n) AS n, min(gap) AS least FROM g GROUP BY 1)
+SELECT user_id, CASE WHEN n < 2 THEN 'unknown' WHEN timed THEN 'datetime' WHEN least IS NULL THEN 'unknown' WHEN least <= 1 THEN 'daily' WHEN least <= 7 THEN 'weekly' WHEN least <= 31 THEN 'monthly' ELSE 'quarterly' END AS granularity FROM s""")
+def dt_granularity_times(spark, sf_dir):
+    ts = F.when(F.col("user_id") % 2 == 0, F.date_trunc("day", "ts")).otherwise(F.col("ts"))
+    days = table(spark, sf_dir, "events").select("user_id", ts.alias("ts")).groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.bool_or(F.col("ts") != F.date_trunc("day", "ts")).alias("timed"), F.count("*").alias("n"))
+    gap = F.datediff(F.lead("day").over(Window.partitionBy("user_id").orderBy("day")), F.col("day"))
+    g = days.withColumn("gap", gap).groupBy("user_id").agg(F.bool_or("timed").alias("timed"), F.sum("n").alias("n"), F.min("gap").alias("least"))
+    return g.select("user_id", dates.granularity(F.col("timed"), F.col("n"), F.col("least")).alias("granularity"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'FY' || (2000 + c_custkey % 30) || '-' || (2000 + c_custkey % 30 + 2) WHEN 1 THEN 'FY' || (2010 + c_custkey % 7) WHEN 2 THEN 'FY' || (11 + c_custkey % 7) || ', FY 19' ELSE 'historical period' END AS periods FROM customer""")
 def dt_text_periods(spark, sf_dir):
     k = F.col("c_custkey")
     text = (
-        F.when(k % 3 == 0, F.concat(F.lit("accounts of "), 2000 + k % 30 + 2, F.lit(" and "), 2000 + k % 30, F.lit(".")))
-        .when(k % 3 == 1, F.concat(F.lit("the year "), 2010 + k % 7)).otherwise("all periods")
+        F.when(k % 4 == 0, F.concat(F.lit("accounts of "), 2000 + k % 30 + 2, F.lit(" and "), 2000 + k % 30, F.lit(".")))
+        .when(k % 4 == 1, F.concat(F.lit("the year "), 2010 + k % 7)).when(k % 4 == 2, F.concat(F.lit("FY"), 11 + k % 7, F.lit(" to FY 19"))).otherwise("all periods")
     )
     return table(spark, sf_dir, "customer").select("c_custkey", dates.text_periods(text).alias("periods"))
 
@@ -260,34 +261,6 @@ def ent_classify(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy(terms.entity_kind(F.expr(ENTITY)).alias("kind")).agg(F.count("*").alias("n"))
 
 
-ASK = "concat('Provide the ', CASE p_partkey % 3 WHEN 0 THEN 'Revenue and Debt' WHEN 1 THEN 'Balance Sheet' ELSE 'inventory aging' END, ' schedule of the bank for FY', CAST(2010 + p_size % 10 AS STRING), ' a) ', p_name, ', b) ', p_type)"
-
-
-@query(f"""
-WITH t AS (SELECT p_partkey, lower({ASK}) AS x, {ASK} AS raw FROM part)
-SELECT p_partkey, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(x, '\\b(revenue|debt)\\b', 1), regexp_extract_all(x, '\\b(balance sheet)\\b', 1),
-       regexp_extract_all(x, '\\b(inventory|aging|schedule)\\b', 1)))), ',') AS data_types,
-       array_to_string(list_sort(list_distinct(regexp_extract_all(x, '\\b(schedule|provide)\\b', 1))), ',') AS keywords, 'bank' AS entities,
-       array_to_string(list_transform(regexp_extract_all(raw, '(?i)[a-z]\\)\\s*([^,\\n]+)', 1), lambda v: trim(v)), '|') AS files,
-       array_to_string(regexp_extract_all(raw, '\\b(FY20[0-9][0-9])\\b', 1), ',') AS periods FROM t""")
-def req_terms(spark, sf_dir):
-    x = F.expr(ASK)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", F.array_join(terms.found_terms(x, terms.DATA_TERMS), ",").alias("data_types"), F.array_join(terms.found_terms(x, terms.KEYWORDS), ",").alias("keywords"),
-        F.array_join(terms.found_terms(x, terms.ENTITY_TERMS), ",").alias("entities"), F.array_join(terms.file_references(x), "|").alias("files"),
-        F.array_join(F.transform(terms.period_mentions(x), lambda p: p["raw"]), ",").alias("periods"),
-    )
-
-
-@query("""
-SELECT level AS complexity_level, count(*)::BIGINT AS n FROM (SELECT CASE WHEN s <= 5 THEN 'simple' WHEN s <= 15 THEN 'moderate' ELSE 'complex' END AS level FROM (
-  SELECT 2.0 * (p_size % 4) + (p_size % 3) + 3.0 * (p_size % 5) + 0.5 * (p_size % 7) AS s FROM part)) GROUP BY 1""")
-def req_complexity(spark, sf_dir):
-    p = F.col("p_size")
-    level = terms.complexity_level(terms.complexity_score(p % 4, p % 3, p % 5, p % 7))
-    return table(spark, sf_dir, "part").groupBy(level.alias("complexity_level")).agg(F.count("*").alias("n"))
-
-
 @query("""
 SELECT n_name, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500) AS present FROM nation WHERE n_regionkey < 3""")
 def join_entity_coverage(spark, sf_dir):
@@ -335,29 +308,6 @@ def win_bucketing(spark, sf_dir):
     return compare.dealt_evenly(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 4, ["o_orderkey"], ["o_custkey"]).select("o_orderkey", "section")
 
 
-SCOPE = "concat(CASE p_partkey % 6 WHEN 0 THEN 'Quality of Earnings' WHEN 1 THEN 'Working Capital review' WHEN 2 THEN 'Tax matters' WHEN 3 THEN 'Debt and cash' WHEN 4 THEN 'Operational cost' ELSE 'Other (Priority: High)' END)"
-
-
-@query("""
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'REVENUE ANALYSIS' WHEN 1 THEN 'WORKING CAPITAL MANAGEMENT' WHEN 2 THEN 'TAX MATTERS' WHEN 3 THEN 'CASH FLOW ANALYSIS' WHEN 4 THEN 'OPERATIONAL ANALYSIS' ELSE 'OTHER' END AS section,
-       CASE p_partkey % 6 WHEN 3 THEN 'High' WHEN 4 THEN 'Medium' ELSE 'Low' END AS priority, CASE p_partkey % 6 WHEN 3 THEN 'debt structure' ELSE 'general business risks' END AS risks FROM part""")
-def txt_section_map(spark, sf_dir):
-    x = F.expr(SCOPE)
-    return table(spark, sf_dir, "part").select("p_partkey", terms.request_section(x).alias("section"), terms.request_priority(x).alias("priority"), F.array_join(terms.risk_areas(x), ",").alias("risks"))
-
-
-LINES = "array('CLIENT DETAILS', concat('Name: ', c_name), concat('Segment = ', c_mktsegment), 'PAST BALANCES', 'free words', concat('Balance:', CAST(c_nationkey AS STRING)), 'Empty: ')"
-
-
-@query("""
-SELECT c_custkey, section, key, value FROM (
-  SELECT c_custkey, 'CLIENT DETAILS' AS section, 'Name' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'CLIENT DETAILS', 'Segment', c_mktsegment FROM customer
-  UNION ALL SELECT c_custkey, 'PAST BALANCES', 'Balance', c_nationkey::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'PAST BALANCES', 'Empty', NULL FROM customer)""")
-def kv_pairs(spark, sf_dir):
-    lines = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(F.expr(LINES)).alias("pos", "line"))
-    return keyvalue.pairs(lines, "c_custkey", "pos", "line")
-
-
 CELL = "CASE o_orderkey % 5 WHEN 0 THEN '  ' WHEN 1 THEN CAST(o_custkey AS STRING) WHEN 2 THEN 'due 3/4/2021' WHEN 3 THEN '2021-03-04' ELSE o_orderpriority END"
 
 
@@ -366,6 +316,13 @@ def str_cell_types(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(cleaning.cell_type(F.expr(CELL)).alias("cell_type")).agg(F.count("*").alias("n"))
 
 
-@query()
+PROFILED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("""
+WITH c AS (""" + per_column(PROFILED, "SELECT '{c}' AS column_name, {c}::VARCHAR AS value FROM orders") + """),
+g AS (SELECT column_name, count(*) AS n_rows, count(*) FILTER (WHERE value IS NULL OR trim(value) IN ('', 'N/A', 'n/a', 'NA', 'null', 'NULL', 'None', 'NONE', '-', '--', '---')) AS n_missing, count(value) AS non_null, count(DISTINCT value) AS kinds FROM c GROUP BY 1)
+SELECT column_name, n_rows::BIGINT AS n_rows, n_missing::BIGINT AS n_missing, round(100.0::DOUBLE * n_missing / n_rows, 2) AS missing_pct,
+       CASE WHEN column_name IN ('o_orderdate', 'o_totalprice') THEN 'date' WHEN column_name LIKE '%key' THEN 'integer' WHEN kinds / non_null < 0.5 AND kinds < 100 THEN 'categorical' ELSE 'text' END AS inferred_type, non_null::BIGINT AS non_null FROM g""")
 def column_profile(spark, sf_dir):
     return profile.column_profile(table(spark, sf_dir, "orders"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Delimiters in the order in which they are tried.
+# Delimiters in the order in which they are tried.
 DELIMITERS = [",", ";", "\t", "|"]
-#: Lines at a file's head that decide on its delimiter.
-HEAD_LINES = 20
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -21,18 +19,90 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value"))
 
 
-def delimiter(spark: SparkSession, path: str) -> str | None:
-    """The first delimiter that splits the head into more than one column; the head is a bounded number of lines."""
-    head = [r["value"] for r in spark.read.text(path).limit(HEAD_LINES).collect()]
-    return next((d for d in DELIMITERS if head and d in head[0]), None)
+def delimiters(spark: SparkSession, path: str) -> DataFrame:
+    """(file_path, sep) of each file: the first delimiter that is in its first line; null where none is.
 
+    The first line is the least by its place in the file, so files of any size are read once, with a row a file left.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"), "value")
+    first = lines.where(F.trim("value") != "").groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
+    sep = None
+    for d in DELIMITERS:
+        sep = F.when(F.contains("head", F.lit(d)), d) if sep is None else sep.when(F.contains("head", F.lit(d)), d)
+    return first.select("file_path", sep.alias("sep"))
 
-def separated(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """Separated values, malformed lines left out, all columns text; raw lines where no delimiter fits."""
-    sep = delimiter(spark, path)
-    if sep is None:
+
+def encoding_of(content: Column) -> Column:
+    """By the mark at a file's start, else UTF-8 if its bytes are valid, else ``windows-1252``."""
+    head = F.hex(F.substring(content, 1, 3))
+    valid = F.try_validate_utf8(content.cast("string")).isNotNull()
+    return F.when(F.startswith(head, F.lit("EFBBBF")), "utf-8-sig").when(F.startswith(head, F.lit("FFFE")), "utf-16le").when(F.startswith(head, F.lit("FEFF")), "utf-16be").when(valid, "utf-8").otherwise("windows-1252")
+
+
+def encodings(files: DataFrame) -> DataFrame:
+    """(path, encoding) of (path, content) files."""
+    return files.select("path", encoding_of(F.col("content")).alias("encoding"))
+
+
+def separated(spark: SparkSession, path: str, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
+    """Separated values, malformed lines left out, all columns text; raw lines where no delimiter fits.
+
+    The files of ``path`` have one shape; where their first lines have different delimiters, the
+    commonest one counts (the names of delimiters that the driver sees are a handful).
+    """
+    found = delimiters(spark, path).groupBy("sep").count().where("sep is not null").orderBy(F.desc("count"), "sep").first()
+    if found is None:
         return raw_lines(spark, path)
-    return spark.read.option("sep", sep).option("header", header).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.option("sep", found["sep"]).option("header", header).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+
+
+def as_cells(df: DataFrame, file_path: str, sheet: str = "Sheet1") -> DataFrame:
+    """A table of text as cells, its header in row 0. Rows are numbered in the order of their partitions."""
+    width = len(df.columns)
+    names = df.sparkSession.createDataFrame([(0, k, c) for k, c in enumerate(df.columns)], "row_idx int, col_idx int, value string")
+    counts = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    before, at = {}, 1
+    for p in sorted(counts):
+        before[p], at = at, at + counts[p]
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = df.select(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("v"), (F.element_at(start, F.spark_partition_id()) + place).cast("int").alias("row_idx"))
+    body = rows.select("row_idx", F.posexplode("v").alias("col_idx", "value")) if width else names.limit(0)
+    kind = F.when(F.col("value").try_cast("double").isNotNull(), "number").otherwise("text")
+    return names.unionByName(body).where("value is not null").select(F.lit(file_path).alias("file_path"), F.lit(sheet).alias("sheet_name"), "row_idx", "col_idx", "value", kind.alias("vtype"))
+
+
+# Pages that are looked at, and characters a page under which a document was scanned.
+SCANNED_PAGES, SCANNED = 3, 100
+# Names that the columns of a request list go by, in the order in which they are tried.
+ALIASES = {
+    "requirement": ["Information Requirement", "Info Requirement", "Requirement", "Description"], "section": ["Section", "Category", "Area"],
+    "id": ["S.No."], "priority": ["Priority"],
+}
+DEFAULT_PRIORITY = "Medium"
+
+
+def requirement_rows(values: DataFrame, keys: list[str], row: str = "row_no", column: str = "column", value: str = "value") -> DataFrame:
+    """(keys, id, section, requirement, priority) of a request list's cells (a row a cell, under its column's name).
+
+    Of each field the first of its columns that has a value counts. Rows without a requirement go; a missing
+    number is the row's place, a missing priority is Medium.
+    """
+    def field(name: str) -> Column:
+        return F.coalesce(*[F.max(F.when((F.col(column) == c) & (F.trim(F.col(value)) != ""), F.col(value))) for c in ALIASES[name]])
+
+    g = values.groupBy(*keys, row).agg(*[field(n).alias(n) for n in ALIASES])
+    return g.where("requirement is not null").select(
+        *keys, F.coalesce("id", F.col(row).cast("string")).alias("id"), F.coalesce("section", F.lit("")).alias("section"), "requirement", F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).alias("priority"), row,
+    )
+
+
+def ordered_sections(rows: DataFrame, keys: list[str], row: str = "row_no") -> DataFrame:
+    """(keys, section, place): the different sections of request lists in the order in which they first come."""
+    from pyspark.sql.window import Window
+
+    first = rows.where("section <> ''").groupBy(*keys, "section").agg(F.min(row).alias("first"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first", "section"))).drop("first")
 
 
 def requirements(df: DataFrame, json_col: str) -> DataFrame:
@@ -62,3 +132,18 @@ def consolidated(documents: DataFrame, group: str, name: str, text: str, order:
     part = F.concat(F.lit("\n--- Document: "), F.col(name), F.lit(" ---\n"), F.coalesce(F.col(text), F.lit("")))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), part.alias("part"))))
     return documents.groupBy(group).agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("text"))
+
+
+def page_texts(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """(doc, text, page_count, character_count, scanned) of the pages of documents: texts under page lines, in order.
+
+    ``scanned`` says that the first three pages have under SCANNED characters each on average, so
+    that their text has to be recognised first. Pages without text add no line.
+    """
+    filled = F.when(F.trim(F.col(text)) != "", F.concat(F.lit("\n--- Page "), F.col(page).cast("string"), F.lit(" ---\n"), F.col(text)))
+    g = pages.groupBy(doc).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(page), filled.alias("t")))).alias("p"), F.count("*").alias("page_count"),
+        F.avg(F.when(F.col(page) <= SCANNED_PAGES, F.length(F.trim(F.coalesce(F.col(text), F.lit("")))))).alias("mean"),
+    )
+    whole = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    return g.select(doc, whole.alias("text"), "page_count", F.length(whole).alias("character_count"), (F.coalesce("mean", F.lit(0.0)) < SCANNED).alias("scanned"))

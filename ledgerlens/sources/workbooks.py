@@ -121,5 +121,52 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+# Rows and columns at the top left that are looked through for formulas.
+FORMULA_CELLS = 9
+FACTS = "file_path string, sheet_name string, n_rows int, n_cols int, has_formulas boolean, merged array<struct<range:string,min_row:int,max_row:int,min_col:int,max_col:int>>"
+
+
+def _corner(ref: str) -> tuple[int, int]:
+    """Row and column of a cell's name, from 0."""
+    return int(re.sub("[^0-9]", "", ref)) - 1, _column(ref)
+
+
+def _facts(content: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        for name, part in _sheets(book):
+            rows = cols = 0
+            formulas, merged = False, []
+            for _, x in ElementTree.iterparse(book.open(part)):
+                if x.tag == f"{MAIN}c" and x.get("r"):
+                    r, c = _corner(x.get("r"))
+                    rows, cols = max(rows, r + 1), max(cols, c + 1)
+                    formulas |= r < FORMULA_CELLS and c < FORMULA_CELLS and x.find(f"{MAIN}f") is not None
+                elif x.tag == f"{MAIN}mergeCell":
+                    first, _, last = x.get("ref").partition(":")
+                    (r0, c0), (r1, c1) = _corner(first), _corner(last or first)
+                    merged.append({"range": x.get("ref"), "min_row": r0, "max_row": r1, "min_col": c0, "max_col": c1})
+                elif x.tag == f"{MAIN}row":
+                    x.clear()
+            yield name, rows, cols, formulas, merged
+
+
+def sheet_facts(files: DataFrame) -> DataFrame:
+    """A row a sheet, empty ones too, from (path, content): its size, whether its corner has formulas, and its merged ranges.
+
+    Files that are no workbooks give no row here; ``workbook_cells`` tells of them.
+    """
+    names = ["file_path", "sheet_name", "n_rows", "n_cols", "has_formulas", "merged"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    yield pd.DataFrame([(path, *f) for f in _facts(content)], columns=names)
+                except (zipfile.BadZipFile, KeyError, TypeError, ValueError, ElementTree.ParseError):
+                    continue
+
+    return files.select("path", "content").mapInPandas(run, FACTS)
+
+
 def column_range(cells: DataFrame, first: int, last: int) -> DataFrame:
     return cells.where(F.col("col_idx").between(first, last))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlens.plans import catalog
+from ledgerlens.plans import catalog, registry, sheets, texts  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -26,15 +26,19 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = registry.QUERIES[name](spark, SF)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    cur = duck.execute(catalog.ORACLES[name])
+    cur = duck.execute(registry.ORACLES[name])
     want = _rows([d[0] for d in cur.description], cur.fetchall())
     assert got[0] == want[0]
     assert got[1] == want[1]
 
 
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
 def test_entry_has_rows(spark):
     assert catalog.column_profile(spark, SF).count() == 6
