@@ -6,8 +6,8 @@ the links only, so the rest is found by shingles: a set and its near copy share
 n - ceil(0.8 n) + 1 shingles of any order that all texts agree on, so texts meet by these and no pair
 is missed. Shingles that a sample finds often come last in the order. Pairs that share too few of
 these to reach the similarity with all the rest are dropped; what is left is verified. First every
-text is held against its neighbour and the first in each meeting; then all pairs that this left
-unconnected.
+text is held against its neighbour, the first and the hubs in each meeting; then all pairs that this
+left unconnected.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ WORDS = 5
 SHARE, OF = 4, 5
 #: Rows whose shingles are counted for the order, and the most shingles that come last in it.
 SAMPLE_ROWS, COMMON = 20000, 50000
+#: Candidate pairs that a task holds at a time.
+PAIRS = 1 << 20
+#: Texts of a meeting that all others in it are held against first.
+HUBS = 2
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -111,26 +115,51 @@ def _pairs(a, b):
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _first_pairs(s, n, node):
-    """Each text with the one before it in a meeting, and with the meeting's first."""
+def _first_pairs(s, n, node, w, marks):
+    """Each text with the one before it in a meeting, with the meeting's first, and with its HUBS: those of whose first shingles the
+    largest share is met elsewhere. Of many copies of one text that is the text itself."""
     new = np.r_[True, s[1:] != s[:-1]]
     at = np.flatnonzero(~new)
-    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))[at]
-    a, b = np.concatenate([at - 1, head]), np.concatenate([at, at])
-    ok = (SHARE * n[b] <= OF * n[a]) & (node[a] != node[b])
+    start = np.flatnonzero(new)
+    head = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+    a, b = [at - 1, head[at]], [at, at]
+    best = np.lexsort((-w / (n - -(-SHARE * n // OF) + 1), head))
+    size = np.diff(np.append(start, len(s)))
+    for k in range(HUBS):
+        has = np.flatnonzero(size > k)
+        hub = best[start[has] + k]
+        rows = np.repeat(hub, size[has])
+        members = np.concatenate([np.arange(lo, lo + m) for lo, m in zip(start[has], size[has])]) if len(has) else np.zeros(0, np.int64)
+        a, b = [*a, rows], [*b, members]
+    a, b = np.concatenate(a), np.concatenate(b)
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    ok = (SHARE * high <= OF * low) & (node[a] != node[b])
     yield _pairs(node[a[ok]], node[b[ok]])
 
 
-def _other_pairs(s, n, node, label):
-    """All pairs of a meeting that may be similar by size and are in different components; rows come in order of size."""
-    at, k = np.arange(len(s)), 1
+def _other_pairs(s, n, node, label, w, marks):
+    """All pairs of a meeting that may be similar and are in different components; rows come in order of size.
+
+    ``marks`` has a bit for each first shingle that is met elsewhere, so a bit that one text has alone stands
+    for a shingle that the other lacks: what two texts share among these is bounded without looking at them.
+    """
+    at, k, found, held = np.arange(len(s)), 1, [], 0
     while len(at):
         at = at[at + k < len(s)]
         at = at[(s[at + k] == s[at]) & (SHARE * n[at + k] <= OF * n[at])]
         ok = at[label[at] != label[at + k]]
-        if len(ok):
-            yield _pairs(node[ok], node[ok + k])
-        k += 1
+        x, y = marks[ok], marks[ok + k]
+        most = np.minimum(w[ok] - np.bitwise_count(x & ~y), w[ok + k] - np.bitwise_count(y & ~x)) - (-SHARE * n[ok + k].astype(np.int64) // OF) - 1
+        ok = ok[most * (SHARE + OF) >= (n[ok].astype(np.int64) + n[ok + k]) * SHARE]
+        found.append(np.stack([np.minimum(node[ok], node[ok + k]), np.maximum(node[ok], node[ok + k])], 1))
+        held, k = held + len(ok), k + 1
+        if held > PAIRS or not len(at):
+            # texts that share one shingle often share more
+            both = np.concatenate(found)
+            both = both[np.lexsort((both[:, 1], both[:, 0]))]
+            both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]] if len(both) else both
+            yield _pairs(both[:, 0], both[:, 1])
+            found, held = [], 0
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,13 +231,16 @@ def first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     meetings = written(shared.join(sets.select("doc", "th", "node"), ["doc", "th"]).select("s", "n", "node"), "meetings")
     discard(shared)
     firsts = written(meetings.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("s").alias("own")), "firsts")
-    found = _verified_edges(_possible(met(meetings, _first_pairs, "a long, b long").distinct(), firsts), sets, texts)
+    marks = F.expr("aggregate(own, 0L, (a, s) -> a | shiftleft(1L, cast(pmod(s, 64) as int)))")
+    weighed = written(meetings.join(firsts.select("node", F.size("own").alias("w"), marks.alias("marks")), "node").select("s", "n", "node", "w", "marks"), "weighed")
+    discard(meetings)
+    found = _verified_edges(_possible(met(weighed, _first_pairs, "a long, b long").distinct(), firsts), sets, texts)
     edges = written(edges.unionAll(found), "edges")
     label = connected_components(edges)
-    labelled = meetings.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"))
+    labelled = weighed.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"), "w", "marks")
     found = _verified_edges(_possible(met(labelled, _other_pairs, "a long, b long").distinct(), firsts), sets, texts)
     edges = written(edges.unionAll(found), "edges")
-    discard(meetings, firsts)
+    discard(weighed, firsts)
     later = connected_components(edges).where("component <> node").select("node").join(sets, "node").select("doc", "th")
     gone = written(copies.unionAll(later), "gone")
     # rows that repeat each other in id and text
