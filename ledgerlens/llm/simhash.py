@@ -184,12 +184,18 @@ def simhash_links(fps: DataFrame, errors: int = 2, group_limit: int = GROUP_LIMI
 
 
 def _grouped(base: DataFrame, words: int, errors: int, group_limit: int) -> DataFrame:
-    """(doc, th, fp, component) of each distinct document of ``base`` (doc, th, body)."""
+    """(doc, th, fp, component) of each document of ``base`` (doc, th, body); component is the smallest id of its group.
+
+    A node is a fingerprint, numbered in order of the smallest id that has it, so documents that share an id,
+    or have none, are one node only if they share their fingerprint.
+    """
     fps = written(base.select("doc", "th", "body").mapInArrow(_fingerprint_batches(words), "doc long, th long, fp long"), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc").alias("doc")), "distinct")
-    components = connected_components(simhash_links(distinct, errors, group_limit))
-    labelled = distinct.join(components, F.col("doc") == F.col("node"), "left").select("fp", F.coalesce("component", "doc").alias("component"))
-    return fps.join(labelled, "fp")
+    first = fps.groupBy("fp").agg(F.min("doc").alias("first"))
+    nodes = written(first.repartitionByRange("first", "fp").sortWithinPartitions("first", "fp").withColumn("node", F.monotonically_increasing_id()), "distinct")
+    components = connected_components(simhash_links(nodes.select("fp", F.col("node").alias("doc")), errors, group_limit))
+    names = nodes.select(F.col("node").alias("least"), F.col("first").alias("component"))
+    led = nodes.select("fp", "node").join(components.withColumnRenamed("component", "least"), "node", "left").withColumn("least", F.coalesce("least", "node"))
+    return fps.join(led.join(names, "least").select("fp", "component"), "fp")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -198,19 +204,19 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``component_id`` is the smallest id that links of at most ``errors`` bits lead to. Words are runs
     of anything but blank and 0x09-0x0D, A-Z lower-cased; a text with fewer than ``words`` words is
     one shingle; a null, empty or blank text has the fingerprint zero, which links like any other.
-    Rows with a null id take part with the largest id there is and are no group's first unless it has
-    no other; repeated rows share their result. Columns of the input named like a result keep the
-    input's value. An empty table gives an empty table.
+    Rows with a null id take part but name no group: one that has no other row has a null
+    ``component_id``. Repeated rows share their result. Columns of the input named like a result keep
+    the input's value. An empty table gives an empty table.
     """
     base = with_document_key(df, id_col, text_col)
     found = _grouped(base, words, errors, group_limit).dropDuplicates(["doc", "th"])
-    return unpack(base.drop("body").join(found, ["doc", "th"]), df, {}, {"fingerprint": _hexed(), "component_id": F.col("component")})
+    return unpack(base.drop("body").join(found, ["doc", "th"]), df, {}, {"fingerprint": _hexed(), "component_id": F.nullif("component", F.lit(LAST_ID))})
 
 
 def simhash_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, errors: int = 2, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """As simhash_groups, but only id, ``fingerprint`` and ``component_id``, so that no text is shuffled."""
     found = _grouped(with_document_key(df, id_col, text_col), words, errors, group_limit)
-    return found.select(F.nullif(F.col("doc"), F.lit(LAST_ID)).alias(id_col), _hexed().alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select(F.nullif(F.col("doc"), F.lit(LAST_ID)).alias(id_col), _hexed().alias("fingerprint"), F.nullif("component", F.lit(LAST_ID)).alias("component_id"))
 
 
 def _hexed():
