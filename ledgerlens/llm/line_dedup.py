@@ -48,8 +48,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
             lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
             .groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_documents)
         )
+    # written, so that the join below is of two shuffled tables, which Spark may split where a line is hot
+    keys = written(keys.select("h1", "h2", "first"), "keys")
     dropped = (
-        lines.join(keys.select("h1", "h2", "first"), ["h1", "h2"]).where(F.col("doc") != F.col("first"))
+        lines.join(keys, ["h1", "h2"]).where(F.col("doc") != F.col("first"))
         .groupBy("doc", "th").agg(F.collect_set("pos").alias("gone"))
     )
     both = base.join(dropped, ["doc", "th"], "left").withColumn("parts", F.split("body", "\n"))
