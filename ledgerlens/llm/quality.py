@@ -148,7 +148,9 @@ def held_out(doc_id: Column | str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
     """Fit on labelled rows that are not held out: at most ``sample_rows`` of them, all that the driver sees.
 
-    The broadcast side of the join is that sample, so its size is bounded by the parameter.
+    The broadcast side of the join is that sample, so its size is bounded by the parameter. Labels other
+    than 0 and 1, null labels and null ids are passed over; a document with two labels, and each
+    document of a repeated id, counts as often. Without labels the score is a constant.
     """
     sample = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))

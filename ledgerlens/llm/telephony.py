@@ -173,9 +173,10 @@ def decode_media(df: DataFrame, media_col: str = "media", block: int = BLOCK) ->
         return pa.StructArray.from_arrays([pa.array(pcm, pa.binary()), pa.array(count, pa.int64()), pa.array(error, pa.string())], ["pcm", "n_samples", "error"])
 
     decoded = F.arrow_udf(run, "pcm binary, n_samples long, error string")
-    out = df.withColumn("__decoded", decoded(F.col(media_col).cast("binary")))
     names = ("pcm", "n_samples", "error")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in names], *[F.col("__decoded").getField(n).alias(n) for n in names])
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{media_col}`").cast("binary").alias("media"))
+    out = packed.select("row", decoded("media").alias("decoded"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in names], *[F.col("decoded").getField(n).alias(n) for n in names])
 
 
 def padded(text: str | None) -> tuple[int, bytes]:

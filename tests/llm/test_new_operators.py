@@ -1,10 +1,12 @@
 """Quality scores, language-model scores, line dedup and SimHash against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import pytest
 import xxhash
 
 from ledgerlens.llm import line_dedup, quality, simhash, suffix_tree_lm
@@ -34,17 +36,48 @@ def _fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
-def test_simhash_matches_brute_force(documents):
-    rows = [t for t in TEXTS if t[0] is not None]
-    fp = {i: _fingerprint(t) for i, t in rows}
-    group = {i: i for i in fp}
-    for _ in fp:
-        for a in fp:
-            for b in fp:
-                if bin(fp[a] ^ fp[b]).count("1") <= 2:
-                    group[a] = min(group[a], group[b])
-    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.simhash_table(documents(rows)).collect()}
-    assert got == {i: (f"{fp[i]:016x}", group[i]) for i in fp}
+def components(fp, errors=2):
+    """The smallest id of each row's group; fp has (id, fingerprint) rows."""
+    label = list(range(len(fp)))
+    for i, (_, x) in enumerate(fp):
+        for j in range(i):
+            if label[i] != label[j] and bin(x ^ fp[j][1]).count("1") <= errors:
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    ids = {}
+    for k, (i, _) in enumerate(fp):
+        ids.setdefault(label[k], []).append(i)
+    return [min((i for i in ids[k] if i is not None), default=None) for k in label]
+
+
+@pytest.mark.parametrize("limit", [8192, 2])
+def test_simhash_matches_brute_force(documents, limit):
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    base = [" ".join(r.choices(words, k=60)) for _ in range(12)]
+    near = [" ".join(w if r.random() > 0.03 else r.choice(words) for w in t.split()) for t in base for _ in range(6)]
+    rows = [*TEXTS, (None, "no id at all"), (None, None), (None, base[0]), (None, "quite alone here"), (5, base[1]), (5, base[2]), *((100 + k, t) for k, t in enumerate(base + near))]
+    fp = [(i, _fingerprint(t)) for i, t in rows]
+    got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.simhash_table(documents(rows), group_limit=limit).collect())
+    assert got == sorted((str(i), f"{x:016x}", str(c)) for (i, x), c in zip(fp, components(fp)))
+    assert any(c is not None and c < i for (i, _), c in zip(fp, components(fp)) if i is not None and i >= 112)
+
+
+def test_simhash_keeps_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d", "x", 7), (2, "a b c d", "y", None), (2, "a b c d", "y", None)], "doc_id long, text string, fingerprint string, fp int")
+    got = sorted((r.doc_id, r.fingerprint, r.fp or 0, r.component_id) for r in simhash.simhash_groups(df).collect())
+    assert got == [(1, "x", 7, 1), (2, "y", 0, 1), (2, "y", 0, 1)]
+    assert simhash.simhash_groups(df.limit(0)).count() == 0
+
+
+def test_line_dedup_with_clashes_and_repeats(spark):
+    rows = [(1, "the same long line\nb", "h"), (1, "the same long line\nb", "h"), (2, "The same long line", None), (3, None, "x"), (None, "the same long line", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h1 string")
+    got = sorted((str(r.doc_id), r.text, r.h1 or "", r.n_dropped) for r in line_dedup.line_dedup(df).collect())
+    assert got == [("1", "the same long line\nb", "h", 0), ("1", "the same long line\nb", "h", 0), ("2", "", "", 1), ("3", "", "x", 0), ("None", "", "y", 1)]
+    three = sorted((str(r.doc_id), r.n_dropped) for r in line_dedup.line_dedup(df, min_documents=3).collect())
+    assert three == [("1", 0), ("1", 0), ("2", 1), ("3", 0), ("None", 1)]
+    assert {r.n_dropped for r in line_dedup.line_dedup(df, min_documents=4).collect()} == {0}
 
 
 def test_quality_learns_from_others_than_held_out(spark):

@@ -2,6 +2,10 @@
 
 import random
 
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline as P
 
 
@@ -62,3 +66,65 @@ def test_suffix_stage_trims_cut_characters_only(spark, documents):
     ]
     got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in P.suffix_stage(spark, documents(rows), "").collect()}
     assert got == {1: ("clean \ufffd text", 12), 2: (rows[1][1], len(rows[1][1])), 3: ("A\ufffdBC\ufffdD", 6), 4: ("", 0)}
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ODD = [(None, None), (None, ""), (1, None), (2, ""), (3, "a line of some length\nx"), (3, "a line of some length\nx"), (4, "A Line of some length \ny"), (None, "a line of some length"), (5, "word " * 4000), (6, "a line of some length\nx")]
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    spark.createDataFrame([(i, 1 if i < 300 else 0) for i in range(600)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_quality_stage_drops_what_it_rejects(spark, documents, folder):
+    rows = [(i, " ".join(f"word{(i * 7 + k * k) % 97}" for k in range(60))) for i in range(300)] + [(i, "BUY!! | " * (20 + i % 9)) for i in range(300, 600)] + ODD[:1]
+    got = P.quality_stage(spark, documents(rows), folder)
+    assert got.columns == COLUMNS
+    ids = {r.doc_id for r in got.collect()}
+    assert {i for i in range(300)} <= ids and not ids & set(range(300, 600))
+
+
+def test_line_stage_matches_brute_force(spark, documents):
+    first = {}
+    for i, text in ODD:
+        for line in (text or "").split("\n"):
+            key = line.strip(" \t\n\x0b\x0c\r").lower()
+            first.setdefault(key, set()).add(i if i is not None else 1 << 62)
+    def kept(i, text):
+        i = i if i is not None else 1 << 62
+        lines = []
+        for line in (text or "").split("\n"):
+            key = line.strip(" \t\n\x0b\x0c\r").lower()
+            if len(key) < 10 or len(first[key]) < 2 or min(first[key]) == i:
+                lines.append(line)
+        return "\n".join(lines)
+
+    got = P.line_stage(spark, documents(ODD), "")
+    assert got.columns == COLUMNS
+    order = lambda rows: sorted((str(i), t, n) for i, t, n in rows)
+    assert order((r.doc_id, r.text, r.n_chars) for r in got.collect()) == order((i, kept(i, t), len(kept(i, t))) for i, t in ODD)
+
+
+def test_packing_stage_holds_every_token(spark, documents):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = P.packing_stage(spark, documents(ODD), "").collect()
+    want = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ODD)
+    assert sum(r.length for r in rows) == want
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 2048 and len(used) == -(-want // 2048)
+
+
+@pytest.mark.parametrize("stage", [P.line_stage, P.simhash_stage, P.suffix_stage, P.packing_stage])
+def test_stages_of_nothing(spark, documents, stage):
+    assert stage(spark, documents([]), "").count() == 0
+
+
+def test_suffix_stage_keeps_rows_without_repeats(spark, documents):
+    rows = [(i, t) for i, t in ODD if i != 5]
+    got = P.suffix_stage(spark, documents(rows), "")
+    assert got.columns == COLUMNS
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got.collect()) == sorted((str(i), t or "", len(t or "")) for i, t in rows)

@@ -54,3 +54,54 @@ def test_what_is_not_handled_is_said(spark):
     rows = decoded(spark, [*blobs, None])
     assert all(r["error"] and r["pcm"] is None and r["n_samples"] is None for r in rows[:-1])
     assert (rows[-1]["error"], rows[-1]["pcm"]) == (None, None)
+
+
+def plain_features(payload):
+    """The feature of a payload, one sample at a time."""
+    import zlib
+
+    def mulaw(b):
+        b = ~b & 255
+        size = (((b & 15) << 3) + 132 << (b >> 4 & 7)) - 132
+        return -size if b & 128 else size
+
+    def alaw(b):
+        b ^= 0x55
+        part, low = b >> 4 & 7, b & 15
+        size = (low << 4) + 8 if not part else (low << 4) + 0x108 << part - 1
+        return size if b & 128 else -size
+
+    said = []
+    for name, pcm in (("mulaw", [mulaw(b) for b in payload]), ("alaw", [alaw(b) for b in payload]), ("ima", ima(payload, T.BLOCK))):
+        out = [v for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for v in (a, (a + b + 1) >> 1)]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+        crc = zlib.crc32(struct.pack(f"<{len(out)}h", *out))
+        said.append(f"{name}:{len(out)},{sum(out) / len(out):.3f},{(sum(v * v for v in out) / len(out)) ** 0.5:.3f},{max(abs(v) for v in out)},{turns},{crc:08x}")
+    return ";".join(said)
+
+
+def test_stored_texts_match_brute_force(spark):
+    import hashlib
+    import zlib
+
+    long = "".join(chr(32 + k * k % 90) for k in range(150_000))
+    rows = [(1, "short"), (2, None), (3, ""), (4, "ü" * 288), (5, "x" * 577), (6, long), (6, "short"), (None, "short"), (8, long[:9000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id or 0, r.n_bytes, r) for r in T.text_media(df).collect())
+    want = sorted((i or 0, len((t or "").encode()), t or "") for i, t in rows)
+    for (i, n, r), (j, m, text) in zip(got, want, strict=True):
+        raw = text.encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (i, n, r.payload_bytes) == (j, m, len(payload))
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        media = T.wav(payload, T.FORMAT_MULAW, T.RATE_IN, 8)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and T.wav_parts(media)[2] == payload
+        assert r.feature == plain_features(payload)
+    assert T.text_media(df.limit(0)).count() == 0
+
+
+def test_media_columns_of_any_names(spark):
+    df = spark.createDataFrame([(file(bytes(range(256)), T.FORMAT_ALAW, 8, 1), "x", "y")], "`the media` binary, __decoded string, error string")
+    (row,) = T.decode_media(df, "the media").collect()
+    assert row["__decoded"] == "x" and row["error"] is None and row["n_samples"] == 512
+    assert T.decode_media(df.limit(0), "the media").count() == 0
