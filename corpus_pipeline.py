@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: five stages, each one of the corpus operators."""
+"""A corpus pipeline over ``documents``: five stages, each one of the corpus operators.
+
+In all stages a null text is empty and a null id comes last; other columns than those of ``documents`` are
+dropped; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -21,31 +25,43 @@ def _documents(df: DataFrame, text) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``."""
+    """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``.
+
+    Each row is judged by its own text, so repeated rows stay or go together. Without usable labels all
+    have one score. Texts, nulls too, stay as they are.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     return quality_scores(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document holds go."""
+    """Lines that an earlier document holds go: of 10 characters at least, but for blanks at the ends and the case of A-Z.
+
+    Rows that share an id are one document, so a line of theirs only stays in all of them.
+    """
     return _documents(line_dedup(docs), F.col("text"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (5-word shingles, Jaccard 0.8 or more) the first stays: the smallest id, null ids last.
 
-    A fingerprint of 64 bits is no sieve for this: see the README for the bits in which such copies differ.
+    Operator 6 links fingerprints, and what it links is verified. A fingerprint of 64 bits is no sieve for
+    such copies (see the README for the bits in which they differ), so what it does not reach is found
+    by shingles. Of rows that repeat each other one stays; all texts without words are copies.
     """
     return first_copies(docs).select(*COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long repeated passages go; a character that a cut leaves in part goes with it."""
+    """Passages of 100 bytes or more that also start earlier go; a character that a cut leaves in part goes with it.
+
+    Rows alike in id and text are repeats of one document and keep the same; texts of one id are different documents.
+    """
     return _documents(suffix_dedup_text(docs), F.col("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens; a row for each piece."""
+    """Sequences of at most 2048 tokens; a row for each piece. Each row is a document, repeated ones too; an empty text is its end token."""
     import public_tokenizers
 
     return pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,7 +75,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express the learned classifier nor the packing; tests hold the stages of copies against brute force.
+#: SQL cannot express the learned classifier nor the packing; ``tests/llm/test_pipeline.py`` holds each stage against brute force.
 ORACLE_SQL = None
 
 
