@@ -1,13 +1,3 @@
 """Where queries write files that they read again."""
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the one that the session names for this; driver and executors share it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"
+from ledgerlens.store import folder as scratch  # noqa: F401

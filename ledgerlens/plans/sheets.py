@@ -401,8 +401,28 @@ def src_csv_delims(spark, sf_dir):
     path = f"{scratch(spark)}/values"
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit('; "quoted", '), F.col("c_nationkey").cast("string")).alias("note"))
     rows.repartition(3).write.option("header", True).option("sep", ";").option("escape", '"').option("quoteAll", True).csv(path)
-    # commas stand within values only
-    return texts.separated(spark, path) if texts.delimiters(spark, path).where("sep = ';'").count() else texts.raw_lines(spark, path)
+    return texts.separated(spark, path)
+
+
+#: A cell with all that makes separated values hard: both kinds of line ends, quotes, each delimiter, letters beyond ASCII; rows of three cells where the header has two are bad.
+WILD = "concat('é', c_name, ',;', chr(10), '\"', c_mktsegment, '|', chr(9), chr(13), chr(10), CAST(c_nationkey AS STRING))"
+
+
+@query("""
+SELECT (c_custkey % 4)::INT AS way, c_custkey::VARCHAR AS "key", CASE WHEN c_custkey % 4 = 3 AND c_custkey % 40 < 20 THEN 'plain ' || c_name ELSE 'é' || c_name || ',;' || chr(10) || '"' || c_mktsegment || '|' || chr(9) || chr(13) || chr(10) || c_nationkey END AS note
+FROM customer""")
+def src_csv_mixed(spark, sf_dir):
+    from ledgerlens.plans.folders import scratch
+    from ledgerlens.sources import separated
+
+    top = scratch(spark)
+    note = F.when((F.col("c_custkey") % 4 == 3) & (F.col("c_custkey") % 40 < 20), F.concat(F.lit("plain "), "c_name")).otherwise(F.expr(WILD))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), note.alias("note"))
+    for way, (sep, encoding) in enumerate([(",", "UTF-8"), (";", "ISO-8859-1"), ("\t", "UTF-16"), ("|", "UTF-8")]):
+        own = rows.where(F.col("key") % 4 == way).repartition(2)
+        own.write.options(header=True, sep=sep, encoding=encoding, escape='"', quoteAll=way < 3).csv(f"{top}/{way}")
+    found = separated.records(spark, [f"{top}/{k}" for k in range(4)]).where("row_no > 0 and error is null")
+    return found.select(F.regexp_extract("file_path", r"/(\d)/[^/]*$", 1).cast("int").alias("way"), F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("note"))
 
 
 @query("SELECT n_name, CASE n_nationkey % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'windows-1252' WHEN 2 THEN 'utf-8-sig' ELSE 'utf-16be' END AS encoding FROM nation")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.sources import texts, workbooks
+from ledgerlens.errors import FileReadError
+from ledgerlens.sources import separated, workbooks
 
 # Name endings of each reader.
 WORKBOOKS, OLD_WORKBOOKS, TEXTS = [".xlsx", ".xlsm", ".xlsb"], [".xls"], [".csv"]
@@ -14,8 +16,7 @@ WORKBOOKS, OLD_WORKBOOKS, TEXTS = [".xlsx", ".xlsm", ".xlsb"], [".xls"], [".csv"
 PATTERN = "*.{xlsx,xls}"
 
 
-class ReadError(Exception):
-    """A path that has no file, or a file that no reader can read."""
+ReadError = FileReadError
 
 
 def kind_of(path) -> F.Column:
@@ -25,30 +26,33 @@ def kind_of(path) -> F.Column:
 
 
 def _separated_cells(files: DataFrame) -> DataFrame:
-    """Cells of small text files, each in one task; a file that a task can't hold is read by ``texts.separated``."""
-    def run(batches):
-        for batch in batches:
-            for path, content, encoding in zip(batch["path"], batch["content"], batch["encoding"]):
-                rows = []
-                lines = content.decode(encoding, "replace").splitlines()
-                head = next((x for x in lines if x.strip()), "")
-                sep = next((d for d in texts.DELIMITERS if d in head), None)
-                import csv
+    """Cells of text files whose contents are at hand, each in one task; ``separated.cells`` reads files of any size.
 
-                parts = csv.reader(lines, delimiter=sep) if sep else ([x.strip()] for x in lines)
-                for r, own in enumerate(parts):
-                    rows += [(path, "Sheet1", r, c, v, _vtype(v)) for c, v in enumerate(own) if v != ""]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in workbooks.CELLS.split(", ")]).astype({"row_idx": "Int32", "col_idx": "Int32"})
+    A file that fails gives an error row; the others are read all the same.
+    """
+    names = [c.split()[0] for c in workbooks.CELLS.split(", ")]
 
-    return files.select("path", "content", texts.encoding_of(F.col("content")).alias("encoding")).mapInPandas(run, workbooks.CELLS)
+    def batch_of(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"row_idx": "Int32", "col_idx": "Int32"})
 
-
-def _vtype(value: str) -> str:
-    try:
-        float(value)
-        return "number"
-    except ValueError:
-        return "text"
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                rows: list[tuple] = []
+                good = 0
+                try:
+                    for values, error in separated.whole_rows(content):
+                        rows += separated.row_cells(path, good - bool(error), values, error)
+                        good += not error
+                        if len(rows) >= workbooks.BATCH:
+                            yield batch_of(rows)
+                            rows = []
+                except (ValueError, TypeError, AttributeError) as e:
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}", "error"))
+                if rows:
+                    yield batch_of(rows)
+
+    return files.select("path", "content").mapInPandas(run, workbooks.CELLS)
 
 
 def cells(files: DataFrame) -> DataFrame:
@@ -66,8 +70,11 @@ def cells(files: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
-    """(path, content and sizes) of a folder's files by their names; an empty folder gives no rows."""
-    return workbooks.listing(spark, path, pattern)
+    """(path, content and sizes) of a folder's files by their names; an empty folder gives no rows, one that is not there is a ``FileReadError``."""
+    try:
+        return workbooks.listing(spark, path, pattern)
+    except AnalysisException as e:
+        raise FileReadError(f"no such folder or file: {path}") from e
 
 
 def file_status(found: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-# Delimiters in the order in which they are tried.
-DELIMITERS = [",", ";", "\t", "|"]
-
+from ledgerlens.sources import separated as separated_files
+from ledgerlens.store import written
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, text), a row a file."""
@@ -20,16 +20,8 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def delimiters(spark: SparkSession, path: str) -> DataFrame:
-    """(file_path, sep) of each file: the first delimiter that is in its first line; null where none is.
-
-    The first line is the least by its place in the file, so files of any size are read once, with a row a file left.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"), "value")
-    first = lines.where(F.trim("value") != "").groupBy("file_path").agg(F.min_by("value", "at").alias("head"))
-    sep = None
-    for d in DELIMITERS:
-        sep = F.when(F.contains("head", F.lit(d)), d) if sep is None else sep.when(F.contains("head", F.lit(d)), d)
-    return first.select("file_path", sep.alias("sep"))
+    """(file_path, sep) of each file that is not empty: the first delimiter that splits its first record; null where none does."""
+    return separated_files.file_facts(spark, path).select("file_path", "sep")
 
 
 def encoding_of(content: Column) -> Column:
@@ -44,30 +36,23 @@ def encodings(files: DataFrame) -> DataFrame:
     return files.select("path", encoding_of(F.col("content")).alias("encoding"))
 
 
-def separated(spark: SparkSession, path: str, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """Separated values, malformed lines left out, all columns text; raw lines where no delimiter fits.
-
-    The files of ``path`` have one shape; where their first lines have different delimiters, the
-    commonest one counts (the names of delimiters that the driver sees are a handful).
-    """
-    found = delimiters(spark, path).groupBy("sep").count().where("sep is not null").orderBy(F.desc("count"), "sep").first()
-    if found is None:
-        return raw_lines(spark, path)
-    return spark.read.option("sep", found["sep"]).option("header", header).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+def separated(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Separated values as a table of text, bad records left out; each file of the folder has its own delimiter and encoding."""
+    return separated_files.table(spark, path, header)
 
 
 def as_cells(df: DataFrame, file_path: str, sheet: str = "Sheet1") -> DataFrame:
-    """A table of text as cells, its header in row 0. Rows are numbered in the order of their partitions."""
-    width = len(df.columns)
+    """A table of text as cells, its header in row 0. Rows are numbered in the order of their partitions.
+
+    The rows are written with their partition and place first, and counted and numbered as they were written.
+    """
     names = df.sparkSession.createDataFrame([(0, k, c) for k, c in enumerate(df.columns)], "row_idx int, col_idx int, value string")
-    counts = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, at = {}, 1
-    for p in sorted(counts):
-        before[p], at = at, at + counts[p]
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    rows = df.select(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).alias("v"), (F.element_at(start, F.spark_partition_id()) + place).cast("int").alias("row_idx"))
-    body = rows.select("row_idx", F.posexplode("v").alias("col_idx", "value")) if width else names.limit(0)
+    place = F.monotonically_increasing_id()
+    rows = written(df.select(F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns]).cast("array<string>").alias("v"), F.shiftright(place, 33).alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at")))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row a partition
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))
+    body = rows.join(F.broadcast(starts), "part").select((F.col("before") + F.col("at") + 1).cast("int").alias("row_idx"), F.posexplode("v").alias("col_idx", "value"))
     kind = F.when(F.col("value").try_cast("double").isNotNull(), "number").otherwise("text")
     return names.unionByName(body).where("value is not null").select(F.lit(file_path).alias("file_path"), F.lit(sheet).alias("sheet_name"), "row_idx", "col_idx", "value", kind.alias("vtype"))
 
@@ -99,8 +84,6 @@ def requirement_rows(values: DataFrame, keys: list[str], row: str = "row_no", co
 
 def ordered_sections(rows: DataFrame, keys: list[str], row: str = "row_no") -> DataFrame:
     """(keys, section, place): the different sections of request lists in the order in which they first come."""
-    from pyspark.sql.window import Window
-
     first = rows.where("section <> ''").groupBy(*keys, "section").agg(F.min(row).alias("first"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first", "section"))).drop("first")
 
