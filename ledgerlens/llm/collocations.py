@@ -17,7 +17,8 @@ from ledgerlens.llm.line_dedup import LOWER, UPPER
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
-#: Frequent words that all tasks may know (a row takes some 30 bytes); with more of them windows hold the words themselves.
+#: Frequent words, or frequent pairs of them, that all tasks may know (a row takes some 30 bytes); with more, windows hold the words themselves
+#: and are joined to the pairs by a shuffle.
 VOCABULARY = 2_000_000
 #: Bytes of text that a task looks at together; a longer text is cut where a piece ends.
 CHUNK = 8 << 20
@@ -134,26 +135,30 @@ def _word_windows(longest: int):
     return run
 
 
-def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int) -> DataFrame:
+def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int, vocabulary: int) -> DataFrame:
     """(lead, w: array of 2 to ``longest`` words, a) of all phrases found ``least`` times, from windows and their counts.
 
-    Counts of the longest phrases are those of the full windows; ROLLUP sums them to each shorter prefix. Both sum
-    within tasks before rows are shuffled, so a common beginning is no hot key.
+    Counts of the longest phrases are those of the full windows; ROLLUP sums them to each shorter prefix. A prefix of
+    three words or more is seldom found twice, so windows are kept for it only if their first two words are found
+    ``least`` times. All sums are made within tasks before rows are shuffled, so a common beginning is no hot key.
     """
     names = [f"w{k}" for k in range(longest)]
     full = windows.where((F.col(names[-1]) != F.expr(pad)) & (F.col("n") >= least)).select(*lead, F.array(*names).alias("w"), F.col("n").alias("a"))
     if longest == 2:
         return full
     fixed, rolled = [*lead, *names[:2]], names[2:-1]
-    last = f"ROLLUP ({', '.join(rolled)})" if rolled else ""
+    pairs = written(windows.groupBy(*fixed).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
+    if not rolled:
+        return full.unionByName(pairs.select(*lead, F.array(*names[:2]).alias("w"), "a"))
+    first = pairs.select(*fixed)
+    kept = windows.join(F.broadcast(first) if first.count() <= vocabulary else first, fixed, "left_semi")
     marks = [f"grouping({c}) AS g_{c}" for c in rolled]
-    sql = f"SELECT {', '.join([*fixed, *rolled, *marks])}, sum(n) AS a FROM {{windows}} GROUP BY {', '.join(fixed)}{', ' + last if rolled else ''} HAVING sum(n) >= {least}"
-    sums = windows.sparkSession.sql(sql, windows=windows)
+    sql = f"SELECT {', '.join([*fixed, *rolled, *marks])}, sum(n) AS a FROM {{kept}} GROUP BY {', '.join(fixed)}, ROLLUP ({', '.join(rolled)}) HAVING sum(n) >= {least}"
+    sums = windows.sparkSession.sql(sql, kept=kept)
     # a column that is summed over is null; one that is not, and holds the mark for nothing, makes no phrase
     for c in rolled:
         sums = sums.where((F.col(f"g_{c}") == 1) | (F.col(c) != F.expr(pad)))
-    shorter = sums.select(*lead, F.filter(F.array(*names[:2], *rolled), lambda x: x.isNotNull()).alias("w"), "a")
-    return full.unionByName(shorter)
+    return full.unionByName(sums.select(*lead, F.filter(F.array(*names[:2], *rolled), lambda x: x.isNotNull()).alias("w"), "a"))
 
 
 def _words_of(phrases: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -199,7 +204,7 @@ def collocations(
     else:
         rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
     windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
-    found = _summed(windows, lead, pad, longest, least)
+    found = _summed(windows, lead, pad, longest, least, vocabulary)
     phrases = written(found if lead else _words_of(found, frequent), "phrases").withColumn("phrase", F.array_join("w", " "))
     discard(windows)
     out = _kept(phrases, frequent, cover)
