@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.functions.cleaning import cell_type, stripped
+from ledgerlens.operators.components import components
+from ledgerlens.store import written
 
 SHEET = ["file_path", "sheet_name"]
 REGION = [*SHEET, "region_id"]
@@ -29,70 +31,125 @@ def filled(value: Column) -> Column:
     return value.isNotNull() & (stripped(value) != "")
 
 
-def regions(cells: DataFrame) -> DataFrame:
+#: Rows of a strip in which equal runs are put together, and in which regions are numbered; rows and columns of a tile in which cells meet regions.
+STRIP, TILE_ROWS, TILE_COLS = 4096, 64, 16
+#: Rectangles of a sheet that one task unites; those of a larger sheet are united by joins.
+RECTANGLES = 100_000
+#: What a row number is multiplied by to name a place by one number.
+ROW = 1 << 31
+
+
+def rectangles(cells: DataFrame) -> DataFrame:
+    """(file_path, sheet_name, lo, hi, top, bottom): filled cells as rectangles: runs of neighbours in a row, united with the same run
+    in the rows below within a strip. A full table of a million rows is some hundred rectangles."""
+    spots = cells.where(filled(F.col("value"))).select(*SHEET, "row_idx", "col_idx")
+    # a cell that is there twice has one rank
+    step = F.col("col_idx") - F.dense_rank().over(Window.partitionBy(*SHEET, "row_idx").orderBy("col_idx"))
+    runs = spots.withColumn("run", step).groupBy(*SHEET, "row_idx", "run").agg(F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi"))
+    strip = F.floor(F.col("row_idx") / STRIP)
+    down = F.col("row_idx") - F.row_number().over(Window.partitionBy(*SHEET, "lo", "hi", "strip").orderBy("row_idx"))
+    return runs.withColumn("strip", strip).withColumn("down", down).groupBy(*SHEET, "lo", "hi", "strip", "down").agg(
+        F.min("row_idx").alias("top"), F.max("row_idx").alias("bottom")).drop("strip", "down")
+
+
+REGIONS = "file_path string, sheet_name string, region_id int, min_row int, max_row int, min_col int, max_col int, area long"
+
+
+def regions(cells: DataFrame, rectangles_in_task: int = RECTANGLES) -> DataFrame:
     """(file_path, sheet_name, region_id, min_row, max_row, min_col, max_col, area) of cells that touch by a side.
 
-    Regions of one cell are left out; the others are numbered from 0 by their first cell, row by row. Runs of
-    neighbours in a row are made by windows first, so a sheet's task sees runs, not cells. A sheet is a group: the
-    file format bounds it.
+    Regions of one cell are left out; the others are numbered from 0 by their first cell, row by row. Rectangles are
+    written first. A sheet of at most ``rectangles_in_task`` is united in one task, a larger one by joins of rectangles that
+    touch and by components over all tasks.
     """
-    spots = cells.where(filled(F.col("value"))).select(*SHEET, "row_idx", "col_idx").distinct()
-    step = F.col("col_idx") - F.row_number().over(Window.partitionBy(*SHEET, "row_idx").orderBy("col_idx"))
-    runs = spots.withColumn("run", step).groupBy(*SHEET, "row_idx", "run").agg(F.min("col_idx").alias("lo"), F.max("col_idx").alias("hi")).drop("run")
-    schema = "file_path string, sheet_name string, region_id int, min_row int, max_row int, min_col int, max_col int, area long"
-    return runs.groupBy(*SHEET).applyInPandas(_joined, schema)
+    found = written(rectangles(cells))
+    large = found.groupBy(*SHEET).agg(F.count("*").alias("n")).where(F.col("n") > rectangles_in_task).select(*SHEET)
+    if large.limit(1).count() == 0:
+        return found.groupBy(*SHEET).applyInPandas(_united, REGIONS)
+    small = found.join(large, SHEET, "left_anti").groupBy(*SHEET).applyInPandas(_united, REGIONS)
+    return small.unionByName(_united_by_joins(found.join(large, SHEET, "left_semi")))
 
 
-def _joined(runs: pd.DataFrame) -> pd.DataFrame:
-    """Unites the runs of neighbouring rows that overlap."""
-    runs = runs.sort_values(["row_idx", "lo"]).reset_index(drop=True)
-    row, lo, hi = (runs[c].tolist() for c in ("row_idx", "lo", "hi"))
-    root = list(range(len(row)))
+def _united(parts: pd.DataFrame) -> pd.DataFrame:
+    """Unites the rectangles of a sheet where one ends in the row above another that overlaps it."""
+    parts = parts.sort_values(["top", "lo"]).reset_index(drop=True)
+    root = list(range(len(parts)))
 
-    def top(k: int) -> int:
+    def first(k: int) -> int:
         while root[k] != k:
             root[k] = root[root[k]]
             k = root[k]
         return k
 
-    above = 0
-    for k in range(len(row)):
-        # runs are in order, so the first one that may touch this one never moves back
-        while row[above] < row[k] - 1 or (row[above] == row[k] - 1 and hi[above] < lo[k]):
-            above += 1
-        j = above
-        while j < k and row[j] == row[k] - 1 and lo[j] <= hi[k]:
-            a, b = sorted((top(j), top(k)))
-            root[b] = a
-            j += 1
-    runs["root"], runs["area"] = [top(k) for k in range(len(row))], runs["hi"] - runs["lo"] + 1
-    out = runs.groupby("root").agg(
-        file_path=("file_path", "first"), sheet_name=("sheet_name", "first"), min_row=("row_idx", "min"), max_row=("row_idx", "max"),
-        min_col=("lo", "min"), max_col=("hi", "max"), area=("area", "sum"),
+    lo, hi = parts["lo"].tolist(), parts["hi"].tolist()
+    above = {row: g.sort_values("lo").index.tolist() for row, g in parts.groupby("bottom")}
+    for row, g in parts.groupby("top"):
+        over, at = above.get(row - 1, []), 0
+        for k in g.index:
+            while at < len(over) and hi[over[at]] < lo[k]:
+                at += 1
+            j = at
+            while j < len(over) and lo[over[j]] <= hi[k]:
+                a, b = sorted((first(over[j]), first(k)))
+                root[b] = a
+                j += 1
+    parts["root"] = [first(k) for k in range(len(parts))]
+    parts["area"] = (parts["hi"] - parts["lo"] + 1) * (parts["bottom"] - parts["top"] + 1)
+    out = parts.groupby("root").agg(
+        file_path=("file_path", "first"), sheet_name=("sheet_name", "first"), min_row=("top", "min"), max_row=("bottom", "max"), min_col=("lo", "min"), max_col=("hi", "max"), area=("area", "sum"),
     )
     out = out[out["area"] > 1].reset_index(drop=True)
     out["region_id"] = range(len(out))
-    return out[["file_path", "sheet_name", "region_id", "min_row", "max_row", "min_col", "max_col", "area"]]
+    return out[[c.split()[0] for c in REGIONS.split(", ")]]
+
+
+def _united_by_joins(parts: DataFrame) -> DataFrame:
+    """The same for sheets of any size. A rectangle is named by the place of its first cell, so the least name of a region is
+    its first cell, and regions are numbered strip by strip."""
+    named = parts.withColumn("node", F.col("top").cast("long") * ROW + F.col("lo"))
+    columns = F.sequence(F.floor(F.col("lo") / TILE_COLS), F.floor(F.col("hi") / TILE_COLS))
+    tiled = named.select(*SHEET, "node", "lo", "hi", "top", "bottom", F.explode(columns).alias("tile"))
+    upper = tiled.select(*SHEET, (F.col("bottom") + 1).alias("row"), "tile", F.col("node").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
+    lower = tiled.select(*SHEET, F.col("top").alias("row"), "tile", F.col("node").alias("b"), "lo", "hi")
+    edges = upper.join(lower, [*SHEET, "row", "tile"]).where("a_lo <= hi AND lo <= a_hi").select(*SHEET, "a", "b")
+    roots = components(edges, SHEET)
+    both = named.join(roots, [*SHEET, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    area = (F.col("hi") - F.col("lo") + 1).cast("long") * (F.col("bottom") - F.col("top") + 1)
+    g = both.groupBy(*SHEET, "root").agg(F.min("top").alias("min_row"), F.max("bottom").alias("max_row"), F.min("lo").alias("min_col"), F.max("hi").alias("max_col"), F.sum(area).alias("area")).where("area > 1")
+    g = written(g.withColumn("strip", F.floor(F.col("min_row") / STRIP)))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*SHEET).orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = g.groupBy(*SHEET, "strip").agg(F.count("*").alias("n")).withColumn("before", before).drop("n")
+    place = F.row_number().over(Window.partitionBy(*SHEET, "strip").orderBy("root")) - 1
+    numbered = g.withColumn("place", place).join(starts, [*SHEET, "strip"])
+    return numbered.select(*SHEET, (F.col("before") + F.col("place")).cast("int").alias("region_id"), "min_row", "max_row", "min_col", "max_col", "area")
 
 
 def region_cells(cells: DataFrame, found: DataFrame) -> DataFrame:
-    """The filled cells within each region's bounds, with the bounds."""
-    bounds = found.select(*REGION, "min_row", "max_row", "min_col", "max_col")
+    """The filled cells within each region's bounds, with the bounds.
+
+    Cells and regions meet in the tile of the sheet that a cell is in, so the work is that of the cells and of the tiles which
+    regions cover, not of all cells of a sheet with all of its regions.
+    """
+    tile = lambda c, size: F.floor(F.col(c) / size)
+    over = lambda a, b, size: F.explode(F.sequence(tile(a, size), tile(b, size)))
+    bounds = found.select(*REGION, "min_row", "max_row", "min_col", "max_col", over("min_row", "max_row", TILE_ROWS).alias("tile_row")).select("*", over("min_col", "max_col", TILE_COLS).alias("tile_col"))
+    placed = cells.where(filled(F.col("value"))).withColumn("tile_row", tile("row_idx", TILE_ROWS)).withColumn("tile_col", tile("col_idx", TILE_COLS))
     inside = F.col("row_idx").between(F.col("min_row"), F.col("max_row")) & F.col("col_idx").between(F.col("min_col"), F.col("max_col"))
-    return cells.where(filled(F.col("value"))).join(bounds, SHEET).where(inside).withColumn("kind", cell_type(F.col("value")))
+    return placed.join(bounds, [*SHEET, "tile_row", "tile_col"]).where(inside).drop("tile_row", "tile_col").withColumn("kind", cell_type(F.col("value")))
 
 
 def header_scores(inside: DataFrame) -> DataFrame:
     """(region, row_idx, n_filled, score) of each row: the mean of the shares of text cells and of cells whose kind
     differs from the one below (both of the region's width), of distinct cells and of cells like a header. A region's
     last row has no row below, so three parts only."""
-    below = inside.select(*REGION, (F.col("row_idx") - 1).alias("row_idx"), "col_idx", F.col("kind").alias("below"))
+    after = F.lead(F.struct("row_idx", "kind")).over(Window.partitionBy(*REGION, "col_idx").orderBy("row_idx"))
+    change = (F.col("after.row_idx") == F.col("row_idx") + 1) & (F.col("after.kind") != F.col("kind"))
     like = F.lit(False)
     for p in HEADER_PATTERNS:
         like = like | F.col("value").rlike(p)
-    rows = inside.join(below, [*REGION, "row_idx", "col_idx"], "left").groupBy(*REGION, "row_idx").agg(
-        F.count("*").alias("n_filled"), F.count_if(_is_text()).alias("texts"), F.count_distinct("value").alias("kinds"), F.count_if(like).alias("like"),
-        F.count_if(F.col("kind") != F.col("below")).alias("change"), F.max(F.col("max_col") - F.col("min_col") + 1).alias("width"), F.max("max_row").alias("max_row"),
+    rows = inside.withColumn("after", after).groupBy(*REGION, "row_idx").agg(
+        F.count("*").alias("n_filled"), F.count_if(_is_text()).alias("texts"), F.size(F.collect_set("value")).alias("kinds"), F.count_if(like).alias("like"),
+        F.count_if(change).alias("change"), F.max(F.col("max_col") - F.col("min_col") + 1).alias("width"), F.max("max_row").alias("max_row"),
     )
     three = F.col("texts") / F.col("width") + F.col("kinds") / F.col("n_filled") + F.col("like") / F.col("n_filled")
     score = F.when(F.col("row_idx") < F.col("max_row"), (three + F.col("change") / F.col("width")) / 4).otherwise(three / 3)
@@ -105,15 +162,21 @@ def _is_text() -> Column:
 
 def tables(inside: DataFrame) -> DataFrame:
     """(region, header_row, score, fill, is_table): the best row of the first twenty is the header if it scores over 0.7;
-    a table has two header cells at least and is more than half full over its first ten data rows."""
-    bounds = inside.groupBy(*REGION).agg(F.max("min_row").alias("min_row"), F.max("max_row").alias("max_row"))
-    scored = header_scores(inside).join(bounds, REGION).where((F.col("row_idx") < F.col("min_row") + SCAN) & (F.col("score") > HEADER_SCORE))
-    best = scored.groupBy(*REGION).agg(F.max_by(F.struct("row_idx", "n_filled", "score"), F.struct("score", -F.col("row_idx"))).alias("h"), F.max("max_row").alias("max_row"))
-    best = best.select(*REGION, F.col("h.row_idx").alias("header_row"), F.col("h.n_filled").alias("n_header"), F.col("h.score").alias("score"), "max_row")
-    header = inside.join(best.select(*REGION, "header_row"), REGION).where("row_idx = header_row").select(*REGION, "header_row", "col_idx")
-    data = inside.select(*REGION, "row_idx", "col_idx").join(header, [*REGION, "col_idx"]).where((F.col("row_idx") > F.col("header_row")) & (F.col("row_idx") <= F.col("header_row") + FILL_ROWS))
-    n = data.groupBy(*REGION).agg(F.count("*").alias("n"))
-    rows = F.least(F.lit(FILL_ROWS), F.col("max_row") - F.col("header_row"))
+    a table has two header cells at least and is more than half full over its first ten data rows.
+
+    Only the rows at the top that a header and its first data rows may be in are looked at.
+    """
+    top = inside.where(F.col("row_idx") <= F.col("min_row") + SCAN + FILL_ROWS)
+    scored = header_scores(top.where(F.col("row_idx") <= F.col("min_row") + SCAN)).where(F.col("score") > HEADER_SCORE)
+    bounds = top.groupBy(*REGION).agg(F.max("min_row").alias("min_row"), F.max("max_row").alias("max_row"))
+    best = scored.join(bounds, REGION).where(F.col("row_idx") < F.col("min_row") + SCAN).groupBy(*REGION).agg(
+        F.max_by(F.struct("row_idx", "n_filled", "score"), F.struct("score", -F.col("row_idx"))).alias("h"), F.max("max_row").alias("last"))
+    best = best.select(*REGION, F.col("h.row_idx").alias("header_row"), F.col("h.n_filled").alias("n_header"), F.col("h.score").alias("score"), "last")
+    row = F.col("row_idx")
+    columns = top.join(best.select(*REGION, "header_row"), REGION).groupBy(*REGION, "col_idx").agg(
+        F.bool_or(row == F.col("header_row")).alias("named"), F.count_if((row > F.col("header_row")) & (row <= F.col("header_row") + FILL_ROWS)).alias("n"))
+    n = columns.where("named").groupBy(*REGION).agg(F.sum("n").alias("n"))
+    rows = F.least(F.lit(FILL_ROWS), F.col("last") - F.col("header_row"))
     out = best.join(n, REGION, "left").withColumn("fill", F.coalesce(F.try_divide(F.col("n").cast("double"), rows * F.col("n_header")), F.lit(0.0)))
     return out.select(*REGION, "header_row", "score", "fill", ((F.col("n_header") >= 2) & (F.col("fill") > FILL)).alias("is_table"))
 
@@ -140,9 +203,12 @@ def key_values(inside: DataFrame) -> DataFrame:
 
 
 def region_types(cells: DataFrame) -> DataFrame:
-    """(region, its bounds, kind, confidence, header_row, data_start_row): ``table``, else ``key_value``, else ``unknown``."""
-    found = regions(cells)
-    inside = region_cells(cells, found)
+    """(region, its bounds, kind, confidence, header_row, data_start_row): ``table``, else ``key_value``, else ``unknown``.
+
+    Regions and the cells in them are written, and all tests read them from there.
+    """
+    found = written(regions(cells))
+    inside = written(region_cells(cells, found).select(*REGION, "row_idx", "col_idx", "value", "vtype", "kind", "min_row", "max_row", "min_col", "max_col"))
     both = found.join(tables(inside), REGION, "left").join(key_values(inside), REGION, "left")
     is_table, pairs = F.coalesce("is_table", F.lit(False)), F.coalesce("confidence", F.lit(0.0))
     kind = F.when(is_table, "table").when(pairs > 0, "key_value").otherwise("unknown")
@@ -174,7 +240,7 @@ def structures(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
 
 def routed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The cells of sheets that are tables, and those of all other sheets, which are read as keys and values."""
-    kinds = structures(cells).select(*SHEET, "structure")
+    kinds = written(structures(cells).select(*SHEET, "structure"))
     at = cells.join(kinds, SHEET)
     return at.where("structure = 'structured'").drop("structure"), at.where("structure <> 'structured'").drop("structure")
 

@@ -18,3 +18,12 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        for folder_ in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(folder_)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
