@@ -21,9 +21,9 @@ NO_LANGUAGE = "und"
 #: and are joined to the pairs by a shuffle.
 VOCABULARY = 2_000_000
 #: Bytes of text that a task looks at together; a longer text is cut where a piece ends.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Rows of a batch that goes back to Spark.
-ROWS = 1 << 16
+ROWS = 1 << 15
 #: Groups in which words are numbered, and in which each language's first phrases are sought before the last sort.
 GROUPS = 256
 BLANK, END = 1, 2
@@ -38,7 +38,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets) of some texts each; a text beyond ``CHUNK`` comes in parts that end with a piece."""
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    if offsets[0] == offsets[-1]:
+    if offsets[0] == offsets[-1]:  # nothing but empty texts
         return
     data = np.frombuffer(texts.buffers()[2], np.uint8)
     cuts = [offsets]
@@ -116,7 +116,7 @@ def _numbered_windows(shared, longest: int):
                 continue
             known, number = shared.value[lang]
             at = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
-            columns = lead_columns(np.where(at >= 0, number[at], 0), piece, longest)
+            columns = lead_columns(np.where(at >= 0, number[at], np.int32(0)), piece, longest)
             keep = columns[1] > 0
             yield from _sliced([pa.array(c[keep]) for c in columns], [f"w{k}" for k in range(longest)])
 
@@ -198,9 +198,9 @@ def collocations(
         table = frequent.select("lang", "word", "id").toArrow()
         for lang in pc.unique(table["lang"]).to_pylist():
             own = table.filter(pc.equal(table["lang"], lang))
-            known[lang] = own["word"].combine_chunks().cast(pa.large_string()), own["id"].to_numpy()
+            known[lang] = own["word"].combine_chunks().cast(pa.large_string()), own["id"].to_numpy().astype(np.int32)
         shared = df.sparkSession.sparkContext.broadcast(known)
-        rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, longest), ", ".join(f"{c} long" for c in names)), [], "0L"
+        rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, longest), ", ".join(f"{c} int" for c in names)), [], "0"
     else:
         rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
     windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
