@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlens.llm.common import discard, written
+from ledgerlens.llm.common import discard, release, written
 from ledgerlens.llm.line_dedup import LOWER, UPPER
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SCALE = 2_000_000
 NO_LANGUAGE = "und"
-#: Frequent words, or frequent pairs of them, that all tasks may know (a row takes some 30 bytes); with more, windows hold the words themselves
-#: and are joined to the pairs by a shuffle.
+#: Frequent words that all tasks may know (a row takes some 30 bytes); with more of them windows hold the words themselves.
 VOCABULARY = 2_000_000
+#: Frequent pairs of words that all tasks may know; with more of them windows are joined to the pairs by a shuffle.
+PAIRS = 500_000
+#: Parts in which windows are counted, by their first word, one after the other: disk holds the windows of one part at a time, and texts
+#: are read once for each.
+PARTS = 3
 #: Bytes of text that a task looks at together; a longer text is cut where a piece ends.
 CHUNK = 2 << 20
 #: Rows of a batch that goes back to Spark.
@@ -108,8 +112,8 @@ def _sliced(arrays: list, names: list[str]):
         yield whole.slice(at, ROWS)
 
 
-def _numbered_windows(shared, longest: int):
-    """Windows of the numbers of frequent words; a word that is not frequent ends a window, as a piece does."""
+def _numbered_windows(shared, longest: int, part: int, parts: int):
+    """Windows of the numbers of frequent words, those of one part; a word that is not frequent ends a window, as a piece does."""
     def run(batches):
         for lang, words, piece in _by_language(batches):
             if lang not in shared.value:
@@ -117,7 +121,7 @@ def _numbered_windows(shared, longest: int):
             known, number = shared.value[lang]
             at = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
             columns = lead_columns(np.where(at >= 0, number[at], np.int32(0)), piece, longest)
-            keep = columns[1] > 0
+            keep = (columns[1] > 0) & (columns[0] % parts == part)
             yield from _sliced([pa.array(c[keep]) for c in columns], [f"w{k}" for k in range(longest)])
 
     return run
@@ -135,7 +139,7 @@ def _word_windows(longest: int):
     return run
 
 
-def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int, vocabulary: int) -> DataFrame:
+def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int) -> DataFrame:
     """(lead, w: array of 2 to ``longest`` words, a) of all phrases found ``least`` times, from windows and their counts.
 
     Counts of the longest phrases are those of the full windows; ROLLUP sums them to each shorter prefix. A prefix of
@@ -145,20 +149,22 @@ def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least:
     names = [f"w{k}" for k in range(longest)]
     full = windows.where((F.col(names[-1]) != F.expr(pad)) & (F.col("n") >= least)).select(*lead, F.array(*names).alias("w"), F.col("n").alias("a"))
     if longest == 2:
-        return full
+        return written(full, "phrases")
     fixed, rolled = [*lead, *names[:2]], names[2:-1]
     pairs = written(windows.groupBy(*fixed).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
     if not rolled:
-        return full.unionByName(pairs.select(*lead, F.array(*names[:2]).alias("w"), "a"))
+        return written(full.unionByName(pairs.select(*lead, F.array(*names[:2]).alias("w"), "a")), "phrases")
     first = pairs.select(*fixed)
-    kept = windows.join(F.broadcast(first) if first.count() <= vocabulary else first, fixed, "left_semi")
+    kept = windows.join(F.broadcast(first) if first.count() <= PAIRS else first, fixed, "left_semi")
     marks = [f"grouping({c}) AS g_{c}" for c in rolled]
     sql = f"SELECT {', '.join([*fixed, *rolled, *marks])}, sum(n) AS a FROM {{kept}} GROUP BY {', '.join(fixed)}, ROLLUP ({', '.join(rolled)}) HAVING sum(n) >= {least}"
     sums = windows.sparkSession.sql(sql, kept=kept)
     # a column that is summed over is null; one that is not, and holds the mark for nothing, makes no phrase
     for c in rolled:
         sums = sums.where((F.col(f"g_{c}") == 1) | (F.col(c) != F.expr(pad)))
-    return full.unionByName(sums.select(*lead, F.filter(F.array(*names[:2], *rolled), lambda x: x.isNotNull()).alias("w"), "a"))
+    out = written(full.unionByName(sums.select(*lead, F.filter(F.array(*names[:2], *rolled), lambda x: x.isNotNull()).alias("w"), "a")), "phrases")
+    discard(pairs)
+    return out
 
 
 def _words_of(phrases: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -193,20 +199,28 @@ def collocations(
     frequent = counts.where(F.col("n") >= least).withColumn("group", group).withColumn("id", (place - 1) * F.lit(GROUPS).cast("long") + F.col("group") + 1)
     frequent = written(frequent.select("lang", "word", "n", "id"), "frequent")
     names = [f"w{k}" for k in range(longest)]
-    if frequent.count() <= vocabulary:
+    numbered = frequent.count() <= vocabulary
+    if numbered:
         known: dict = {}
         table = frequent.select("lang", "word", "id").toArrow()
         for lang in pc.unique(table["lang"]).to_pylist():
             own = table.filter(pc.equal(table["lang"], lang))
             known[lang] = own["word"].combine_chunks().cast(pa.large_string()), own["id"].to_numpy().astype(np.int32)
         shared = df.sparkSession.sparkContext.broadcast(known)
-        rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, longest), ", ".join(f"{c} int" for c in names)), [], "0"
-    else:
-        rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
-    windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
-    found = _summed(windows, lead, pad, longest, least, vocabulary)
-    phrases = written(found if lead else _words_of(found, frequent), "phrases").withColumn("phrase", F.array_join("w", " "))
-    discard(windows)
+    found = None
+    for part in range(PARTS):
+        if numbered:
+            rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, longest, part, PARTS), ", ".join(f"{c} int" for c in names)), [], "0"
+        else:
+            rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
+            rows = rows.where(F.pmod(F.xxhash64("w0"), F.lit(PARTS)) == part)
+        windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
+        release(df.sparkSession)
+        own = _summed(windows, lead, pad, longest, least)
+        found = own if found is None else found.unionByName(own)
+        discard(windows)
+        release(df.sparkSession)
+    phrases = (found if lead else written(_words_of(found, frequent), "phrases")).withColumn("phrase", F.array_join("w", " "))
     out = _kept(phrases, frequent, cover)
     # the first of each group are enough to find the first of all, so no task sorts a whole language
     order = [F.desc("score"), F.desc("a"), "phrase"]
