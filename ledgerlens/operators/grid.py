@@ -160,16 +160,16 @@ def _is_text() -> Column:
     return F.col("vtype").isin("text", "date", "error")
 
 
-def tables(inside: DataFrame) -> DataFrame:
-    """(region, header_row, score, fill, is_table): the best row of the first twenty is the header if it scores over 0.7;
+def tables(inside: DataFrame, scan: int = SCAN, header_score: float = HEADER_SCORE) -> DataFrame:
+    """(region, header_row, score, fill, is_table): the best of the first ``scan`` rows is the header if it scores over ``header_score``;
     a table has two header cells at least and is more than half full over its first ten data rows.
 
     Only the rows at the top that a header and its first data rows may be in are looked at.
     """
-    top = inside.where(F.col("row_idx") <= F.col("min_row") + SCAN + FILL_ROWS)
-    scored = header_scores(top.where(F.col("row_idx") <= F.col("min_row") + SCAN)).where(F.col("score") > HEADER_SCORE)
+    top = inside.where(F.col("row_idx") <= F.col("min_row") + scan + FILL_ROWS)
+    scored = header_scores(top.where(F.col("row_idx") <= F.col("min_row") + scan)).where(F.col("score") > header_score)
     bounds = top.groupBy(*REGION).agg(F.max("min_row").alias("min_row"), F.max("max_row").alias("max_row"))
-    best = scored.join(bounds, REGION).where(F.col("row_idx") < F.col("min_row") + SCAN).groupBy(*REGION).agg(
+    best = scored.join(bounds, REGION).where(F.col("row_idx") < F.col("min_row") + scan).groupBy(*REGION).agg(
         F.max_by(F.struct("row_idx", "n_filled", "score"), F.struct("score", -F.col("row_idx"))).alias("h"), F.max("max_row").alias("last"))
     best = best.select(*REGION, F.col("h.row_idx").alias("header_row"), F.col("h.n_filled").alias("n_header"), F.col("h.score").alias("score"), "last")
     row = F.col("row_idx")
@@ -181,7 +181,7 @@ def tables(inside: DataFrame) -> DataFrame:
     return out.select(*REGION, "header_row", "score", "fill", ((F.col("n_header") >= 2) & (F.col("fill") > FILL)).alias("is_table"))
 
 
-def key_values(inside: DataFrame) -> DataFrame:
+def key_values(inside: DataFrame, scan: int = SCAN, scan_cols: int = SCAN) -> DataFrame:
     """(region, confidence): rows whose first cell is a key (it has a colon, or another cell follows) and columns
     with two keys at every other place, as a share of all rows and columns; 0 where there are none."""
     height, width = F.col("max_row") - F.col("min_row") + 1, F.col("max_col") - F.col("min_col") + 1
@@ -191,25 +191,25 @@ def key_values(inside: DataFrame) -> DataFrame:
     colon = F.bool_or((at == 0) & _is_text() & F.contains("value", F.lit(":")))
     rows = inside.groupBy(*REGION, "row_idx", "min_row", height.alias("height"), width.alias("width")).agg(
         (colon | (second.isNotNull() & ~first.eqNullSafe(second))).alias("hit"))
-    hit = F.col("hit") & (F.col("width") >= 2) & (F.col("row_idx") < F.col("min_row") + SCAN)
+    hit = F.col("hit") & (F.col("width") >= 2) & (F.col("row_idx") < F.col("min_row") + scan)
     per_row = rows.groupBy(*REGION, "height", "width").agg(F.count_if(hit).alias("hits"))
     v = stripped(F.col("value"))
     place = F.col("row_idx") - F.col("min_row")
-    key = _is_text() & (v.endswith(":") | F.lower(v).rlike(KEY_WORDS)) & (place % 2 == 0) & (place < height - 1) & (at < SCAN)
+    key = _is_text() & (v.endswith(":") | F.lower(v).rlike(KEY_WORDS)) & (place % 2 == 0) & (place < height - 1) & (at < scan_cols)
     cols = inside.where(key).groupBy(*REGION, "col_idx").agg(F.count("*").alias("keys")).where("keys >= 2")
     per_col = cols.groupBy(*REGION).agg(F.count("*").alias("col_hits"))
     share = (F.col("hits") + F.coalesce("col_hits", F.lit(0))) / (F.col("height") + F.col("width"))
     return per_row.join(per_col, REGION, "left").select(*REGION, F.least(F.lit(1.0), share).alias("confidence"))
 
 
-def region_types(cells: DataFrame) -> DataFrame:
+def region_types(cells: DataFrame, scan: int = SCAN, scan_cols: int = SCAN, header_score: float = HEADER_SCORE) -> DataFrame:
     """(region, its bounds, kind, confidence, header_row, data_start_row): ``table``, else ``key_value``, else ``unknown``.
 
     Regions and the cells in them are written, and all tests read them from there.
     """
     found = written(regions(cells))
     inside = written(region_cells(cells, found).select(*REGION, "row_idx", "col_idx", "value", "vtype", "kind", "min_row", "max_row", "min_col", "max_col"))
-    both = found.join(tables(inside), REGION, "left").join(key_values(inside), REGION, "left")
+    both = found.join(tables(inside, scan, header_score), REGION, "left").join(key_values(inside, scan, scan_cols), REGION, "left")
     is_table, pairs = F.coalesce("is_table", F.lit(False)), F.coalesce("confidence", F.lit(0.0))
     kind = F.when(is_table, "table").when(pairs > 0, "key_value").otherwise("unknown")
     sure = F.when(is_table, F.col("fill")).otherwise(pairs)
@@ -217,17 +217,17 @@ def region_types(cells: DataFrame) -> DataFrame:
     return both.select(*found.columns, kind.alias("kind"), sure.alias("sure"), row.alias("header_row"), (row + 1).alias("data_start_row")).withColumnRenamed("sure", "confidence")
 
 
-def structures(cells: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+def structures(cells: DataFrame, sheets: DataFrame | None = None, **scanned) -> DataFrame:
     """(file_path, sheet_name, structure, confidence, mixed, header_row, data_start_row, table bounds), a row a sheet.
 
     ``structured`` where a region is a table, else ``unstructured`` where one holds keys, else ``unknown``, and
     ``empty`` for sheets of ``sheets`` that have no cell at all. ``mixed`` says that both kinds are there.
-    The first table in order gives the rows and bounds; confidence is the largest of its kind.
+    The first table in order gives the rows and bounds; confidence is the largest of its kind. ``scanned`` goes to ``region_types``.
     """
     bounds = ["min_row", "max_row", "min_col", "max_col", "header_row", "data_start_row"]
     first = F.min(F.when(F.col("kind") == "table", F.struct("region_id", *bounds)))
     largest = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("confidence"))), F.lit(0.0))
-    g = region_types(cells).groupBy(*SHEET).agg(first.alias("t"), F.bool_or(F.col("kind") == "key_value").alias("pairs"), largest("table").alias("tables"), largest("key_value").alias("keys"))
+    g = region_types(cells, **scanned).groupBy(*SHEET).agg(first.alias("t"), F.bool_or(F.col("kind") == "key_value").alias("pairs"), largest("table").alias("tables"), largest("key_value").alias("keys"))
     every = cells.select(*SHEET).distinct().withColumn("has", F.lit(True))
     if sheets is not None:
         every = sheets.select(*SHEET).distinct().join(every, SHEET, "left")

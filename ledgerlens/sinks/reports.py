@@ -75,10 +75,10 @@ SHEET_TITLE, SHEET_NOTE, SHEET_COLUMNS, FIRST_ROW = "INFORMATION REQUIREMENTS LI
 
 def request_cells(sheet: DataFrame, heads: DataFrame, doc: str) -> DataFrame:
     """Cells of a workbook of requests for each document: its head in rows 1 to 7, column names in row 9, a row a section below."""
-    text = lambda *parts: F.concat(*[F.lit(p) if p.startswith("=") is False and " " in p else F.col(p) for p in parts])
+    after = lambda label, *names: F.concat(F.lit(label), F.concat_ws(", ", *names))
     top = [
-        (0, F.lit(SHEET_TITLE)), (1, text("Company: ", "company")), (2, F.concat(F.lit("Generated: "), F.date_format("generated", "MMMM dd, yyyy"))),
-        (4, text("Historical period: ", "previous_year", ", ", "current_year")), (5, text("Balance sheet date: ", "balance_sheet_date")), (6, F.lit(SHEET_NOTE)),
+        (0, F.lit(SHEET_TITLE)), (1, after("Company: ", "company")), (2, F.concat(F.lit("Generated: "), F.date_format("generated", "MMMM dd, yyyy"))),
+        (4, after("Historical period: ", "previous_year", "current_year")), (5, after("Balance sheet date: ", "balance_sheet_date")), (6, F.lit(SHEET_NOTE)),
     ]
     cell = lambda r, c, v, t="text": F.struct(F.lit(r).cast("int").alias("row_idx") if isinstance(r, int) else r.cast("int").alias("row_idx"), F.lit(c).alias("col_idx"), v.cast("string").alias("value"), F.lit(t).alias("vtype"))
     head = heads.select(doc, F.explode(F.array(*[cell(r, 0, v) for r, v in top], *[cell(FIRST_ROW, k, F.lit(c)) for k, c in enumerate(SHEET_COLUMNS)])).alias("x"))
@@ -116,14 +116,32 @@ def preview_rows(values: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, _element("table", F.array_join(F.transform("r", lambda x: x["row"]), "")).alias("html"))
 
 
-def file_report(sheets: DataFrame, parts: DataFrame | None = None) -> DataFrame:
-    """(file_name, html): a report of each file, from (file_name, status, sheet_name, structure) rows and, by sheet, parts that are HTML already."""
-    rows = sheets if parts is None else sheets.join(parts, ["file_name", "sheet_name"], "left")
+def file_report(sheets: DataFrame, parts: DataFrame | None = None, keys: list[str] = []) -> DataFrame:
+    """(keys, file_name, html): a report of each file, from (keys, file_name, status, sheet_name, structure) rows and, by sheet, parts that are HTML
+    already. ``keys`` tell files of one name apart."""
+    rows = sheets if parts is None else sheets.join(parts, [*keys, "file_name", "sheet_name"], "left")
     inner = F.coalesce("html", F.lit("")) if parts is not None else F.lit("")
     one = _element("div class='sheet'", _element("h4", F.lit("Sheet: "), _escaped(F.col("sheet_name"))), _element("p", F.lit("Structure Type: "), F.col("structure")), inner)
-    g = rows.groupBy("file_name", "status").agg(F.array_sort(F.collect_list(F.struct("sheet_name", one.alias("h")))).alias("s"))
+    g = rows.groupBy(*keys, "file_name", "status").agg(F.array_sort(F.collect_list(F.struct("sheet_name", one.alias("h")))).alias("s"))
     head = _element("h3", _escaped(F.col("file_name")), F.lit(" - "), F.upper("status"))
-    return g.select("file_name", _element("div class='file'", head, F.array_join(F.transform("s", lambda x: x["h"]), "")).alias("html"))
+    return g.select(*keys, "file_name", _element("div class='file'", head, F.array_join(F.transform("s", lambda x: x["h"]), "")).alias("html"))
+
+
+def failed_report(files: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(keys, file_name, html): the report of each file without a sheet, from (keys, file_name, status, error) rows."""
+    head = _element("h3", _escaped(F.col("file_name")), F.lit(" - "), F.upper("status"))
+    return files.select(*keys, "file_name", _element("div class='file'", head, F.when(F.col("error").isNull(), "").otherwise(_element("p", _escaped(F.col("error"))))).alias("html"))
+
+
+def whole_report(summary: DataFrame, files: DataFrame, group: str) -> DataFrame:
+    """(group, html): one page for each group of files: the figures of its run, then its files by name. ``files`` has (group, file_name, html).
+
+    A page is a document, so the files of a group have to fit in a row.
+    """
+    body = files.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("file_name", "html"))).alias("f"))
+    page = _element("body", _element("h1", F.lit("Validation Report")), F.col("s"), F.array_join(F.transform(F.coalesce("f", F.array().cast("array<struct<file_name:string,html:string>>")), lambda x: x["html"]), ""))
+    both = summary_report(summary, group).withColumnRenamed("html", "s").join(body, group, "left")
+    return both.select(group, _element("html", page).alias("html"))
 
 
 def summary_report(summary: DataFrame, group: str) -> DataFrame:
