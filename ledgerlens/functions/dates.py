@@ -55,7 +55,7 @@ LAST_SERIAL = 100000
 
 def parse_date(value: Column) -> Column:
     """The first format that fits, as a date; null where none does. Each format is tried only on values of its shape."""
-    return let(F.trim(value), _parsed)
+    return _parsed(F.trim(value))
 
 
 def _parsed(bare: Column) -> Column:

@@ -30,9 +30,17 @@ def _aggregated(df: DataFrame, columns: list[str], measures: dict, named: dict |
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{name}_{i}").alias(name) for name in measures]) for i, c in enumerate(columns)])))
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.StringType, T.BinaryType))
+
+
 def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row a column: n_rows, n_missing and missing_pct (two places; 0 for an empty table). No shuffle but of one row a task."""
-    found = _aggregated(df, columns, {"n_rows": lambda c: F.count(F.lit(1)), "n_missing": lambda c: F.count_if(cleaning.missing_to_null(c.cast("string")).isNull())})
+    """A row a column: n_rows, n_missing and missing_pct (two places; 0 for an empty table). No shuffle but of one row a task.
+
+    Only columns of text can hold words for missing values; of others nulls are counted.
+    """
+    of = lambda c: F.count_if((cleaning.missing_to_null(F.col(f"`{c}`").cast("string")) if _is_text(df, c) else F.col(f"`{c}`")).isNull())
+    found = _aggregated(df, columns, {"n_rows": lambda c: F.count(F.lit(1))}, {"n_missing": of})
     return found.withColumn("missing_pct", F.round(cleaning.safe_percentage(F.col("n_missing"), F.col("n_rows")), 2))
 
 
@@ -130,25 +138,50 @@ def _dated(value: Column) -> Column:
     return value.rlike(r"^\d{4}-\d{2}-\d{2}([ T]|$)") | dates.parse_date(value).isNotNull()
 
 
+def _type_measures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, non_null, wordy, kinds, odd, whole, dated), from one aggregate.
+
+    What a type says is not computed: a timestamp is dated, a whole number is no odd text, and only texts are parsed. A text's
+    forms are projected first, so that each is made once for all measures.
+    """
+    words = [*cleaning.TRUE_WORDS, *cleaning.FALSE_WORDS]
+    forms, measures = [], []
+    for i, name in enumerate(columns):
+        c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            forms.append(c.alias(f"c{i}"))
+            one = F.count(f"c{i}")
+            own = [one, one == 0, F.lit(0), one, F.lit(True), one]
+        elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)):
+            forms.append(c.alias(f"c{i}"))
+            x, whole = F.col(f"c{i}"), isinstance(kind, T.IntegralType)
+            # of numbers 0 and 1 are words, as whole ones only
+            own = [F.count(x), F.bool_and(x.isin(0, 1)) if whole else F.count(x) == 0, F.count_if(x == 0).cast("boolean").cast("int") + F.count_if(x == 1).cast("boolean").cast("int"),
+                   F.lit(0), F.lit(True) if whole else F.bool_and(F.coalesce(x == F.floor(x), F.lit(True))), F.lit(0)]
+        else:
+            text = c.cast("string")
+            number = text.try_cast("double")
+            # neither a number nor a text without a digit is a date
+            dated = F.when(number.isNull() & text.rlike("[0-9]"), _dated(text))
+            word = F.lower(F.trim(text))
+            forms += [text.alias(f"c{i}"), number.alias(f"x{i}"), F.when(word.isin(words), word).alias(f"w{i}"), dated.alias(f"d{i}")]
+            t, x, w = F.col(f"c{i}"), F.col(f"x{i}"), F.col(f"w{i}")
+            # at most the fixed words, so the set stays small
+            own = [F.count(t), F.bool_and(F.when(t.isNotNull(), w.isNotNull())), F.size(F.collect_set(w)), F.count_if(t.isNotNull() & x.isNull()), F.bool_and(F.coalesce(x == F.floor(x), F.lit(True))), F.count_if(F.col(f"d{i}"))]
+        measures.append(own)
+    names = ["non_null", "wordy", "kinds", "odd", "whole", "dated"]
+    one = df.select(*forms).agg(*[m.alias(f"{n}_{i}") for i, own in enumerate(measures) for n, m in zip(names, own)])
+    types = dict(zip(names, ["bigint", "boolean", "int", "bigint", "boolean", "bigint"]))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), *[F.col(f"{n}_{i}").cast(types[n]).alias(n) for n in names]) for i, c in enumerate(columns)])))
+
+
 def infer_types(df: DataFrame, columns: list[str], by_name: bool = True) -> DataFrame:
     """``unknown``, ``boolean``, ``date``, ``integer``, ``float``, ``categorical`` or ``text`` for each column, from all its values (not a sample).
 
     ``by_name``: a column whose name speaks of dates is one. One aggregate decides all but categorical
-    against text; only for columns that it leaves open distinct values are counted.
+    against text, and runs at once (a row a column comes to the driver); only for columns that it leaves open distinct values are counted.
     """
-    words = [*cleaning.TRUE_WORDS, *cleaning.FALSE_WORDS]
-    text = lambda c: c.cast("string")
-    number = lambda c: text(c).try_cast("double")
-    worded = lambda c: F.lower(F.trim(text(c)))
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    dated = lambda c, t: F.count(c) if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.count_if(_dated(text(c))) if isinstance(t, T.StringType) else F.lit(0) * F.count(c)
-    g = _aggregated(df, columns, {
-        "non_null": F.count, "wordy": lambda c: F.bool_and(worded(c).isin(words)),
-        # at most the fixed words, so the set stays small
-        "kinds": lambda c: F.size(F.collect_set(F.when(worded(c).isin(words), worded(c)))),
-        "odd": lambda c: F.count_if(c.isNotNull() & number(c).isNull()),
-        "whole": lambda c: F.bool_and(F.coalesce(number(c) == F.floor(number(c)), F.lit(True))),
-    }, {"dated": lambda c: dated(F.col(f"`{c}`"), kinds[c])})
+    g = _type_measures(df, columns)
     n = F.col("non_null")
     named = dates.is_date_name(F.col("column_name")) if by_name else F.lit(False)
     kind = (
