@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
@@ -19,6 +20,8 @@ BATCH = 50_000
 # Fixed values of the file format: name spaces, and the built-in number formats that are dates.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: What reading a file raises that is no workbook, or a broken one.
+BROKEN = (zipfile.BadZipFile, KeyError, TypeError, AttributeError, ValueError, EOFError, zlib.error, ElementTree.ParseError)
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
@@ -49,7 +52,7 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), t.lstrip("/") if (t := links[s.get(f"{LINK}id")]).startswith("/") else f"xl/{t}") for s in found]
 
 
-def _column(ref: str) -> int:
+def column_index(ref: str) -> int:
     n = 0
     for c in ref:
         if not c.isalpha():
@@ -79,19 +82,22 @@ def _value(cell, shared: list[str], dated: list[bool]) -> tuple[str, str] | None
     return raw, "number"
 
 
-def _cells(content: bytes) -> Iterator[tuple[str, int, int, str, str]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def book_cells(content, wanted=None) -> Iterator[tuple[str, int, int, str, str]]:
+    """(sheet, row, column, value, kind) of a workbook's cells, from bytes or an open file; sheets that are not ``wanted`` stay zipped."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         shared, dated = [], _dates(book)
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
         for name, part in _sheets(book):
+            if wanted is not None and name not in wanted:
+                continue
             row = -1
             for _, x in ElementTree.iterparse(book.open(part)):
                 if x.tag == f"{MAIN}row":
                     row = int(x.get("r", row + 2)) - 1
                     for k, c in enumerate(x.iter(f"{MAIN}c")):
                         if found := _value(c, shared, dated):
-                            yield name, row, _column(c.get("r")) if c.get("r") else k, *found
+                            yield name, row, column_index(c.get("r")) if c.get("r") else k, *found
                     x.clear()
 
 
@@ -108,12 +114,12 @@ def workbook_cells(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 rows: list[tuple] = []
                 try:
-                    for cell in _cells(content):
+                    for cell in book_cells(content):
                         rows.append((path, *cell))
                         if len(rows) == BATCH:
                             yield pd.DataFrame(rows, columns=names)
                             rows = []
-                except (zipfile.BadZipFile, KeyError, TypeError, ValueError, ElementTree.ParseError) as e:
+                except BROKEN as e:
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}", "error"))
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({"row_idx": "Int32", "col_idx": "Int32"})
@@ -128,7 +134,7 @@ FACTS = "file_path string, sheet_name string, n_rows int, n_cols int, has_formul
 
 def _corner(ref: str) -> tuple[int, int]:
     """Row and column of a cell's name, from 0."""
-    return int(re.sub("[^0-9]", "", ref)) - 1, _column(ref)
+    return int(re.sub("[^0-9]", "", ref)) - 1, column_index(ref)
 
 
 def _facts(content: bytes) -> Iterator[tuple]:
@@ -162,7 +168,7 @@ def sheet_facts(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     yield pd.DataFrame([(path, *f) for f in _facts(content)], columns=names)
-                except (zipfile.BadZipFile, KeyError, TypeError, ValueError, ElementTree.ParseError):
+                except BROKEN:
                     continue
 
     return files.select("path", "content").mapInPandas(run, FACTS)
