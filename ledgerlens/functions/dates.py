@@ -39,6 +39,7 @@ SPELLINGS = [
     (r"\b(\d{2,4})[-/_\s](\d{1,2})[-/_\s](\d{1,2})\b", "ymd"),
     (r"\b(\d{1,2})[-\s]([A-Za-z]{3,9})[-\s](\d{2,4})\b", "dny"),
     (r"\b([A-Za-z]{3,9})[-\s](\d{1,2}),?\s*(\d{2,4})\b", "ndy"),
+    (r"\b(\d{1,2})\s+([A-Za-z]{3,9})\s+(\d{2,4})\b", "dny"),
     (r"\b(\d{4})(\d{2})(\d{2})\b", "ymd"),
     (r"\bQ([1-4])[-\s]?(\d{2,4})\b", "qy"),
     (r"\b(\d{2,4})[-\s]?Q([1-4])\b", "yq"),

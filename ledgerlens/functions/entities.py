@@ -115,11 +115,21 @@ def related(primary: Column, other: Column, share: float = 0.3) -> Column:
 
 
 def related_pairs(df: DataFrame, name: str, share: float = 0.3) -> DataFrame:
-    """(name, other) of different names of which the other has over a share of the first one's words: names meet by their words."""
-    words = df.select(name).distinct().withColumn("w", F.array_distinct(F.split(F.lower(_trimmed(F.col(name))), r"\s+")))
-    own = words.select(name, F.size("w").alias("many"), F.explode("w").alias("word"))
-    same = own.join(words.select(F.col(name).alias("other"), F.explode("w").alias("word")), "word").where(F.col(name) != F.col("other"))
-    return same.groupBy(name, "other").agg(F.count("*").alias("n"), F.first("many").alias("many")).where(F.col("n") / F.col("many") > share).select(name, "other")
+    """(name, other) of different names of which the other has over a share of the first one's words.
+
+    Names meet by words that are rare among all names: if so many of a name's words have to be there, one of the rarest of them is,
+    all but those that may be missing. So a word that most names have brings none together by itself, unless it is a whole name.
+    """
+    bare = F.array_distinct(F.split(F.lower(_trimmed(F.col(name))), r"\s+"))
+    words = df.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), bare.alias("w")).distinct()
+    each = words.select("name", "w", F.explode("w").alias("word"))
+    counted = each.join(each.groupBy("word").agg(F.count("*").alias("often")), "word")
+    rarest = F.array_sort(F.collect_list(F.struct("often", "word")))
+    least = F.floor(F.size("w") * F.lit(share)).cast("int") + 1
+    own = counted.groupBy("name", "w").agg(rarest.alias("r")).select("name", "w", F.explode(F.slice("r", F.lit(1), F.size("w") - least + 1)).alias("x")).select("name", "w", "x.word")
+    met = own.join(each.select(F.col("name").alias("other"), F.col("w").alias("v"), "word"), "word").where("name <> other")
+    near = F.size(F.array_intersect("w", "v")) / F.size("w") > share
+    return met.where(near).select(F.col("name").alias(name), "other").distinct()
 
 
 def clean_title(name: Column) -> Column:

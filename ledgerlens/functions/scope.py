@@ -167,3 +167,17 @@ def verdict_summary(status: Column, confidence: Column, submitted: Column, expec
         "Overall Status: %s\nConfidence Score: %.2f\nFiles Submitted: %s\nFiles Expected: %s\nMissing Files: %s",
         status, confidence.cast("double"), submitted.cast("string"), expected.cast("string"), missing.cast("string"),
     )
+
+
+# Words of the scope sections that each part of a request list is made from.
+PART_WORDS = {
+    "A": ["financial statements", "earnings", "income statement", "revenue", "general"],
+    "B": ["profit", "loss", "revenue", "cost", "expense", "employee", "working capital"],
+    "C": ["balance sheet", "assets", "liabilities", "cash", "receivables", "inventory", "debt"],
+}
+
+
+def relevant_parts(name: Column) -> Column:
+    """The parts of a request list that a scope section matters for, in order; none for a null."""
+    low = F.lower(name)
+    return F.array_compact(F.array(*[F.when(any_of(low, words), F.lit(part)) for part, words in PART_WORDS.items()]))

@@ -67,6 +67,19 @@ ALIASES = {
 DEFAULT_PRIORITY = "Medium"
 
 
+def request_values(cells: DataFrame) -> DataFrame:
+    """(file_path, sheet_name, row_no, column, value): cells of request lists under their columns' names, rows numbered from the header.
+
+    The header is the first row of a sheet that has one of the names that requirements go by, wherever it is; sheets
+    without such a row give nothing.
+    """
+    sheet, name = ["file_path", "sheet_name"], F.trim("value")
+    head = cells.where(name.isin(ALIASES["requirement"])).groupBy(*sheet).agg(F.min("row_idx").alias("head"))
+    at = cells.join(head, sheet)
+    names = at.where("row_idx = head").select(*sheet, "col_idx", name.alias("column"))
+    return at.where("row_idx > head").join(names, [*sheet, "col_idx"]).select(*sheet, (F.col("row_idx") - F.col("head")).alias("row_no"), "column", "value")
+
+
 def requirement_rows(values: DataFrame, keys: list[str], row: str = "row_no", column: str = "column", value: str = "value") -> DataFrame:
     """(keys, id, section, requirement, priority) of a request list's cells (a row a cell, under its column's name).
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fnmatch import fnmatch
+from urllib.parse import quote, urlsplit
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
@@ -87,11 +88,13 @@ class XlsxReader(DataSourceReader):
         found = system.get_file_info(path)
         if found.type == fs.FileType.NotFound:
             raise FileReadError(f"no such folder or file: {self.path}")
-        start = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        # an address has its blanks and the like spelt out, a plain path has not; a bucket is in the path, a host is not
+        at = urlsplit(self.path)
+        named = (lambda p: f"{at.scheme}://{at.netloc if p.startswith('/') else ''}{quote(p)}") if ":" in self.path else str
         if found.type == fs.FileType.File:
             return [File(self.path)]
         inside = system.get_file_info(fs.FileSelector(path, recursive=False))
-        return [File(start + x.path) for x in sorted(inside, key=lambda x: x.path) if x.type == fs.FileType.File and fnmatch(x.base_name, self.pattern)]
+        return [File(named(x.path)) for x in sorted(inside, key=lambda x: x.path) if x.type == fs.FileType.File and fnmatch(x.base_name, self.pattern)]
 
     def read(self, partition: File) -> Iterator[tuple]:
         from pyarrow import fs

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerlens.plans import catalog, registry, sheets, texts  # noqa: F401
+from ledgerlens.plans import catalog, files, registry, sheets, texts, whole_runs  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -149,3 +149,24 @@ def test_reports_escape(spark):
     df = spark.createDataFrame([("<f>", "success", "a&b", "structured")], "file_name string, status string, sheet_name string, structure string")
     html = reports.file_report(df).first()["html"]
     assert "&lt;f&gt;" in html and "a&amp;b" in html and "<f>" not in html
+
+
+def test_names_meet_by_rare_words(spark):
+    import itertools
+    import random
+
+    from ledgerlens.functions.entities import related_pairs
+
+    rng = random.Random(2)
+    names = {" ".join(rng.sample(["limited", "alpha", "beta", "gamma", "delta", "omega", "steel", "works", "north"], rng.randrange(1, 6))).title() for _ in range(60)} | {"Limited", " Alpha  beta "}
+    got = {tuple(r) for r in related_pairs(spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "n string"), "n").collect()}
+    words = {n: set(n.lower().split()) for n in names}
+    assert got == {(a, b) for a, b in itertools.permutations(names, 2) if len(words[a] & words[b]) / len(words[a]) > 0.3}
+    # a word that all names have brings no pairs together
+    many = spark.range(3000).selectExpr("concat('Limited A', id, ' B', id, ' C', id) AS n")
+    assert related_pairs(many, "n").count() == 0
+
+
+@pytest.mark.parametrize("text", ["12  March  2024", "due 12  March  2024", "due 12 March 2024"])
+def test_dates_with_several_blanks(spark, text):
+    assert str(spark.createDataFrame([(text,)], "v string").select(dates.lenient_date(F.col("v")).cast("date")).first()[0]) == "2024-03-12"

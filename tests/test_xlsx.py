@@ -56,7 +56,7 @@ def test_ranges_and_options(spark, folder, tmp_path):
         xlsx.range_bounds("3:4")
     one = spark.read.format("xlsx").option("range", "A1").load(str(folder / "b1.xlsx"))
     assert sorted(r.value for r in one.collect()) == ["1one00", "1two00"]
-    (tmp_path / "bad.xlsx").write_bytes(b"PK no")
+    (tmp_path / "bad one.xlsx").write_bytes(b"PK no")
     assert [r.vtype for r in spark.read.format("xlsx").load(f"file://{tmp_path}").collect()] == ["error"]
     with pytest.raises(Exception, match="no such folder"):
         spark.read.format("xlsx").load(str(tmp_path / "gone")).count()
