@@ -68,3 +68,38 @@ def test_links_and_components_match_brute_force(spark, kind, shards):
 def test_links_of_nothing(spark):
     assert hnsw.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert hnsw.embedding_links(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")).count() == 1
+
+
+def _lossy(x, share):
+    g = hnsw.Graph(x)
+    g.links[0][np.random.default_rng(1).random(g.links[0].shape) < share] = -1
+    return g
+
+
+def test_links_of_a_node_to_itself_are_no_evidence():
+    rng = np.random.default_rng(8)
+    # pairs of copies among vectors that link with nothing: a beam finds a node from itself even where links to its copy are lost
+    half = rng.normal(size=(1500, 16))
+    x = hnsw._unit(np.concatenate([half, half + rng.normal(size=half.shape) * 0.05])).astype(np.float32)
+    search = hnsw.Search(_lossy(x, 0.9), 0.9, 8)
+    search.pairs(x, own=True)
+    truth = int((np.triu(x @ x.T, 1) >= 0.9).sum())
+    assert 0 < search.truth <= truth and search.width > 8
+
+
+def test_each_querying_shard_is_audited():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 16))
+    nodes = hnsw._unit(np.concatenate([c + rng.normal(size=(40, 16)) * 0.1 for c in centres] + [rng.normal(size=(400, 16))])).astype(np.float32)
+    search = hnsw.Search(_lossy(nodes, 0.6), 0.9, 8)
+    # a first shard without any link tells nothing, so beams stay as they are
+    far = hnsw._unit(rng.normal(size=(1500, 16))).astype(np.float32)
+    far = far[(far @ nodes.T).max(1) < 0.9]
+    search.pairs(far)
+    assert search.width == 8 and search.truth == 0
+    # the next one has many
+    near = hnsw._unit(np.concatenate([c + rng.normal(size=(50, 16)) * 0.1 for c in centres])).astype(np.float32)
+    a, b = search.pairs(near)
+    truth = set(zip(*(v.tolist() for v in np.nonzero(near @ nodes.T >= 0.9 - hnsw.MARGIN))))
+    got = set(zip(a.tolist(), b.tolist()))
+    assert search.width > 8 and got <= truth and len(got) >= 0.97 * len(truth) and search.found >= hnsw.RECALL * search.truth
