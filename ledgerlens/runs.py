@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,7 +138,10 @@ def _measured(kinds: DataFrame, values: DataFrame, found: DataFrame, how: Settin
 
 
 def validate_directory(spark: SparkSession, path: str, pattern: str = readers.PATTERN, how: Settings = Settings()) -> Run:
-    """A run over the files of a folder; a folder that is not there is a ``FileReadError``, an empty one a run without rows."""
+    """A run over the files of a folder; a folder that is not there is a ``FileReadError``, an empty one a run without rows.
+
+    Spark lists no files without a byte, so these have no row.
+    """
     return validate_files(readers.folder(spark, path, pattern), how)
 
 
@@ -145,6 +149,38 @@ def validate_file(spark: SparkSession, path: str, how: Settings = Settings()) ->
     return validate_files(readers.folder(spark, path, "*"), how)
 
 
+FILES_IN = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def validate_new_files(spark: SparkSession, path: str, store: str, pattern: str = readers.PATTERN, how: Settings = Settings()) -> DataFrame:
+    """Profiles the files of a folder that are new since the last time, and gives the profile of all so far.
+
+    (column_name, and what ``states.described`` tells), from the states of all files in ``store``. A stream over the folder
+    with a checkpoint there takes what is available and ends; each of its batches is a run, whose ``files`` and ``states`` are
+    written under the batch's number, so a batch that is repeated after a failure replaces itself. Files that change are not read again.
+    """
+    def add(files: DataFrame, batch: int) -> None:
+        run = validate_files(files, how)
+        run.files.write.mode("overwrite").parquet(f"{store}/files/batch={batch}")
+        run.states.write.mode("overwrite").parquet(f"{store}/states/batch={batch}")
+
+    found = spark.readStream.format("binaryFile").schema(FILES_IN).option("pathGlobFilter", pattern).load(path)
+    found.writeStream.foreachBatch(add).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return states.described(states.merged(stored(spark, store, "states"), []), [])
+
+
+def stored(spark: SparkSession, store: str, table: str) -> DataFrame:
+    """``files`` or ``states`` of all runs in a store; without rows before the first run."""
+    if table == "files":
+        empty = spark.createDataFrame([], "file_path string, file_name string, status string, n_sheets bigint, n_cells bigint, error string")
+    else:
+        empty = states.column_states(spark.createDataFrame([], "file_path string, sheet_name string, column_name string, value string"), SHEET)
+    try:
+        return spark.read.schema(empty.schema).parquet(f"{store}/{table}")
+    except AnalysisException:
+        return empty.limit(0)
+
+
 def required(asked: DataFrame, request: str = "request", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """What requirements ask for: (request, expected_files), (request, entity) and (request, year). A range of years stands for all of them."""
     found = requirements.template(asked.withColumn("r", terms.requirement(F.col(text))), [request], "r")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -25,50 +27,65 @@ def kind_of(path) -> F.Column:
     return F.when(ending.isin(WORKBOOKS), "workbook").when(ending.isin(OLD_WORKBOOKS), "old_workbook").when(ending.isin(TEXTS), "text").otherwise("other")
 
 
-def _separated_cells(files: DataFrame) -> DataFrame:
-    """Cells of text files whose contents are at hand, each in one task; ``separated.cells`` reads files of any size.
+def _kind(path: str) -> str:
+    """What ``kind_of`` says of a path."""
+    ending = path.lower()[path.rfind(".") :] if "." in path.rsplit("/", 1)[-1] else ""
+    return "workbook" if ending in WORKBOOKS else "old_workbook" if ending in OLD_WORKBOOKS else "text" if ending in TEXTS else "other"
+
+
+def _text_rows(path: str, content: bytes):
+    good = 0
+    for values, error in separated.whole_rows(content):
+        yield from separated.row_cells(path, good - bool(error), values, error)
+        good += not error
+
+
+def _is_text(content) -> bool:
+    try:
+        return isinstance(content, bytes) and b"\x00" not in content and content.decode("utf-8") is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def _file_rows(path: str, content):
+    """The cells of one file by the reader of its kind, by the next one where that fails, and what went wrong as the last row."""
+    error = lambda e: (path, None, None, None, e if isinstance(e, str) else f"{type(e).__name__}: {e}", "error")
+    kind = _kind(path)
+    if kind == "old_workbook":
+        yield error("ReadError: no reader for this format")
+        return
+    try:
+        if kind == "text":
+            yield from _text_rows(path, content)
+        else:
+            for cell in workbooks.book_cells(content):
+                yield path, *cell
+    except workbooks.BROKEN as e:
+        if kind == "text" or not _is_text(content):
+            yield error(e)
+        else:
+            # what is text is no part of a workbook that could be read, so nothing came before this
+            yield from _text_rows(path, content)
+
+
+def cells(files: DataFrame) -> DataFrame:
+    """Cells of (path, content) files by the reader of their kind. A workbook that cannot be read as one is tried as text, if it is
+    text; what no reader reads gives an error row, as binary workbooks of the old format do.
 
-    A file that fails gives an error row; the others are read all the same.
+    Each file is read once, in the task that has its content; text files of any size are read by ``separated.cells``.
     """
     names = [c.split()[0] for c in workbooks.CELLS.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"row_idx": "Int32", "col_idx": "Int32"})
-
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows: list[tuple] = []
-                good = 0
-                try:
-                    for values, error in separated.whole_rows(content):
-                        rows += separated.row_cells(path, good - bool(error), values, error)
-                        good += not error
-                        if len(rows) >= workbooks.BATCH:
-                            yield batch_of(rows)
-                            rows = []
-                except (ValueError, TypeError, AttributeError) as e:
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}", "error"))
-                if rows:
-                    yield batch_of(rows)
+                rows = _file_rows(path, content)
+                while some := list(islice(rows, workbooks.BATCH)):
+                    yield pd.DataFrame(some, columns=names).astype({"row_idx": "Int32", "col_idx": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, workbooks.CELLS)
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """Cells of (path, content) files by the reader of their kind. A workbook that cannot be read as one is tried as text, if it is
-    text; what no reader reads gives an error row, as binary workbooks of the old format do."""
-    kinds = files.withColumn("kind", kind_of(F.col("path")))
-    books = workbooks.workbook_cells(kinds.where("kind in ('workbook', 'other')"))
-    failed = books.where("vtype = 'error' and sheet_name is null").select(F.col("file_path").alias("path")).distinct()
-    again = files.join(failed, "path", "left_semi").where(F.try_validate_utf8(F.col("content").cast("string")).isNotNull() & ~F.contains(F.col("content"), F.lit(b"\x00")))
-    read = again.select(F.col("path").alias("file_path"))
-    old = kinds.where("kind = 'old_workbook'").select(F.col("path").alias("file_path"), *[F.lit(None).cast(t).alias(n) for n, t in (("sheet_name", "string"), ("row_idx", "int"), ("col_idx", "int"))],
-        F.lit("ReadError: no reader for this format").alias("value"), F.lit("error").alias("vtype"))
-    kept = books.join(read, "file_path", "left_anti")
-    return kept.unionByName(_separated_cells(again)).unionByName(_separated_cells(kinds.where("kind = 'text'"))).unionByName(old)
-
-
 def folder(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:
     """(path, content and sizes) of a folder's files by their names; an empty folder gives no rows, one that is not there is a ``FileReadError``."""
     try:

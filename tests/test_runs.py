@@ -98,3 +98,22 @@ def test_request_documents(spark):
     got = {r.name: r for r in saved.collect()}
     assert got["Co_1"].file_name == "Co_1_IRL_v5.txt" and "Revenue by month" in got["Co_1"].text and got["Co_2"].version == 1 and "Quality of Earnings".lower() in got["Co_2"].text.lower()
     assert {r.file_path for r in cells.collect()} == {"1", "2"} and {r.total_areas for r in analysed.collect()} == {2}
+
+
+def test_only_new_files_are_profiled(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    into, store = tmp_path / "in", str(tmp_path / "store")
+    assert runs.validate_new_files(spark, str(into), store, "*.csv").collect() == [] and runs.stored(spark, store, "files").count() == 0
+    (into / "a.csv").write_text("Name,Amount\nFirst,1\nSecond,2\n")
+    one = {r.column_name: r.non_null for r in runs.validate_new_files(spark, str(into), store, "*.csv").collect()}
+    assert one["Amount"] == 2
+    (into / "b.csv").write_text("Name,Amount\nThird,5\nFourth,6\nFifth,7\n")
+    (into / "c.csv").write_bytes(b"")
+    both = {r.column_name: r for r in runs.validate_new_files(spark, str(into), store, "*.csv").collect()}
+    assert (both["Amount"].non_null, both["Amount"].max_value, both["Amount"].mean_value) == (5, 7.0, 4.2)
+    # nothing new: nothing is read
+    again = runs.validate_new_files(spark, str(into), store, "*.csv")
+    assert {r.column_name: r.non_null for r in again.collect()}["Amount"] == 5
+    files = runs.stored(spark, store, "files").collect()
+    # Spark lists no file without a byte
+    assert sorted(r.file_name for r in files) == ["a.csv", "b.csv"]
