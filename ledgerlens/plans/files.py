@@ -50,11 +50,7 @@ def req_requirement_map(spark, sf_dir):
     k = F.col("c_custkey")
     told = F.when(k % 3 != 0, F.to_json(F.create_map(F.lit("Revenue"), F.concat(F.lit("Sales of "), "c_name"), F.concat(F.lit("Debt "), (k % 5).cast("string")), F.concat(F.lit("Loans of "), "c_mktsegment")))).when(k % 2 == 0, "not json")
     maps = table(spark, sf_dir, "customer").select((k % 7).alias("k"), told.alias("j"))
-    found = [texts.requirements(maps.where(F.col("k") == i), "j").withColumn("k", F.lit(i).cast("long")) for i in range(7)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("k", "category", "text")
+    return texts.requirements(maps, "j", ["k"])
 
 
 @query("""

@@ -479,7 +479,7 @@ def src_consolidated(spark, sf_dir):
 def src_json_requirements(spark, sf_dir):
     told = F.when(F.col("c_custkey") % 3 != 0, F.to_json(F.create_map(F.lit("Revenue"), F.concat(F.lit("Sales of "), "c_name"), F.lit("Debt"), F.lit("Loans")))).otherwise("not json")
     maps = table(spark, sf_dir, "customer").select("c_custkey", told.alias("j"))
-    return maps.select("c_custkey", F.explode(F.from_json("j", "map<string,string>")).alias("category", "text"))
+    return texts.requirements(maps, "j", ["c_custkey"])
 
 
 @query("SELECT p_brand AS name, p_brand || '_IRL_v' || max(p_size) || '.xlsx' AS path, max(p_size)::INT AS version FROM part GROUP BY 1")

@@ -101,9 +101,9 @@ def ordered_sections(rows: DataFrame, keys: list[str], row: str = "row_no") -> D
     return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("first", "section"))).drop("first")
 
 
-def requirements(df: DataFrame, json_col: str) -> DataFrame:
-    """(category, text) of JSON maps; what is no map gives no rows."""
-    return df.select(F.explode(F.from_json(F.col(f"`{json_col}`"), "map<string,string>")).alias("category", "text"))
+def requirements(df: DataFrame, json_col: str, keys: list[str] = []) -> DataFrame:
+    """(keys, category, text) of JSON maps; what is no map gives no rows."""
+    return df.select(*keys, F.explode(F.from_json(F.col(f"`{json_col}`"), "map<string,string>")).alias("category", "text"))
 
 
 def tracked_versions(df: DataFrame, json_col: str) -> DataFrame:
