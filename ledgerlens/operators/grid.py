@@ -217,17 +217,18 @@ def region_types(cells: DataFrame, scan: int = SCAN, scan_cols: int = SCAN, head
     return both.select(*found.columns, kind.alias("kind"), sure.alias("sure"), row.alias("header_row"), (row + 1).alias("data_start_row")).withColumnRenamed("sure", "confidence")
 
 
-def structures(cells: DataFrame, sheets: DataFrame | None = None, **scanned) -> DataFrame:
+def structures(cells: DataFrame, sheets: DataFrame | None = None, found: DataFrame | None = None, **scanned) -> DataFrame:
     """(file_path, sheet_name, structure, confidence, mixed, header_row, data_start_row, table bounds), a row a sheet.
 
     ``structured`` where a region is a table, else ``unstructured`` where one holds keys, else ``unknown``, and
     ``empty`` for sheets of ``sheets`` that have no cell at all. ``mixed`` says that both kinds are there.
-    The first table in order gives the rows and bounds; confidence is the largest of its kind. ``scanned`` goes to ``region_types``.
+    The first table in order gives the rows and bounds; confidence is the largest of its kind. ``found`` are the sheets' ``region_types``;
+    without them they are looked for, and ``scanned`` goes there.
     """
     bounds = ["min_row", "max_row", "min_col", "max_col", "header_row", "data_start_row"]
     first = F.min(F.when(F.col("kind") == "table", F.struct("region_id", *bounds)))
     largest = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("confidence"))), F.lit(0.0))
-    g = region_types(cells, **scanned).groupBy(*SHEET).agg(first.alias("t"), F.bool_or(F.col("kind") == "key_value").alias("pairs"), largest("table").alias("tables"), largest("key_value").alias("keys"))
+    g = (region_types(cells, **scanned) if found is None else found).groupBy(*SHEET).agg(first.alias("t"), F.bool_or(F.col("kind") == "key_value").alias("pairs"), largest("table").alias("tables"), largest("key_value").alias("keys"))
     every = cells.select(*SHEET).distinct().withColumn("has", F.lit(True))
     if sheets is not None:
         every = sheets.select(*SHEET).distinct().join(every, SHEET, "left")

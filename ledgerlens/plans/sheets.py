@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.functions import cleaning
-from ledgerlens.operators import compare, grid, keyvalue, metadata, profile
+from ledgerlens.operators import compare, grid, keyvalue, metadata, nested, profile
 from ledgerlens.plans.registry import query, table
 from ledgerlens.sinks import reports
 from ledgerlens.sinks import workbooks as book_sink
@@ -159,6 +159,35 @@ def kv_counts(spark, sf_dir):
     return keyvalue.tree_counts(_tree(spark, sf_dir), ["c_custkey"])
 
 
+@query("""
+SELECT c_custkey, '1' AS top, 'loose start' AS loose, c_mktsegment || ' and more' AS segment, c_name AS named, '7' AS opening, ['some words go on'] AS words, 'x' AS last, NULL::VARCHAR AS absent FROM customer""")
+def kv_nested(spark, sf_dir):
+    trees = nested.key_trees(_tree(spark, sf_dir), ["c_custkey"])
+    paths = {
+        "top": "$.top", "loose": "$._content[0]", "segment": "$['CLIENT DETAILS'].segment", "named": "$['CLIENT DETAILS']['(a) key']", "opening": "$['CLIENT DETAILS']['2 Balances'].opening",
+        "last": "$.Other.last", "absent": "$.Other.first",
+    }
+    texts = F.variant_get("tree", "$['CLIENT DETAILS']['2 Balances']._content", "array<string>").alias("words")
+    return trees.select("c_custkey", *[F.variant_get("tree", at, "string").alias(c) for c, at in paths.items()], texts)
+
+
+@query("""
+SELECT n_name AS file_path, lower(n_name) AS nation, n_nationkey::VARCHAR AS code, n_regionkey::VARCHAR AS zone, n_nationkey % 3 AS gap FROM nation""")
+def kv_region_trees(spark, sf_dir):
+    # two regions of keys a sheet, with some rows and columns between them
+    nation = table(spark, sf_dir, "nation")
+    cell = lambda r, c, v: F.struct(r.cast("int").alias("row_idx"), F.lit(c).alias("col_idx"), v.cast("string").alias("value"), F.when(v.cast("string").rlike(r"^\d+$"), "number").otherwise("text").alias("vtype"))
+    low = 5 + F.col("n_nationkey") % 3
+    cells = F.array(
+        cell(F.lit(0), 3, F.lit("CLIENT DETAILS")), cell(F.lit(1), 3, F.lit("nation:")), cell(F.lit(1), 4, F.lower("n_name")),
+        cell(low, 0, F.lit("code:")), cell(low, 1, F.col("n_nationkey")), cell(low + 1, 0, F.lit("zone:")), cell(low + 1, 1, F.col("n_regionkey")),
+    )
+    at = nation.select(F.col("n_name").alias("file_path"), F.lit("s").alias("sheet_name"), F.inline(cells))
+    trees = nested.key_trees(nested.region_keys(at, grid.region_types(at)), ["file_path", "sheet_name"])
+    paths = {"nation": "$.Region_1['CLIENT DETAILS'].nation", "code": "$.Region_2.code", "zone": "$.Region_2.zone"}
+    return trees.select("file_path", *[F.variant_get("tree", p, "string").alias(c) for c, p in paths.items()]).join(nation.select(F.col("n_name").alias("file_path"), (F.col("n_nationkey") % 3).alias("gap")), "file_path")
+
+
 @query("""
 SELECT c_custkey, unnest(['top', 'CLIENT DETAILS', 'CLIENT DETAILS.segment', 'CLIENT DETAILS.(a) key', 'CLIENT DETAILS.2 Balances', 'CLIENT DETAILS.2 Balances.opening', 'Other', 'Other.last']) AS path FROM customer""")
 def prj_key_paths(spark, sf_dir):

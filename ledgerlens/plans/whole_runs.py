@@ -99,6 +99,32 @@ def run_report(spark, sf_dir):
     return whole.select("request", F.contains(h, F.lit("<h3>broken.xlsx - ERROR</h3>")).alias("fails"), (F.startswith(h, F.lit("<html><body>")) & F.endswith(h, F.lit("</body></html>")) & F.contains(h, F.lit("<td>Booking_Date</td>"))).alias("whole"), "n_names")
 
 
+@query("""
+WITH v AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1)
+SELECT r_name || '/book.xlsx' AS file_path, 'success' AS status, 3::BIGINT AS n_sheets, 'structured' AS structure, n::BIGINT AS n_rows, n::BIGINT AS n_names, 'integer' AS code_type, r_regionkey::VARCHAR AS under_name, false AS failed FROM region JOIN v ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name || '/broken.xlsx', 'error', 0, NULL, NULL, NULL, NULL, NULL, true FROM region""")
+def run_results(spark, sf_dir):
+    results = runs.results(runs.validate_files(_files(spark, sf_dir).where("path like '%.xlsx'")))
+    get = lambda path, kind="string": F.variant_get("result", path, kind)
+    keys = F.concat(F.lit("$.sheets.kv.content.Region_1['"), F.split("file_path", "/")[0], F.lit("']._content[0]"))
+    return results.select(
+        "file_path", get("$.status").alias("status"), get("$.sheets_count", "bigint").alias("n_sheets"), get("$.sheets.t.structure_type").alias("structure"), get("$.sheets.t.metadata.row_count", "bigint").alias("n_rows"),
+        get("$.sheets.t.metadata.columns.Nation_Name.non_null", "bigint").alias("n_names"), get("$.sheets.t.metadata.columns.Nation_Id.data_type").alias("code_type"), get(keys).alias("under_name"), get("$.error").isNotNull().alias("failed"),
+    )
+
+
+@query(BOOKED_SQL + """
+SELECT r_name || '/orders.csv' AS file_path, row_number() OVER (PARTITION BY r_name ORDER BY m)::BIGINT AS row_no, strftime(m, '%Y-%m-%d') AS day, 'up to' || chr(10) || strftime(last_day(m), '%Y-%m-%d') AS note,
+       CASE WHEN n % 2 = 0 THEN n END::BIGINT AS amount, CASE WHEN n % 2 = 0 THEN 'BIGINT' ELSE 'VOID' END AS amount_type FROM booked""")
+def run_records(spark, sf_dir):
+    rows = runs.records(runs.validate_files(_files(spark, sf_dir).where("path like '%.csv'")))
+    amount = F.variant_get("record", "$.Amount", "variant")
+    return rows.select(
+        "file_path", F.col("row_no").cast("long").alias("row_no"), F.variant_get("record", "$.Booking_Date", "string").alias("day"), F.variant_get("record", "$.Booking_Note", "string").alias("note"),
+        F.variant_get("record", "$.Amount", "bigint").alias("amount"), F.schema_of_variant(amount).alias("amount_type"),
+    )
+
+
 # ---- profiles of files, stored and merged
 
 STATED = ["o_totalprice", "o_orderdate", "o_orderstatus", "o_custkey"]

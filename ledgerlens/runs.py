@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.errors import ConfigurationError
 from ledgerlens.functions import cleaning, dates, terms
-from ledgerlens.operators import compare, grid, keyvalue, metadata, requests, requirements, states
+from ledgerlens.operators import compare, grid, metadata, nested, requests, requirements, states
 from ledgerlens.operators.grid import SHEET
 from ledgerlens.sinks import reports
 from ledgerlens.sources import readers
@@ -60,7 +61,7 @@ class Run(NamedTuple):
     ``files``: (file_path, file_name, status, n_sheets, n_cells, error), a row a file. ``sheets``: (file_path, sheet_name, structure,
     confidence, mixed, header_row, bounds, n_rows, n_columns, completeness). ``columns``: the profile of each column of a table, and
     ``states``, what it was made from and can be merged. ``values``: the cells of tables under their columns' names. ``keys``: the
-    trees of all other sheets. ``entities`` and ``periods``: what columns name, and the days that they span.
+    trees of key-value regions, also of those beside a table, and of whole sheets that have neither. ``entities`` and ``periods``: what columns name, and the days that they span.
     """
 
     files: DataFrame
@@ -91,13 +92,14 @@ def validate_files(files: DataFrame, how: Settings = Settings()) -> Run:
     status = status.select("file_path", F.regexp_extract("file_path", r"([^/]*)$", 1).alias("file_name"), ok.alias("status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sheets", "n_cells")], "error")
     status = written(status.observe(seen, F.count("*").alias("total_files"), F.count_if(F.col("status") == "success").alias("successful"), F.count_if(F.col("status") != "success").alias("failed")))
     good = cells.where("sheet_name is not null and col_idx is not null")
-    kinds = written(grid.structures(good, scan=how.scan_rows, scan_cols=how.scan_cols, header_score=how.header_score))
+    regions = written(grid.region_types(good, scan=how.scan_rows, scan_cols=how.scan_cols, header_score=how.header_score))
+    kinds = written(grid.structures(good, found=regions))
     values = written(_table_values(good, kinds, how.remove_duplicates))
     found = written(states.column_states(values, SHEET))
     sheets, columns = _measured(kinds, values, found, how)
     kinds_seen = Observation()
     sheets = written(sheets.observe(kinds_seen, F.count("*").alias("sheets_processed"), *[F.count_if(F.col("structure") == k).alias(k) for k in ("structured", "unstructured", "unknown")]))
-    keys = written(keyvalue.tree(good.join(kinds.where("structure <> 'structured'").select(*SHEET), SHEET, "left_semi"), SHEET))
+    keys = written(nested.region_keys(good, regions, kinds.where("structure <> 'structured'")))
     named = values.where("value is not null")
     entities = metadata.entity_analysis(named.join(metadata.entity_columns(named, SHEET), COLUMN, "left_semi"), COLUMN)
     dated = named.join(metadata.date_columns(named, SHEET), COLUMN, "left_semi").withColumn("day", dates.lenient_date(F.col("value"), serial=False).cast("date"))
@@ -209,6 +211,34 @@ def validate_against_requirements(files: DataFrame, asked: DataFrame, belongs: D
     return run, verdicts(run, asked, belongs, request)
 
 
+def records(run: Run) -> DataFrame:
+    """(file_path, sheet_name, row_no, record): the rows of all tables of a run, typed, as VARIANT objects."""
+    return nested.records(run.values, run.columns)
+
+
+# Names in a file's result, and the columns that they tell.
+IN_FILE = {"file_name": "file_name", "status": "status", "sheets_count": "n_sheets", "cells_count": "n_cells", "error": "error"}
+IN_SHEET = {"structure_type": "structure", "confidence": "confidence", "mixed": "mixed"}
+IN_TABLE = {"header_row": "header_row", "data_start_row": "data_start_row", "row_count": "n_rows", "column_count": "n_columns", "completeness": "completeness"}
+IN_COLUMN = {"position": "pos", "data_type": "data_type", "non_null": "non_null", "missing_values": "n_missing", "missing_percentage": "missing_pct", "distinct_values": "distinct_values", "min": "min_value", "max": "max_value", "mean": "mean_value"}
+
+
+def results(run: Run) -> DataFrame:
+    """(file_path, result): all that a run tells of a file as one VARIANT: the file, its ``sheets`` by name, and of each its structure, for a table its
+    ``metadata`` with its ``columns`` by name, and the ``content`` of its keys as deep as it goes.
+
+    A file that failed has its error and no sheets. The rows of tables are not in it, for a table may be of any length: they are ``records``.
+    """
+    file, sheet = ["file_path"], [F.lit("sheets"), F.col("sheet_name")]
+    measured = run.sheets.where("structure = 'structured'")
+    parts = [
+        nested.told(run.files, file, [], IN_FILE), nested.told(run.sheets, file, sheet, IN_SHEET), nested.told(measured, file, [*sheet, F.lit("metadata")], IN_TABLE),
+        nested.told(run.columns, file, [*sheet, F.lit("metadata"), F.lit("columns"), F.col("column_name")], IN_COLUMN),
+        nested.key_rows(run.keys.withColumn("sheet_path", F.array(*sheet, F.lit("content"))), file, above=F.col("sheet_path")),
+    ]
+    return nested.nested(reduce(DataFrame.unionByName, parts), file, 3 + nested.TREE_DEPTH).withColumnRenamed("tree", "result")
+
+
 def html_report(run: Run) -> DataFrame:
     """(file_path, file_name, html): the report of each file: its sheets with their columns and first rows; a file that failed says why."""
     places = run.columns.select(*COLUMN, F.dense_rank().over(_by_place()).alias("col_no"))

@@ -18,6 +18,11 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
 
 
+def result_json(results: DataFrame, result: str = "result") -> DataFrame:
+    """(value): nested results as JSON, one line each, names in order; a null stays as null."""
+    return results.select(F.to_json(F.col(result)).alias("value"))
+
+
 def sheet_summary(files: DataFrame, sheets: DataFrame, columns: DataFrame) -> DataFrame:
     """A flat row a sheet: its file, status, the file's number of sheets, structure, errors, rows, and its columns' names in order.
 

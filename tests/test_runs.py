@@ -117,3 +117,15 @@ def test_only_new_files_are_profiled(spark, tmp_path):
     files = runs.stored(spark, store, "files").collect()
     # Spark lists no file without a byte
     assert sorted(r.file_name for r in files) == ["a.csv", "b.csv"]
+
+
+def test_results_by_path(run):
+    got = {r.file_path: r.result.toPython() for r in runs.results(run).collect()}
+    assert len(got) == 7 and got["broken.xlsx"]["status"] == "error" and "sheets" not in got["broken.xlsx"] and got["broken.xlsx"]["error"]
+    book = got["a.xlsx"]
+    assert (book["sheets_count"], book["error"], book["sheets"]["t"]["structure_type"], book["sheets"]["t"]["metadata"]["row_count"]) == (2, None, "structured", 4)
+    column = book["sheets"]["t"]["metadata"]["columns"]["Revenue_1"]
+    assert (column["data_type"], column["missing_values"], column["max"]) == ("float", 1, 2.5) and "metadata" not in book["sheets"]["k"]
+    assert book["sheets"]["k"]["content"]["Region_1"]["Id"] == "7" and got["lone.xlsx"]["sheets"]["s"]["content"] == {"_content": ["word"]}
+    rows = {r.row_no: r.record.toPython() for r in runs.records(run).collect() if r.file_path == "a.xlsx"}
+    assert rows[1]["Revenue"] == 10 and rows[1]["Revenue_1"] == 1.5 and rows[2]["Revenue_1"] is None and "Revenue" not in rows[3]
