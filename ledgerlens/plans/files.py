@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scope
 from ledgerlens.operators import requests
+from ledgerlens.plans import old_books
 from ledgerlens.plans.folders import scratch
 from ledgerlens.plans.registry import query, table
 from ledgerlens.plans.sheets import CELL_SQL, _cells, _request_heads, _request_rows
@@ -106,3 +110,25 @@ h AS (SELECT p_partkey, regexp_matches(x, 'financial statements|earnings|income
 SELECT p_partkey, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END) AS parts FROM h""")
 def prj_relevant_parts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(scope.relevant_parts(F.expr(NAMED.format(k="p_partkey", n="p_name"))), "").alias("parts"))
+
+
+# ---- workbooks of the old format, of a thousand customers each
+
+@query("""
+SELECT 'book ' || (c_custkey // 1000) || '.xls' AS file_path, 'Clients' AS sheet_name, (c_custkey % 1000)::INT AS row_idx, c_name AS name, c_mktsegment AS segment, c_acctbal::DOUBLE AS balance, CASE WHEN c_acctbal < 0 THEN 'True' ELSE 'False' END AS owes,
+       strftime(DATE '2020-01-01' + (c_custkey % 1000)::INT, '%Y-%m-%dT00:00:00') AS since, 'text,text,number,boolean,date' AS kinds FROM customer""")
+def src_old_workbooks(spark, sf_dir):
+    def book(key, rows):
+        cells = []
+        for r in rows.itertuples():
+            row = r.c_custkey % 1000
+            values = [r.c_name, r.c_mktsegment, float(r.c_acctbal), bool(r.c_acctbal < 0), datetime.date(2020, 1, 1) + datetime.timedelta(days=row)]
+            cells += [(row, c, v) for c, v in enumerate(values)]
+        return pd.DataFrame([(f"book {key[0]}.xls", old_books.old_book({"Clients": cells, "Notes": []}))], columns=["path", "content"])
+
+    numbered = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.expr("c_custkey div 1000").alias("part"))
+    cells = readers.cells(numbered.groupBy("part").applyInPandas(book, "path string, content binary"))
+    at = lambda c: F.max(F.when(F.col("col_idx") == c, F.col("value")))
+    kinds = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "vtype"))), lambda x: x["vtype"]), ",")
+    return cells.groupBy("file_path", "sheet_name", "row_idx").agg(
+        at(0).alias("name"), at(1).alias("segment"), at(2).cast("double").alias("balance"), at(3).alias("owes"), at(4).alias("since"), kinds.alias("kinds"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.errors import FileReadError
-from ledgerlens.sources import separated, workbooks
+from ledgerlens.sources import old_workbooks, separated, workbooks
 
 # Name endings of each reader.
 WORKBOOKS, OLD_WORKBOOKS, TEXTS = [".xlsx", ".xlsm", ".xlsb"], [".xls"], [".csv"]
@@ -51,14 +51,16 @@ def _file_rows(path: str, content):
     """The cells of one file by the reader of its kind, by the next one where that fails, and what went wrong as the last row."""
     error = lambda e: (path, None, None, None, e if isinstance(e, str) else f"{type(e).__name__}: {e}", "error")
     kind = _kind(path)
-    if kind == "old_workbook":
+    # a workbook's ending may be that of the other format
+    old = kind != "text" and old_workbooks.is_old(content)
+    if kind == "old_workbook" and not old and not (isinstance(content, bytes) and content.startswith(b"PK")):
         yield error("ReadError: no reader for this format")
         return
     try:
         if kind == "text":
             yield from _text_rows(path, content)
         else:
-            for cell in workbooks.book_cells(content):
+            for cell in (old_workbooks if old else workbooks).book_cells(content):
                 yield path, *cell
     except workbooks.BROKEN as e:
         if kind == "text" or not _is_text(content):
@@ -70,7 +72,7 @@ def _file_rows(path: str, content):
 
 def cells(files: DataFrame) -> DataFrame:
     """Cells of (path, content) files by the reader of their kind. A workbook that cannot be read as one is tried as text, if it is
-    text; what no reader reads gives an error row, as binary workbooks of the old format do.
+    text; what no reader reads gives an error row.
 
     Each file is read once, in the task that has its content; text files of any size are read by ``separated.cells``.
     """

@@ -34,13 +34,23 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("file_extension"))
 
 
+def is_date_code(code: str) -> bool:
+    """Whether a number format shows a date or a time."""
+    bare = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code).lower()
+    return bool(re.search("[ymdhs]", bare)) and bare != "general"
+
+
+def moment(day: float) -> datetime:
+    """The moment of a day's number; the format counts a 29 February 1900 that never was."""
+    return datetime(1899, 12, 31 if day < 60 else 30) + timedelta(seconds=round(day * 86400))
+
+
 def _dates(book: zipfile.ZipFile) -> list[bool]:
     """Of each cell style, whether it shows a date."""
     if "xl/styles.xml" not in book.namelist():
         return []
     root = ElementTree.fromstring(book.read("xl/styles.xml"))
-    own = {int(n.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", n.get("formatCode", "")).lower() for n in root.iter(f"{MAIN}numFmt")}
-    dated = DATE_FORMATS | {k for k, code in own.items() if re.search("[ymdhs]", code) and code != "general"}
+    dated = DATE_FORMATS | {int(n.get("numFmtId")) for n in root.iter(f"{MAIN}numFmt") if is_date_code(n.get("formatCode", ""))}
     styles = root.find(f"{MAIN}cellXfs")
     return [int(x.get("numFmtId", 0)) in dated for x in styles] if styles is not None else []
 
@@ -75,10 +85,7 @@ def _value(cell, shared: list[str], dated: list[bool]) -> tuple[str, str] | None
         return raw, {"str": "text", "e": "error", "d": "date"}[kind]
     style = int(cell.get("s", 0))
     if style < len(dated) and dated[style]:
-        day = float(raw)
-        # the format counts a 29 February 1900 that never was
-        moment = datetime(1899, 12, 31 if day < 60 else 30) + timedelta(seconds=round(day * 86400))
-        return moment.isoformat(), "date"
+        return moment(float(raw)).isoformat(), "date"
     return raw, "number"
 
 
