@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import islice
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,16 +73,7 @@ def cells(files: DataFrame) -> DataFrame:
 
     Each file is read once, in the task that has its content; text files of any size are read by ``separated.cells``.
     """
-    names = [c.split()[0] for c in workbooks.CELLS.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = _file_rows(path, content)
-                while some := list(islice(rows, workbooks.BATCH)):
-                    yield pd.DataFrame(some, columns=names).astype({"row_idx": "Int32", "col_idx": "Int32"})
-
-    return files.select("path", "content").mapInPandas(run, workbooks.CELLS)
+    return files.select("path", "content").mapInArrow(lambda batches: workbooks.cell_batches(batches, _file_rows), workbooks.CELLS)
 
 
 def folder(spark: SparkSession, path: str, pattern: str = PATTERN) -> DataFrame:

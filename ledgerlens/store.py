@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,3 +28,12 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             path = jvm.org.apache.hadoop.fs.Path(folder_)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by their keys to as many tasks as shuffles have, whatever they weigh.
+
+    Spark unites small partitions until there is one a core, by their bytes as shuffled; rows of texts that are alike unpack to
+    many times that in a sort, and a small file is read by one task, so work on rows that grow should be dealt first.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(k) for k in keys])
