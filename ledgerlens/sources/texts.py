@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.sources import separated as separated_files
-from ledgerlens.store import written
+from ledgerlens.store import dealt, written
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, text), a row a file."""
@@ -74,10 +74,13 @@ def request_values(cells: DataFrame) -> DataFrame:
     without such a row give nothing.
     """
     sheet, name = ["file_path", "sheet_name"], F.trim("value")
-    head = cells.where(name.isin(ALIASES["requirement"])).groupBy(*sheet).agg(F.min("row_idx").alias("head"))
-    at = cells.join(head, sheet)
-    names = at.where("row_idx = head").select(*sheet, "col_idx", name.alias("column"))
-    return at.where("row_idx > head").join(names, [*sheet, "col_idx"]).select(*sheet, (F.col("row_idx") - F.col("head")).alias("row_no"), "column", "value")
+    # cells are made once and move once; both windows run along rows
+    at = cells.where("file_path is not null and sheet_name is not null and row_idx is not null and col_idx is not null")
+    at = dealt(at.select(*sheet, "row_idx", "col_idx", "value"), *sheet)
+    at = at.withColumn("head", F.min(F.when(name.isin(ALIASES["requirement"]), F.col("row_idx"))).over(Window.partitionBy(*sheet).orderBy("row_idx"))).where("head is not null")
+    down = Window.partitionBy(*sheet, "col_idx").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("named", F.first(F.when(F.col("row_idx") == F.col("head"), F.struct(name.alias("column"))), ignorenulls=True).over(down))
+    return at.where("row_idx > head and named is not null").select(*sheet, (F.col("row_idx") - F.col("head")).alias("row_no"), "named.column", "value")
 
 
 def requirement_rows(values: DataFrame, keys: list[str], row: str = "row_no", column: str = "column", value: str = "value") -> DataFrame:
@@ -89,7 +92,8 @@ def requirement_rows(values: DataFrame, keys: list[str], row: str = "row_no", co
     def field(name: str) -> Column:
         return F.coalesce(*[F.max(F.when((F.col(column) == c) & (F.trim(F.col(value)) != ""), F.col(value))) for c in ALIASES[name]])
 
-    g = values.groupBy(*keys, row).agg(*[field(n).alias(n) for n in ALIASES])
+    # an aggregate of texts sorts its rows, so they are dealt before it
+    g = dealt(values.select(*keys, row, column, value), *keys, row).groupBy(*keys, row).agg(*[field(n).alias(n) for n in ALIASES])
     return g.where("requirement is not null").select(
         *keys, F.coalesce("id", F.col(row).cast("string")).alias("id"), F.coalesce("section", F.lit("")).alias("section"), "requirement", F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).alias("priority"), row,
     )

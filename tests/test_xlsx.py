@@ -3,11 +3,12 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from ledgerlens.errors import ConfigurationError
 from ledgerlens.sinks import workbooks as sink
-from ledgerlens.sources import workbooks, xlsx
+from ledgerlens.sources import texts, workbooks, xlsx
 
 CELLS = workbooks.CELLS
 
@@ -60,3 +61,23 @@ def test_ranges_and_options(spark, folder, tmp_path):
     assert [r.vtype for r in spark.read.format("xlsx").load(f"file://{tmp_path}").collect()] == ["error"]
     with pytest.raises(Exception, match="no such folder"):
         spark.read.format("xlsx").load(str(tmp_path / "gone")).count()
+
+
+def test_many_small_workbooks_share_batches(spark):
+    # a call, a frame and a batch for each file made 900,000 small files too slow
+    cells = [(f"f{k}.xlsx", s, r, c, f"{k}-{r}-{c}", "text") for k in range(300) for s in ("b", "a") for r in (3, 0) for c in (1, 0)]
+    made = sink.workbooks(spark.createDataFrame(cells, CELLS).repartition(7))
+    assert made.count() == 300
+    found = workbooks.workbook_cells(made.coalesce(1))
+    assert sorted(map(tuple, found.collect())) == sorted(cells)
+    assert found.select("file_path").distinct().count() == 300
+    batches = list(workbooks.cell_batches(iter([pa.record_batch({"path": [str(k) for k in range(99)], "content": [b""] * 99})]), lambda p, c: [(p, "s", 0, 0, "v", "text")]))
+    assert [b.num_rows for b in batches] == [99]
+
+
+def test_request_values_makes_cells_once(spark):
+    cells = spark.createDataFrame([("f", "s", 0, 0, "Listing", "text"), ("f", "s", 2, 0, " Section ", "text"), ("f", "s", 2, 1, "Requirement", "text"), ("f", "s", 3, 1, "a", "text"), ("f", "s", 3, 2, "lost", "text"), ("f", "s", 5, 0, "b", "text"),
+                                   ("f", "t", 0, 0, "none", "text"), ("f", None, None, None, "broken", "error")], CELLS)
+    found = texts.request_values(cells.mapInArrow(lambda batches: batches, CELLS))
+    assert sorted(map(tuple, found.collect())) == [("f", "s", 1, "Requirement", "a"), ("f", "s", 3, "Section", "b")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
