@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlens.store import dealt
+
 # Marks of list items, and patterns of keys that stand alone, of sections and of subsections.
 BULLETS = "•·▪▫◦‣⁃"
 KEYS = [r"^[A-Z][a-zA-Z\s]+:", r"^[A-Z][A-Z\s]+:", r"^\d+\.\s+[A-Za-z]", rf"^[{BULLETS}]\s+", r"^\([a-z]\)", r"^\d+\)"]
@@ -100,30 +102,33 @@ def tree(cells: DataFrame, doc: list[str], row: str = "row_idx", col: str = "col
     v = F.col("v")
     rows = cells.select(*doc, F.col(row).alias("r"), F.col(col).alias("c"), F.trim(F.col(value)).alias("v")).where((v != "") & v.isNotNull())
     kind = F.when(is_section(v, F.col("c")), "section").when(is_subsection(v), "subsection").when(is_pair(v), "pair").when(is_key(v), "key").otherwise("text")
+    # a sheet's cells move once and are sorted once: all windows go along its rows and columns
     line = Window.partitionBy(*doc, "r").orderBy("c")
-    rows = rows.withColumn("kind", kind).withColumn("open", ~is_pair(v) & ~is_header(v))
+    rows = dealt(rows, *doc).withColumn("kind", kind).withColumn("open", ~is_pair(v) & ~is_header(v))
     rows = rows.withColumn("next", F.when((F.lead("c").over(line) == F.col("c") + 1) & F.lead("open").over(line), F.lead("v").over(line)))
     # runs of cells that could be taken by the one before: every other one of a run is
     led = F.coalesce((F.lag("c").over(line) == F.col("c") - 1) & F.lag("kind").over(line).isin("pair", "key") & F.col("open"), F.lit(False))
-    rows = rows.withColumn("led", led).withColumn("run", F.sum((~F.col("led")).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*doc, "r", "run").orderBy("c"))
-    rows = rows.withColumn("taken", place % 2 == 0).where(~F.col("taken"))
+    rows = rows.withColumn("led", led).withColumn("place", F.row_number().over(line))
+    first = F.max(F.when(~F.col("led"), F.col("place"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("taken", (F.col("place") - first) % 2 == 1).where(~F.col("taken"))
     order = Window.partitionBy(*doc).orderBy("r", "c")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     head = F.when(F.col("kind").isin("section", "subsection"), clean_header(v))
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("head", head)
     rows = rows.withColumn("part", F.sum((F.col("kind") == "section").cast("int")).over(so_far)).withColumn("block", F.sum(F.col("head").isNotNull().cast("int")).over(so_far))
     rows = rows.withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("head")), ignorenulls=True).over(so_far))
-    inner = Window.partitionBy(*doc, "part").orderBy("r", "c").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("subsection", F.when(F.col("part") > 0, F.last(F.when(F.col("kind") == "subsection", F.col("head")), ignorenulls=True).over(inner)))
+    inner = F.last(F.when(F.col("kind") == "subsection", F.struct("part", "head")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("inner", inner).withColumn("subsection", F.when((F.col("part") > 0) & (F.col("inner.part") == F.col("part")), F.col("inner.head")))
     at = [*doc, "section", "subsection"]
-    key = F.when(F.col("kind") == "pair", pair_key(v)).otherwise(clean_key(v))
-    told = F.when(F.col("kind") == "pair", F.nullif(F.concat_ws(" ", pair_value(v), "next"), F.lit(""))).otherwise(F.col("next"))
-    keyed = rows.where(F.col("kind").isin("pair", "key")).withColumn("key", key).groupBy(*at, "key").agg(F.max_by(told, "pos").alias("value"), F.min("pos").alias("pos"))
-    texts = rows.where("kind = 'text'").groupBy(*at, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("t"))
-    texts = texts.select(*at, F.lit(TEXT_KEY).alias("key"), F.array_join(F.transform("t", lambda x: x["v"]), " ").alias("value"), F.get("t", F.lit(0))["pos"].alias("pos"))
-    heads = rows.where(F.col("head").isNotNull() & F.col("section").isNotNull()).groupBy(*at).agg(F.min("pos").alias("pos"))
-    return keyed.unionByName(texts).unionByName(heads.withColumn("key", F.lit(None).cast("string")).withColumn("value", F.lit(None).cast("string")))
+    keyed, text = F.col("kind").isin("pair", "key"), F.col("kind") == "text"
+    key = F.when(F.col("kind") == "pair", pair_key(v)).when(F.col("kind") == "key", clean_key(v)).when(text, F.lit(TEXT_KEY))
+    told = F.when(F.col("kind") == "pair", F.nullif(F.concat_ws(" ", pair_value(v), "next"), F.lit(""))).when(F.col("kind") == "key", F.col("next"))
+    # keys, texts between two headers, and headers are grouped in one pass
+    rows = rows.where(keyed | text | F.col("section").isNotNull()).select(*at, "pos", "v", key.alias("key"), told.alias("told"), F.when(text, F.col("block")).alias("between"))
+    found = rows.groupBy(*at, "key", "between").agg(
+        F.max_by("told", "pos").alias("value"), F.array_sort(F.collect_list(F.when(F.col("between").isNotNull(), F.struct("pos", "v")))).alias("t"), F.min("pos").alias("pos"))
+    value = F.when(F.col("between").isNotNull(), F.array_join(F.transform("t", lambda x: x["v"]), " ")).otherwise(F.col("value"))
+    return found.select(*at, "key", value.alias("value"), "pos")
 
 
 def tree_counts(found: DataFrame, doc: list[str]) -> DataFrame:

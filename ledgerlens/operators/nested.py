@@ -84,15 +84,18 @@ def key_rows(found: DataFrame, doc: list[str], above: Column | None = None) -> D
     path = path if above is None else F.concat(above, path)
     at = found.select(*doc, path.alias("path"), "key", "value", "pos")
     text = F.col("key").eqNullSafe(F.lit(keyvalue.TEXT_KEY))
-    keyed = at.where(~text).select(*doc, "path", variant(F.col("value")).alias("value"), F.when(F.col("key").isNotNull(), F.col("pos")).cast("long").alias("pos"))
-    texts = at.where(text).groupBy(*doc, "path").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("t"))
-    texts = texts.select(*doc, "path", F.to_variant_object(F.transform("t", lambda x: x["value"])).alias("value"), F.lit(0).cast("long").alias("pos"))
-    return keyed.unionByName(texts)
+    # one pass over the tree: what a path has are texts, keys or a header
+    at = at.select(*doc, "path", text.alias("text"), F.col("key").isNull().alias("head"), "key", "value", "pos").groupBy(*doc, "path", "text", "head").agg(
+        F.array_sort(F.collect_list(F.when(F.col("text"), F.struct("pos", "value")))).alias("t"), F.max_by(F.when(~F.col("text"), F.col("value")), F.when(F.col("key").isNotNull(), F.col("pos"))).alias("value"),
+        F.max(F.when(F.col("key").isNotNull(), F.col("pos"))).alias("pos"),
+    )
+    value = F.when(F.col("text"), F.to_variant_object(F.transform("t", lambda x: x["value"]))).otherwise(variant(F.col("value")))
+    return at.select(*doc, "path", value.alias("value"), F.when(F.col("text"), F.lit(0)).otherwise(F.col("pos")).cast("long").alias("pos"))
 
 
 def key_trees(found: DataFrame, doc: list[str]) -> DataFrame:
     """(doc, tree): the rows of ``keyvalue.tree`` or ``region_keys`` as one VARIANT a document."""
-    return nested(key_rows(found, doc), doc, TREE_DEPTH)
+    return nested(key_rows(found, doc), doc, TREE_DEPTH if "region" in found.columns else TREE_DEPTH - 1)
 
 
 def typed(value: Column, kind: Column) -> Column:
