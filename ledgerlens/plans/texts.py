@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import dates, entities, scope, terms
 from ledgerlens.operators import metadata, requests, requirements
 from ledgerlens.plans.registry import query, table
+from ledgerlens.store import dealt
 
 # ---- requirements
 
@@ -25,28 +26,33 @@ NAME_SQL = (
 )
 
 
+def _asked(spark, sf_dir):
+    """Parts dealt to all tasks, since a small file is read by one and its requirements cost far more than reading it."""
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.expr(ASK).alias("x")), "p_partkey")
+
+
 def _listed(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct(list_transform({x}, lambda v: lower(trim(v))))), ',')"
 
 
 @query(f"{ASKED} SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(x, '(?i)[a-z]\\)\\s*([^,\\n]+)', 1), lambda v: trim(v)), '|') AS files FROM t")
 def req_file_refs(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms.file_references(F.expr(ASK)), "|").alias("files"))
+    return _asked(spark, sf_dir).select("p_partkey", F.array_join(terms.file_references(F.col("x")), "|").alias("files"))
 
 
 @query(f"{ASKED} SELECT p_partkey, {_listed(DATA_SQL)} AS data_types FROM t")
 def req_data_types(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms.found_terms(F.expr(ASK), terms.DATA_TERMS), ",").alias("data_types"))
+    return _asked(spark, sf_dir).select("p_partkey", F.array_join(terms.found_terms(F.col("x"), terms.DATA_TERMS), ",").alias("data_types"))
 
 
 @query(f"{ASKED} SELECT p_partkey, {_listed(WORD_SQL)} AS keywords FROM t")
 def req_keywords(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms.found_terms(F.expr(ASK), terms.KEYWORDS), ",").alias("keywords"))
+    return _asked(spark, sf_dir).select("p_partkey", F.array_join(terms.found_terms(F.col("x"), terms.KEYWORDS), ",").alias("keywords"))
 
 
 @query(f"{ASKED} SELECT p_partkey, array_to_string(list_sort({NAME_SQL}), ',') AS entities FROM t")
 def req_entities(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(terms.found_terms(F.expr(ASK), terms.ENTITY_TERMS), ",").alias("entities"))
+    return _asked(spark, sf_dir).select("p_partkey", F.array_join(terms.found_terms(F.col("x"), terms.ENTITY_TERMS), ",").alias("entities"))
 
 
 SPAN = (
@@ -70,7 +76,7 @@ m AS (
 SELECT p_partkey, kind, raw FROM m""")
 def req_periods(spark, sf_dir):
     found = F.explode(terms.period_mentions(F.expr(SPAN)))
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("p")).select("p_partkey", "p.kind", "p.raw")
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", found.alias("p")).select("p_partkey", "p.kind", "p.raw")
 
 
 COMPLEXITY = f"""
@@ -80,11 +86,11 @@ n AS (SELECT *, 2.0 * 2 + len({NAME_SQL}) + 3.0 * 1 + 0.5 * len(list_distinct(li
 
 @query(COMPLEXITY + " SELECT p_partkey, s::DOUBLE AS score, CASE WHEN s <= 5 THEN 'simple' WHEN s <= 15 THEN 'moderate' ELSE 'complex' END AS complexity FROM n")
 def req_complexity(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", terms.requirement(F.expr(ASK)).alias("r")).select("p_partkey", F.col("r.score").cast("double").alias("score"), "r.complexity")
+    return _asked(spark, sf_dir).select("p_partkey", terms.requirement(F.col("x")).alias("r")).select("p_partkey", F.col("r.score").cast("double").alias("score"), "r.complexity")
 
 
 def _requirements(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_brand", terms.requirement(F.expr(ASK)).alias("r"))
+    return _asked(spark, sf_dir).select("p_brand", terms.requirement(F.col("x")).alias("r"))
 
 
 @query(f"""{ASKED},
