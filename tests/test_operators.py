@@ -170,3 +170,47 @@ def test_names_meet_by_rare_words(spark):
 @pytest.mark.parametrize("text", ["12  March  2024", "due 12  March  2024", "due 12 March 2024"])
 def test_dates_with_several_blanks(spark, text):
     assert str(spark.createDataFrame([(text,)], "v string").select(dates.lenient_date(F.col("v")).cast("date")).first()[0]) == "2024-03-12"
+
+
+def _tasks_and_moves(df):
+    """Partitions of a result, and exchanges of its plan as it is before it runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return df.rdd.getNumPartitions(), plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_requests_move_once_and_are_dealt_to_all_tasks(spark):
+    text = "lost\n**A**\nafter\n1. (a) first\n12\n(b) second\n(g) no\n2.\nGenerates x\n**B**\n3) goes on\n7. last (Priority: Low)\n\n**C** more"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "1. x\n1. y")], "doc int, text string").coalesce(1)
+    found = requests.requests(df, "doc", "text")
+    got = sorted((r.doc, r.ord, r.id, r.info_request) for r in found.collect())
+    assert got == [(1, 1.0, "1", "(a) first\n12\n(b) second\nGenerates x"), (1, 2.0, "7", "last"), (4, 1.0, "1", "x"), (4, 2.0, "1", "y")]
+    # no window over lines: one exchange that deals texts, here a task a document though the input has one
+    assert _tasks_and_moves(found) == (4, 1)
+    sections = spark.createDataFrame([(1, 5, "Tax matters"), (1, 2, "Revenue"), (1, 9, "Cash"), (2, 1, "Tax")], "doc int, ord int, name string")
+    headed = requests.with_headers(found, sections, "doc")
+    assert sorted((r.doc, r.ord, r.info_request) for r in headed.collect() if r.id == "") == [(1, 0.5, "**REVENUE ANALYSIS**"), (1, 1.5, "**TAX MATTERS**")]
+    assert _tasks_and_moves(headed) == (8, 2)
+    assert _tasks_and_moves(requests.in_sections(headed, "doc")) == (8, 2)
+    assert _tasks_and_moves(requests.section_sheet(headed, "doc")) == (8, 2)
+
+
+def test_tree_moves_cells_once(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "x:"), (1, 0, 1, "y:"), (1, 0, 2, "z"), (1, 1, 0, "ALL SALES"), (1, 2, 0, "Net Sales"), (1, 3, 0, "k: 1"), (1, 4, 0, "ALL COSTS"), (1, 5, 0, "k: 2")], "doc int, row_idx int, col_idx int, value string").coalesce(1)
+    found = keyvalue.tree(cells, ["doc"])
+    got = sorted(((r.section, r.subsection, r.key, r.value) for r in found.collect()), key=repr)
+    assert got == sorted([(None, None, "x", None), (None, None, "y", "z"), ("ALL SALES", None, None, None), ("ALL SALES", "Net Sales", None, None), ("ALL SALES", "Net Sales", "k", "1"), ("ALL COSTS", None, None, None), ("ALL COSTS", None, "k", "2")], key=repr)
+    assert _tasks_and_moves(found) == (8, 1)
+
+
+def test_requirement_rows_are_dealt_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([(1, k, "Section", f"s{k}") for k in range(9)] + [(1, k, "Requirement", f"r{k}") for k in range(9)], "doc int, row_no int, column string, value string").coalesce(1)
+    found = texts.requirement_rows(rows, ["doc"])
+    assert sorted((r.id, r.section, r.requirement) for r in found.collect()) == [(str(k), f"s{k}", f"r{k}") for k in range(9)]
+    assert _tasks_and_moves(found) == (8, 1)
+
+
+def test_requirements_of_one_file_are_searched_by_all_tasks(spark):
+    from ledgerlens.plans import texts as plans
+
+    for q in (plans.req_complexity, plans.req_periods, plans.req_entities):
+        assert _tasks_and_moves(q(spark, "/root/testdata/sf0.001"))[0] == 8
