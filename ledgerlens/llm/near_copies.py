@@ -7,7 +7,7 @@ n - ceil(0.8 n) + 1 shingles of any order that all texts agree on, so texts meet
 is missed. Shingles that a sample finds often come last in the order. Pairs that share too few of
 these to reach the similarity with all the rest are dropped; what is left is verified. First every
 text is held against its neighbour, the first and the hubs in each meeting; then all pairs that this
-left unconnected.
+left unconnected, each in the first of its meetings that the texts' heads tell.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SAMPLE_ROWS, COMMON = 20000, 50000
 PAIRS = 1 << 20
 #: Texts of a meeting that all others in it are held against first.
 HUBS = 2
+#: First shingles of a text that go with it to its meetings, so that two texts that meet often are paired once.
+HEAD = 8
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -92,7 +94,7 @@ def _by_shingle(each):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
                 now = [np.concatenate(x) for x in zip(kept, now)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -137,11 +139,21 @@ def _first_pairs(s, n, node, w, marks):
     yield _pairs(node[a[ok]], node[b[ok]])
 
 
-def _other_pairs(s, n, node, label, w, marks):
+def _met_before(s, x, y):
+    """Which pairs have a shingle before ``s`` in both heads (rows of HEAD shingles): they meet by that one, too."""
+    out = np.zeros(len(s), bool)
+    for k in range(x.shape[1]):
+        out |= (x[:, k] < s) & (y == x[:, k : k + 1]).any(1)
+    return out
+
+
+def _other_pairs(s, n, node, label, w, marks, head):
     """All pairs of a meeting that may be similar and are in different components; rows come in order of size.
 
     ``marks`` has a bit for each first shingle that is met elsewhere, so a bit that one text has alone stands
     for a shingle that the other lacks: what two texts share among these is bounded without looking at them.
+    ``head`` has the least of these shingles. A pair is left to an earlier meeting that both heads tell; the
+    first one of all has none before it, so no pair is lost.
     """
     at, k, found, held = np.arange(len(s)), 1, [], 0
     while len(at):
@@ -151,10 +163,11 @@ def _other_pairs(s, n, node, label, w, marks):
         x, y = marks[ok], marks[ok + k]
         most = np.minimum(w[ok] - np.bitwise_count(x & ~y), w[ok + k] - np.bitwise_count(y & ~x)) - (-SHARE * n[ok + k].astype(np.int64) // OF) - 1
         ok = ok[most * (SHARE + OF) >= (n[ok].astype(np.int64) + n[ok + k]) * SHARE]
+        ok = ok[~_met_before(s[ok], head[ok], head[ok + k])]
         found.append(np.stack([np.minimum(node[ok], node[ok + k]), np.maximum(node[ok], node[ok + k])], 1))
         held, k = held + len(ok), k + 1
         if held > PAIRS or not len(at):
-            # texts that share one shingle often share more
+            # texts that share one shingle often share more, also beyond their heads
             both = np.concatenate(found)
             both = both[np.lexsort((both[:, 1], both[:, 0]))]
             both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]] if len(both) else both
@@ -232,12 +245,14 @@ def first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     discard(shared)
     firsts = written(meetings.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("s").alias("own")), "firsts")
     marks = F.expr("aggregate(own, 0L, (a, s) -> a | shiftleft(1L, cast(pmod(s, 64) as int)))")
-    weighed = written(meetings.join(firsts.select("node", F.size("own").alias("w"), marks.alias("marks")), "node").select("s", "n", "node", "w", "marks"), "weighed")
+    # short heads end with the largest number, which is before none
+    head = F.slice(F.concat(F.sort_array("own"), F.array_repeat(F.lit((1 << 63) - 1), HEAD)), 1, HEAD)
+    weighed = written(meetings.join(firsts.select("node", F.size("own").alias("w"), marks.alias("marks"), head.alias("head")), "node").select("s", "n", "node", "w", "marks", "head"), "weighed")
     discard(meetings)
-    found = _verified_edges(_possible(met(weighed, _first_pairs, "a long, b long").distinct(), firsts), sets, texts)
+    found = _verified_edges(_possible(met(weighed.drop("head"), _first_pairs, "a long, b long").distinct(), firsts), sets, texts)
     edges = written(edges.unionAll(found), "edges")
     label = connected_components(edges)
-    labelled = weighed.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"), "w", "marks")
+    labelled = weighed.join(label, "node", "left").select("s", "n", "node", F.coalesce("component", "node").alias("label"), "w", "marks", "head")
     found = _verified_edges(_possible(met(labelled, _other_pairs, "a long, b long").distinct(), firsts), sets, texts)
     edges = written(edges.unionAll(found), "edges")
     discard(weighed, firsts)
