@@ -29,6 +29,10 @@ SHARDS, SHARD_ROWS = 8, 1 << 18
 DEGREE, BUILD_BEAM, FIRST_BEAM = 12, 48, 48
 #: Vectors that join a graph together, and queries of a block; a block's marks of seen nodes take SEEN_BYTES at most.
 WAVE, QUERIES, SEEN_BYTES = 256, 512, 1 << 26
+#: Bytes of vectors that are multiplied at a time.
+PRODUCT_BYTES = 1 << 17
+#: A search opens a node at a time for each OPEN places of its beams.
+OPEN = 12
 #: Links that end the audit of a querying shard, a vector's link to itself not counted, the queries that it asks at most (rounded up to a
 #: block), and the share of links that beams have to find.
 AUDIT_LINKS, AUDIT_QUERIES, RECALL = 500, 1024, 0.99
@@ -47,6 +51,18 @@ def _merge(ids: np.ndarray, sims: np.ndarray, width: int) -> tuple[np.ndarray, n
     return np.where(np.isneginf(sims), -1, ids), sims
 
 
+def _products(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows ``a`` of x and rows ``b`` of y; as many at a time as a core's cache holds."""
+    out, step = np.empty(len(a), np.float32), max(1, PRODUCT_BYTES // (4 * x.shape[1]))
+    left, right = np.empty((2, min(step, len(a)), x.shape[1]), np.float32)
+    for lo in range(0, len(a), step):
+        k = min(step, len(a) - lo)
+        np.take(x, a[lo : lo + k], axis=0, out=left[:k], mode="clip")
+        np.take(y, b[lo : lo + k], axis=0, out=right[:k], mode="clip")
+        out[lo : lo + k] = (left[:k, None] @ right[:k, :, None])[:, 0, 0]
+    return out
+
+
 class Graph:
     """Unit vectors ``x`` (float32), a level for each, and neighbours by layer (-1: none)."""
 
@@ -70,29 +86,39 @@ class Graph:
             ids, sims = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1), np.pad(sims, ((0, 0), (0, pad)), constant_values=-np.inf)
         seen = np.zeros((len(q), len(self.x) + 1), bool)
         seen[rows[:, None], ids] = True
-        opened = np.zeros((len(q), len(self.x) + 1), bool)
+        # the last column is that of absent nodes
+        seen[:, -1] = True
+        done = ids < 0
         live = rows
         links = self.links[layer]
-        while len(live):
-            here = ids[live]
-            todo = (here >= 0) & ~opened[live[:, None], here]
-            go = todo.any(1)
-            live, here, todo = live[go], here[go], todo[go]
-            if not len(live):
-                break
-            pick = here[np.arange(len(live)), np.argmax(todo, 1)]
-            opened[live, pick] = True
-            near = links[pick]
-            new = (near >= 0) & ~seen[live[:, None], near]
-            near = np.where(new, near, -1)
-            seen[live[:, None], near] = True
-            found = np.where(new, np.einsum("qkd,qd->qk", self.x[near], q[live]), -np.inf)
-            better = (found > sims[live, -1:]).any(1)
-            at = live[better]
+        while len(live := live[~done[live].all(1)]):
+            # the best nodes that are not opened yet, some at a time: their new neighbours are compared and sorted together
+            left, at, to = ~done[live], [], []
+            for _ in range(max(1, width // OPEN)):
+                pick = np.argmax(left, 1)
+                has = np.flatnonzero(left[np.arange(len(live)), pick])
+                left[has, pick[has]] = False
+                near = links[ids[live[has], pick[has]]]
+                r, k = np.nonzero(~seen[live[has, None], near])
+                at.append(has[r])
+                to.append(near[r, k])
+                seen[live[at[-1]], to[-1]] = True
+            done[live] = ~left
+            at, to = np.concatenate(at), np.concatenate(to)
+            found = _products(self.x, to, q, live[at])
+            better = found > sims[live[at], -1]
+            at, to, found = at[better], to[better], found[better]
             if len(at):
-                a, s = np.concatenate([ids[at], near[better]], 1), np.concatenate([sims[at], found[better]], 1)
-                order = np.argsort(-s, axis=1, kind="stable")[:, :width]
-                ids[at], sims[at] = np.take_along_axis(a, order, 1), np.take_along_axis(s, order, 1)
+                order = np.argsort(at, kind="stable")
+                at, to, found = at[order], to[order], found[order]
+                those, first, count = np.unique(at, return_index=True, return_counts=True)
+                row, slot = np.repeat(np.arange(len(those)), count), width + np.arange(len(at)) - np.repeat(first, count)
+                those = live[those]
+                more = ((0, 0), (0, int(count.max())))
+                i, s, d = np.pad(ids[those], more, constant_values=-1), np.pad(sims[those], more, constant_values=-np.inf), np.pad(done[those], more, constant_values=True)
+                i[row, slot], s[row, slot], d[row, slot] = to, found, False
+                order = np.argsort(-s, axis=1)[:, :width]
+                ids[those], sims[those], done[those] = (np.take_along_axis(v, order, 1) for v in (i, s, d))
         return np.where(np.isneginf(sims), -1, ids), sims
 
     def descend(self, q: np.ndarray) -> np.ndarray:
@@ -108,23 +134,27 @@ class Graph:
         mutual = q @ q.T
         np.fill_diagonal(mutual, -np.inf)
         for layer in range(int(self.level[self.entry]), -1, -1):
-            ids, sims = self.search(q, BUILD_BEAM, layer, at)
-            at = ids[:, :4].copy()
-            at[at < 0] = self.entry
-            own = np.flatnonzero(self.level[new] >= layer)
+            # nodes that are not in this layer only pass through it
+            here = self.level[new] >= layer
+            own, rest = np.flatnonzero(here), np.flatnonzero(~here)
+            ids, sims = self.search(q[own], BUILD_BEAM, layer, at[own])
+            then = np.full((len(new), 4), self.entry)
+            then[own], then[rest] = ids[:, :4], self.search(q[rest], 4, layer, at[rest])[0]
+            at = np.where(then < 0, self.entry, then)
             if not len(own):
                 continue
             peers = mutual[np.ix_(own, own)]
-            ids = np.concatenate([ids[own], np.broadcast_to(new[own].astype(np.int32), peers.shape)], 1)
+            ids = np.concatenate([ids, np.broadcast_to(new[own].astype(np.int32), peers.shape)], 1)
             width = self.links[layer].shape[1]
-            ids, sims = _merge(ids, np.concatenate([sims[own], peers], 1), width * 2)
+            ids, sims = _merge(ids, np.concatenate([sims, peers], 1), width * 2)
             keep = self._diverse(ids, sims, width // 2)
             self.links[layer][new[own], : keep.shape[1]] = keep
             self._link_back(new[own], keep, layer)
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, count: int) -> np.ndarray:
         """Neighbours nearer to the node than to any neighbour taken before; free places go to the nearest of the rest."""
-        between = np.einsum("qad,qbd->qab", self.x[ids], self.x[ids])
+        x = self.x[ids]
+        between = x @ x.transpose(0, 2, 1)
         taken = np.zeros(ids.shape, bool)
         for k in range(ids.shape[1]):
             near = np.where(taken, between[:, k], -np.inf).max(1)
@@ -159,7 +189,7 @@ class Search:
 
     def __init__(self, graph: Graph, cosine: float, first_beam: int = FIRST_BEAM):
         self.graph, self.at, self.width = graph, cosine - MARGIN, first_beam
-        self.size = int(max(16, min(QUERIES, SEEN_BYTES // (2 * (len(graph.x) + 1)))))
+        self.size = int(max(16, min(QUERIES, SEEN_BYTES // (len(graph.x) + 1))))
         #: Links seen by all audits so far, and those of them that beams have found.
         self.truth, self.found, self.audited = 0, 0, []
 

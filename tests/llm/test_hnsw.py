@@ -103,3 +103,34 @@ def test_each_querying_shard_is_audited():
     truth = set(zip(*(v.tolist() for v in np.nonzero(near @ nodes.T >= 0.9 - hnsw.MARGIN))))
     got = set(zip(a.tolist(), b.tolist()))
     assert search.width > 8 and got <= truth and len(got) >= 0.97 * len(truth) and search.found >= hnsw.RECALL * search.truth
+
+
+def test_nodes_only_pass_through_layers_above_their_own(monkeypatch):
+    wide, search = {}, hnsw.Graph.search
+
+    def counted(self, q, width, layer, start):
+        if width == hnsw.BUILD_BEAM:
+            wide[layer] = wide.get(layer, 0) + len(q)
+        return search(self, q, width, layer, start)
+
+    monkeypatch.setattr(hnsw.Graph, "search", counted)
+    g = hnsw.Graph(_unit_rows(3000, 5))
+    # all but the entry, which is there first
+    assert wide == {k: int((g.level >= k).sum()) - 1 for k in range(int(g.level[g.entry]) + 1)}
+
+
+def test_a_search_that_opens_some_nodes_at_a_time_finds_what_brute_force_does():
+    x = _unit_rows(3000, 6)
+    g = hnsw.Graph(x)
+    r = np.random.default_rng(7)
+    q = x[:600] + r.standard_normal((600, x.shape[1])).astype(np.float32) * 0.04
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    a, b = hnsw._block_pairs(g, q, 0.9, hnsw.FIRST_BEAM)
+    want = set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.9))))
+    got = set(zip(a.tolist(), b.tolist()))
+    assert got <= want | {(i, j) for i, j in got if abs(q[i] @ x[j] - 0.9) < 1e-5} and len(want & got) >= 0.99 * len(want) > 500
+
+
+def _unit_rows(n, seed):
+    x = np.random.default_rng(seed).standard_normal((n, 64)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
