@@ -21,12 +21,11 @@ CAPACITY = 2048
 END_ID = 0
 #: Documents in a pattern, rounds of the fit, rows of one length that are numbered in one task.
 PATTERN_SIZE, FIT_ROUNDS, RANK_ROWS = 3, 300, 200_000
-#: Units whose ids one worker keeps.
-CACHE_UNITS = 300_000
+#: White space in a row beyond which tiktoken's pattern may run out of stack.
+LONG_BLANK = 100_000
 
-# a space beside other white space: there a unit's ids would depend on its neighbour
-_JOINED = re.compile(r" \s|\s ")
-_CACHES: dict[str, UnitIds] = {}
+_BLANK = re.compile(r"\s{%d}" % LONG_BLANK)
+_ENCODERS: dict[str, UnitIds] = {}
 
 #: Fixed value: how this family of vocabularies splits a text before it merges.
 UNIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,13 +39,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class UnitIds:
-    """Ids of whole texts from ids of their units, as little-endian bytes.
+    """Ids of whole texts, as little-endian bytes.
 
-    A byte-level BPE of this family never joins a space that stands alone between other characters
-    with what is before it, so a text splits before such spaces into units whose ids don't depend
-    on each other, and units recur. Other texts are encoded whole. New units are encoded by
-    tiktoken from the tokenizer file's own vocabulary, where a token's id is its rank, which gives
-    the tokenizer's ids in a third of the time; texts with special tokens go to the tokenizer.
+    Texts are split into units and encoded by tiktoken from the tokenizer file's own vocabulary, where a
+    token's id is its rank, which gives the tokenizer's ids in a fraction of the time. It takes whole
+    texts: to look units up one by one takes longer than to encode them. Texts with special tokens
+    or with very long white space go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -60,44 +58,26 @@ class UnitIds:
         octet = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(octet[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in self.special}
         self.encoding = tiktoken.Encoding("units", pat_str=UNIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.units: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        encode = self.encoding.encode_ordinary
-        return [array("I", encode(t)).tobytes() for t in texts]
-
-    def with_special(self, text: str) -> bytes:
+    def by_tokenizer(self, text: str) -> list[int]:
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = []
+        out, encode = [], self.encoding.encode_ordinary
         for text in texts:
-            if _JOINED.search(text) or any(s in text for s in self.special):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            split.append([first, *map(" ".__add__, rest)])
-        if len(self.units) > CACHE_UNITS:
-            self.units.clear()
-        new = list({u for units in split if units for u in units}.difference(self.units))
-        self.units.update(zip(new, self.whole(new)))
-        get = self.units.__getitem__
-        joined = [b"".join(map(get, units)) if units else b"" for units in split]
-        other = [i for i, units in enumerate(split) if units is None]
-        for i in other:
-            special = any(s in texts[i] for s in self.special)
-            joined[i] = self.with_special(texts[i]) if special else self.whole([texts[i]])[0]
-        return joined
+            other = any(s in text for s in self.special) or len(text) >= LONG_BLANK and _BLANK.search(text)
+            out.append(array("I", self.by_tokenizer(text) if other else encode(text)).tobytes())
+        return out
 
 
 def unit_ids(path: str) -> UnitIds:
-    if path not in _CACHES:
-        _CACHES[path] = UnitIds(path)
-    return _CACHES[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = UnitIds(path)
+    return _ENCODERS[path]
 
 
 def _piece_batches(path: str, capacity: int):

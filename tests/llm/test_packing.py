@@ -18,6 +18,22 @@ def test_units_give_the_same_ids_as_whole_texts():
     assert P.UnitIds(PATH)(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_very_long_white_space_is_encoded():
+    texts = ["a" + blank * 1_500_000 + "b c" for blank in (" ", "\n")]
+    t = Tokenizer.from_file(PATH)
+    assert P.UnitIds(PATH)(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_texts_are_encoded_whole(monkeypatch):
+    """A text is one call, and nothing of it is kept: units that don't recur were encoded and put together one by one."""
+    ids = P.UnitIds(PATH)
+    calls, encode = [], ids.encoding.encode_ordinary
+    monkeypatch.setattr(ids.encoding, "encode_ordinary", lambda x: calls.append(x) or encode(x))
+    texts = [f"w{i} x{i} y{i}" for i in range(9)]
+    ids(texts)
+    assert calls == texts
+
+
 def check(rows, texts, capacity):
     t = Tokenizer.from_file(PATH)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
