@@ -14,6 +14,7 @@ from ledgerlens.plans.registry import query, table
 from ledgerlens.sinks import reports
 from ledgerlens.sinks import workbooks as book_sink
 from ledgerlens.sources import readers, texts, workbooks
+from ledgerlens.store import dealt
 
 # ---- grids: a sheet a region with a title, a header and its nations below; one of keys; one with a blank cell
 
@@ -137,7 +138,9 @@ SHEET = [
 
 def _tree(spark, sf_dir):
     cells = F.array(*[F.struct(F.lit(r).alias("row_idx"), F.lit(c).alias("col_idx"), F.expr(v).alias("value")) for r, c, v in SHEET])
-    return keyvalue.tree(table(spark, sf_dir, "customer").select("c_custkey", F.inline(cells)), ["c_custkey"])
+    # dealt before they are unpacked: the operator deals by the same key, so cells don't move at all
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
+    return keyvalue.tree(customers.select("c_custkey", F.inline(cells)), ["c_custkey"])
 
 
 TREE_SQL = """
@@ -489,7 +492,9 @@ SELECT c_custkey, '1' AS id, c_mktsegment AS section, 'Accounts of ' || c_name A
 def src_requirement_rows(spark, sf_dir):
     rows = [(1, "Info Requirement", "concat('Accounts of ', c_name)"), (1, "Category", "c_mktsegment"), (1, "Priority", "' '"), (2, "Information Requirement", "'Plans'"), (2, "S.No.", "'9'"), (2, "Priority", "'High'"), (3, "Section", "'lost'")]
     cells = F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("column"), F.expr(v).alias("value")) for r, c, v in rows])
-    return texts.requirement_rows(table(spark, sf_dir, "customer").select("c_custkey", F.inline(cells)), ["c_custkey"])
+    # one file is read by few tasks, which would hold all cells of theirs until they are moved, so customers are dealt before they are unpacked
+    customers = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
+    return texts.requirement_rows(customers.select("c_custkey", F.inline(cells)), ["c_custkey"])
 
 
 @query("SELECT c_nationkey, section, place FROM (SELECT c_nationkey, section, (row_number() OVER (PARTITION BY c_nationkey ORDER BY first, section))::INT AS place FROM (SELECT c_nationkey, c_mktsegment AS section, min(c_custkey) AS first FROM customer GROUP BY ALL))")

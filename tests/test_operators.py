@@ -209,6 +209,18 @@ def test_requirement_rows_are_dealt_before_they_are_sorted(spark):
     assert _tasks_and_moves(found) == (8, 1)
 
 
+def test_customers_are_dealt_before_they_are_unpacked(spark):
+    """Else the task that reads a file holds all cells of it until they are moved."""
+    from ledgerlens.plans import sheets
+
+    for q, moves in ((sheets.src_requirement_rows, 2), (sheets.kv_tree, 1)):
+        found = q(spark, "/root/testdata/sf0.001")
+        assert found.count() and _tasks_and_moves(found) == (8, moves)
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        # children stand below
+        assert "Exchange hashpartitioning(c_custkey" in plan.rpartition("Generate ")[2]
+
+
 def test_requirements_of_one_file_are_searched_by_all_tasks(spark):
     from ledgerlens.plans import texts as plans
 
