@@ -239,18 +239,20 @@ def packed_symbols(b: np.ndarray, window: int) -> tuple[np.ndarray, int]:
         for k in range(q):
             value = value << M(8) | b[k : len(b) - q + 1 + k]
         code, names = pd.factorize(value)
+        del value
         if len(names) < 65535:
+            code = code.astype(np.uint16)
             break
     if q == 5 and window % 10 == 0 and len(b) >= 10:
         twice, names = pd.factorize(code[:-5].astype(np.int64) << 16 | code[5:])
         if len(names) < 65535:
-            return twice, 10
+            return twice.astype(np.uint16), 10
     return code, q
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of a cyclic text in order of the ``depth`` symbols from there on: stable passes by one more symbol in front."""
-    o = np.arange(len(text))
+    o = np.arange(len(text), dtype=np.int32)
     for _ in range(depth):
         o -= 1
         o[o < 0] = len(text) - 1
@@ -271,16 +273,16 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     symbols = np.concatenate(transforms)
     label = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     block = np.zeros(len(symbols), np.int32)
-    row = np.arange(len(symbols))
-    places = np.arange(len(symbols))
+    row = places = np.arange(len(symbols), dtype=np.int32)
     for _ in range(depth):
         read = symbols[row]
         o = np.argsort(read, kind="stable")
         label, read, block = label[o], read[o], block[o]
         split = (read[1:] != read[:-1]) | (block[1:] != block[:-1])
-        block = np.zeros(len(o), np.int32)
+        del o
+        block = np.zeros(len(read), np.int32)
         np.cumsum(split, out=block[1:])
-        row = np.empty_like(o)
+        row = np.empty_like(places)
         row[np.argsort(label, kind="stable")] = places
     return row, block
 
@@ -288,31 +290,36 @@ def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
 def repeated_windows(b: np.ndarray, at: np.ndarray, rank: np.ndarray, window: int = WINDOW, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """(piece, offset) of each window that an earlier piece (smaller rank, or earlier offset) holds too.
 
-    Piece i is b[at[i]:at[i+1]].
+    Piece i is b[at[i]:at[i+1]]. Places are 32 bits wide and dropped after their last use, as a block of the
+    commonest anchors has millions of them and two tasks share an executor.
     """
     n = np.diff(at)
     code, q = packed_symbols(b, window)
     depth = window // q
     # each piece gives q strings, one for each phase, of codes that follow one another q bytes apart
-    pieces = np.arange(len(n))
+    pieces = np.arange(len(n), dtype=np.int32)
     sizes = np.maximum(0, (n[:, None] - np.arange(q)) // q).astype(np.int64)  # codes of each phase
     strings = np.cumsum((sizes + 1).ravel())
     first = (strings - (sizes + 1).ravel()).reshape(sizes.shape)
     owner = np.repeat(pieces, n)
-    offset = np.arange(len(b)) - at[owner]
-    whole = offset + q <= n[owner]
-    owner, offset, place = owner[whole], offset[whole], np.flatnonzero(whole)
-    to = first[owner, offset % q] + offset // q
+    offset = np.arange(len(b), dtype=np.int32) - at.astype(np.int32)[owner]
+    whole = offset + q <= n.astype(np.int32)[owner]
+    owner, offset = owner[whole], offset[whole]
+    to = first.astype(np.int32)[owner, offset % q] + offset // q
     text = np.zeros(strings[-1], np.uint16)
-    text[to] = code[place] + 1  # 0 ends a string
-    piece, start = np.full(len(text), -1, np.int64), np.zeros(len(text), np.int64)
+    text[to] = code[np.flatnonzero(whole)] + 1  # 0 ends a string
+    piece, start = np.full(len(text), -1, np.int32), np.zeros(len(text), np.int32)
     piece[to], start[to] = owner, offset
+    del code, owner, offset, whole, to
     cuts = np.append(first[:: max(1, -(-len(n) // shards)), 0], len(text))
     orders = [suffix_order(text[lo:hi], depth) for lo, hi in zip(cuts, cuts[1:])]
     transforms = [text[lo:hi][o - 1] for (lo, hi), o in zip(zip(cuts, cuts[1:]), orders)]
+    del text
     row, block = merge_transforms(transforms, depth)
-    suffix = np.concatenate([o + lo for lo, o in zip(cuts, orders)])[row]
+    suffix = np.concatenate([o + np.int32(lo) for lo, o in zip(cuts, orders)])[row]
+    del row, orders, transforms
     piece, start = piece[suffix], start[suffix]
+    del suffix
     full = (piece >= 0) & (start + window <= n[piece])
     piece, start, block = piece[full], start[full], block[full]
     head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
