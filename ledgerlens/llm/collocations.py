@@ -19,10 +19,13 @@ SCALE = 2_000_000
 NO_LANGUAGE = "und"
 #: Frequent words that all tasks may know (a row takes some 30 bytes); with more of them windows hold the words themselves.
 VOCABULARY = 2_000_000
-#: Frequent pairs of words that all tasks may know; with more of them windows are joined to the pairs by a shuffle.
+#: Frequent pairs of words as text that all tasks may know; with more of them windows are joined to the pairs by a shuffle.
 PAIRS = 500_000
-#: Parts in which windows are counted, by their first word, one after the other: disk holds the windows of one part at a time, and texts
-#: are read once for each.
+#: Bits of the sieve of frequent pairs of numbered words: for each of the most pairs that there can be, and all there are at most (16 MB).
+#: With more pairs than that the sieve lets more of the others through, which costs work and changes no count.
+BITS_EACH, BITS = 16, 1 << 27
+#: Parts in which pairs of numbered words, or windows of words as text, are counted by their first word, one after the other: memory and disk
+#: hold those of one part at a time, and texts are read once for each. Numbered windows have gone through the sieve and are counted at once.
 PARTS = 3
 #: Bytes of text that a task looks at together; a longer text is cut where a piece ends.
 CHUNK = 2 << 20
@@ -74,7 +77,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     place = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - start)])
     letters = SMALL[data[word]]
     words = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(place), pa.py_buffer(letters)])
-    return words, np.cumsum(steps)[start]
+    return words, np.cumsum(steps, dtype=np.int32)[start]
 
 
 def _by_language(batches) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
@@ -112,21 +115,49 @@ def _sliced(arrays: list, names: list[str]):
         yield whole.slice(at, ROWS)
 
 
-def _numbered_windows(shared, longest: int, part: int, parts: int):
-    """Windows of the numbers of frequent words, those of one part; a word that is not frequent ends a window, as a piece does."""
-    def run(batches):
-        for lang, words, piece in _by_language(batches):
-            if lang not in shared.value:
-                continue
+def _numbers(shared, batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of the words, pieces), some texts of one language at a time; the number of a word that is not frequent is 0."""
+    for lang, words, piece in _by_language(batches):
+        if lang in shared.value:
             known, number = shared.value[lang]
             at = pc.fill_null(pc.index_in(words, known), -1).to_numpy()
-            columns = lead_columns(np.where(at >= 0, number[at], np.int32(0)), piece, longest)
+            yield np.where(at >= 0, number[at], np.int32(0)), piece
+
+
+def _numbered_pairs(shared, part: int, parts: int):
+    """Pairs of the numbers of frequent words, those of one part; a word that is not frequent ends a piece."""
+    def run(batches):
+        for ids, piece in _numbers(shared, batches):
+            columns = lead_columns(ids, piece, 2)
             keep = (columns[1] > 0) & (columns[0] % parts == part)
-            yield from _sliced([pa.array(c[keep]) for c in columns], [f"w{k}" for k in range(longest)])
+            yield from _sliced([pa.array(c[keep]) for c in columns], ["w0", "w1"])
+
+    return run
+
+
+def _numbered_windows(shared, sieve, longest: int):
+    """Windows of the numbers of frequent words; a pair of words that the sieve does not hold ends a window, as a piece does."""
+    def run(batches):
+        for ids, piece in _numbers(shared, batches):
+            size, bits = sieve.value
+            pair = lead_columns(ids, piece, 2)
+            place = (pair[0].astype(np.int64) << 32 | pair[1]) % size
+            held = (pair[1] > 0) & (bits[place >> 6] >> (place & 63) & 1 > 0)
+            columns = lead_columns(ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(~held[:-1])]), longest)
+            yield from _sliced([pa.array(c[held]) for c in columns], [f"w{k}" for k in range(longest)])
 
     return run
 
 
+def _sieve(pairs: DataFrame, size: int) -> np.ndarray:
+    """Bits of a sieve of ``size`` that holds all pairs, in cells of 64."""
+    place = pairs.select(F.pmod(F.shiftleft(F.col("w0").cast("long"), 32) + F.col("w1"), F.lit(size).cast("long")).alias("place"))
+    cells = place.groupBy(F.expr("CAST(place div 64 AS int)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, CAST(place % 64 AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(size // 64 + 1, np.int64)
+    bits[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return bits
+
+
 def _word_windows(longest: int):
     """Windows of all words as text, under their language; nothing follows the last word of a piece."""
     def run(batches):
@@ -139,23 +170,27 @@ def _word_windows(longest: int):
     return run
 
 
-def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int) -> DataFrame:
+def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least: int, sieved: bool) -> DataFrame:
     """(lead, w: array of 2 to ``longest`` words, a) of all phrases found ``least`` times, from windows and their counts.
 
     Counts of the longest phrases are those of the full windows; ROLLUP sums them to each shorter prefix. A prefix of
-    three words or more is seldom found twice, so windows are kept for it only if their first two words are found
-    ``least`` times. All sums are made within tasks before rows are shuffled, so a common beginning is no hot key.
+    three words or more is seldom found twice, so windows that went through no sieve are kept for it only if their first
+    two words are found ``least`` times. All sums are made within tasks before rows are shuffled, so a common beginning is
+    no hot key.
     """
     names = [f"w{k}" for k in range(longest)]
     full = windows.where((F.col(names[-1]) != F.expr(pad)) & (F.col("n") >= least)).select(*lead, F.array(*names).alias("w"), F.col("n").alias("a"))
     if longest == 2:
         return written(full, "phrases")
     fixed, rolled = [*lead, *names[:2]], names[2:-1]
-    pairs = written(windows.groupBy(*fixed).agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
+    pairs = windows.groupBy(*fixed).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     if not rolled:
         return written(full.unionByName(pairs.select(*lead, F.array(*names[:2]).alias("w"), "a")), "phrases")
-    first = pairs.select(*fixed)
-    kept = windows.join(F.broadcast(first) if first.count() <= PAIRS else first, fixed, "left_semi")
+    kept = windows
+    if not sieved:
+        pairs = written(pairs, "pairs")
+        first = pairs.select(*fixed)
+        kept = windows.join(F.broadcast(first) if first.count() <= PAIRS else first, fixed, "left_semi")
     marks = [f"grouping({c}) AS g_{c}" for c in rolled]
     sql = f"SELECT {', '.join([*fixed, *rolled, *marks])}, sum(n) AS a FROM {{kept}} GROUP BY {', '.join(fixed)}, ROLLUP ({', '.join(rolled)}) HAVING sum(n) >= {least}"
     sums = windows.sparkSession.sql(sql, kept=kept)
@@ -163,7 +198,8 @@ def _summed(windows: DataFrame, lead: list[str], pad: str, longest: int, least:
     for c in rolled:
         sums = sums.where((F.col(f"g_{c}") == 1) | (F.col(c) != F.expr(pad)))
     out = written(full.unionByName(sums.select(*lead, F.filter(F.array(*names[:2], *rolled), lambda x: x.isNotNull()).alias("w"), "a")), "phrases")
-    discard(pairs)
+    if not sieved:
+        discard(pairs)
     return out
 
 
@@ -190,7 +226,8 @@ def collocations(
     count as often as they come, and other columns play no part. Without texts there are no rows.
 
     Words that are not frequent are in no phrase, so they end a window. Frequent words are numbered and known to all
-    tasks while there are at most ``vocabulary``; beyond that windows hold all words as text, with the same result.
+    tasks while there are at most ``vocabulary``, and pairs of them that are not frequent end a window too: a sieve that
+    all tasks know tells most of these. Beyond that windows hold all words as text, with the same result.
     """
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     counts = written(texts.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -207,16 +244,23 @@ def collocations(
             own = table.filter(pc.equal(table["lang"], lang))
             known[lang] = own["word"].combine_chunks().cast(pa.large_string()), own["id"].to_numpy().astype(np.int32)
         shared = df.sparkSession.sparkContext.broadcast(known)
+        occurrences = frequent.agg(F.sum("n")).first()[0] or 0
+        size, bits = min(BITS, BITS_EACH * occurrences // max(1, least)) | 1, 0
+        for part in range(PARTS):
+            rows = texts.mapInArrow(_numbered_pairs(shared, part, PARTS), "w0 int, w1 int")
+            bits |= _sieve(rows.groupBy("w0", "w1").agg(F.count("*").alias("n")).where(F.col("n") >= least), size)
+            release(df.sparkSession)
+        sieve = df.sparkSession.sparkContext.broadcast((size, bits))
     found = None
-    for part in range(PARTS):
+    for part in range(1 if numbered else PARTS):
         if numbered:
-            rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, longest, part, PARTS), ", ".join(f"{c} int" for c in names)), [], "0"
+            rows, lead, pad = texts.mapInArrow(_numbered_windows(shared, sieve, longest), ", ".join(f"{c} int" for c in names)), [], "0"
         else:
             rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
             rows = rows.where(F.pmod(F.xxhash64("w0"), F.lit(PARTS)) == part)
         windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
         release(df.sparkSession)
-        own = _summed(windows, lead, pad, longest, least)
+        own = _summed(windows, lead, pad, longest, least, numbered)
         found = own if found is None else found.unionByName(own)
         discard(windows)
         release(df.sparkSession)

@@ -73,3 +73,27 @@ def test_nothing_and_other_columns(spark):
     df = spark.createDataFrame([("x y z", 1, "p", 2)] * 40, "`te.xt` string, `la.ng` int, phrase string, n int")
     got = c.collocations(df, lang_col="la.ng", text_col="te.xt").collect()
     assert [tuple(r) for r in got] == [("1", 1, "x y z", 40, 40, 40, 120, 1000000)]
+
+
+def test_rare_pairs_of_frequent_words_make_no_windows(spark, monkeypatch):
+    rng, made, written = random.Random(7), {}, c.written
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(40)], k=30)) for _ in range(100)] + ["new york times square"] * 40
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(c, "written", counted)
+    rows = [("en", t) for t in texts]
+    got = c.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(4)).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    assert made["windows"] < 100
+
+
+@pytest.mark.parametrize("bits", [1, 64, 1000])
+def test_a_full_sieve_changes_no_count(spark, monkeypatch, bits):
+    monkeypatch.setattr(c, "BITS", bits)
+    rows = rows_of(9)
+    got = c.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(4), least=10, top=25).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 4, 10, 25)
