@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ BITS_EACH, BITS = 16, 1 << 27
 PARTS = 3
 #: Bytes of text that a task looks at together; a longer text is cut where a piece ends.
 CHUNK = 2 << 20
+#: Bytes of text that come to a task at once, in both processes several times over; some languages share them.
+BATCH = 4 * CHUNK
 #: Rows of a batch that goes back to Spark.
 ROWS = 1 << 15
 #: Groups in which words are numbered, and in which each language's first phrases are sought before the last sort.
@@ -41,6 +44,18 @@ SMALL = np.arange(256, dtype=np.uint8)
 SMALL[0x41:0x5B] += 32
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Meanwhile ``BATCH`` bounds the batches that go to Python; after that the session's own bound holds again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets) of some texts each; a text beyond ``CHUNK`` comes in parts that end with a piece."""
     texts = texts.cast(pa.large_string())
@@ -230,7 +245,8 @@ def collocations(
     all tasks know tells most of these. Beyond that windows hold all words as text, with the same result.
     """
     texts = df.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    counts = written(texts.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    with _small_batches(df.sparkSession):
+        counts = written(texts.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     group = F.pmod(F.xxhash64("lang", "word"), F.lit(GROUPS))
     place = F.row_number().over(Window.partitionBy("group").orderBy("lang", "word"))
     frequent = counts.where(F.col("n") >= least).withColumn("group", group).withColumn("id", (place - 1) * F.lit(GROUPS).cast("long") + F.col("group") + 1)
@@ -248,7 +264,8 @@ def collocations(
         size, bits = min(BITS, BITS_EACH * occurrences // max(1, least)) | 1, 0
         for part in range(PARTS):
             rows = texts.mapInArrow(_numbered_pairs(shared, part, PARTS), "w0 int, w1 int")
-            bits |= _sieve(rows.groupBy("w0", "w1").agg(F.count("*").alias("n")).where(F.col("n") >= least), size)
+            with _small_batches(df.sparkSession):
+                bits |= _sieve(rows.groupBy("w0", "w1").agg(F.count("*").alias("n")).where(F.col("n") >= least), size)
             release(df.sparkSession)
         sieve = df.sparkSession.sparkContext.broadcast((size, bits))
     found = None
@@ -258,7 +275,8 @@ def collocations(
         else:
             rows, lead, pad = texts.mapInArrow(_word_windows(longest), ", ".join(f"{c} string" for c in ["lang", *names])), ["lang"], "''"
             rows = rows.where(F.pmod(F.xxhash64("w0"), F.lit(PARTS)) == part)
-        windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
+        with _small_batches(df.sparkSession):
+            windows = written(rows.groupBy(*lead, *names).agg(F.count("*").alias("n")), "windows")
         release(df.sparkSession)
         own = _summed(windows, lead, pad, longest, least, numbered)
         found = own if found is None else found.unionByName(own)

@@ -97,3 +97,17 @@ def test_a_full_sieve_changes_no_count(spark, monkeypatch, bits):
     rows = rows_of(9)
     got = c.collocations(spark.createDataFrame(rows, "lang string, text string").repartition(4), least=10, top=25).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, 4, 10, 25)
+
+
+def test_texts_come_in_small_batches_and_the_session_keeps_its_bound(spark, monkeypatch):
+    key, seen, written = "spark.sql.execution.arrow.maxBytesPerBatch", {}, c.written
+    before = spark.conf.get(key)
+
+    def noted(df, name):
+        seen[name] = spark.conf.get(key)
+        return written(df, name)
+
+    monkeypatch.setattr(c, "written", noted)
+    df = spark.createDataFrame([("en", "x y z")] * 40, "lang string, text string")
+    assert c.collocations(df).count() == 1
+    assert seen["words"] == seen["windows"] == str(c.BATCH) and seen["phrases"] == spark.conf.get(key) == before
